@@ -320,6 +320,17 @@ def add_hurst(df: DataFrame, lags: int = 15, out: str = "hurst_30") -> DataFrame
     return df.select(*keep, F.when((F.col("__n") >= span) & (lowest > 0), slope).alias(out))
 
 
+def by_ticker(df: DataFrame) -> DataFrame:
+    """One explicit exchange on ticker that every later frame reuses.
+
+    The number of partitions is pinned to the session's: bars are few bytes per
+    row but each row feeds dozens of frames, so size-based coalescing would
+    leave cores idle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "ticker")
+
+
 # Block -> (builder, blocks whose columns it reads).
 _STEPS = {
     "price": (add_price_features, ()),
@@ -358,7 +369,7 @@ def technical_features(bars: DataFrame, columns: list[str] | None = None, hurst:
         if block not in blocks:
             blocks.add(block)
             todo.extend(_STEPS[block][1])
-    df = bars.select(*BAR_COLUMNS)
+    df = by_ticker(bars.select(*BAR_COLUMNS))
     for block, (step, _) in _STEPS.items():
         if block in blocks:
             df = step(df)

@@ -199,9 +199,8 @@ STAGED_SQL["gk_vol_20"] = (
 
 
 def _places(name: str) -> int:
-    """Columns on the scale of the price itself are compared to 3 decimals, ratios to 6."""
-    price_like = ("ema_", "sma_", "macd", "atr_14", "bb_middle", "bb_upper", "bb_lower", "obv_sma20",
-                  "rolling_max", "rolling_min", "volume_imbalance")
+    """Recurrences and deviations on the scale of the price are compared to 3 decimals, the rest to 6."""
+    price_like = ("ema_", "macd", "atr_14", "bb_upper", "bb_lower")
     return 3 if name.startswith(price_like) else 6
 
 
