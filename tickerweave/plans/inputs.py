@@ -34,21 +34,18 @@ BARS = """bars AS (
 
 
 def bars_brand(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as trades of 25 brands; unit price, order-free aggregates only.
-
-    Prices are cut to 4 decimals per line so that both engines sum equal values.
-    """
+    """Line items as trades of 25 brands; unit price, order-free aggregates only."""
     li = read(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
     part = read(spark, sf, "part").select("p_partkey", "p_brand")
-    unit = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
     return (
         li.join(part, li.l_partkey == part.p_partkey)
         .groupBy(F.col("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("date"))
         .agg(
-            F.round(F.avg(unit), 4).alias("open"),
+            F.avg(unit).alias("open"),
             F.max(unit).alias("high"),
             F.min(unit).alias("low"),
-            F.round((F.max(unit) + F.min(unit)) / 2, 4).alias("close"),
+            ((F.max(unit) + F.min(unit)) / 2).alias("close"),
             F.sum("l_quantity").alias("volume"),
         )
     )
@@ -56,21 +53,13 @@ def bars_brand(spark: SparkSession, sf: str) -> DataFrame:
 
 BARS_BRAND = """bars_brand AS (
   SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date,
-    round(avg(u), 4) AS open, max(u) AS high, min(u) AS low,
-    round((max(u) + min(u)) / 2, 4) AS close, sum(l_quantity) AS volume
-  FROM (SELECT p_brand, l_shipdate, l_quantity, round(l_extendedprice / l_quantity, 4) AS u
+    avg(u) AS open, max(u) AS high, min(u) AS low,
+    (max(u) + min(u)) / 2 AS close, sum(l_quantity) AS volume
+  FROM (SELECT p_brand, l_shipdate, l_quantity, l_extendedprice / l_quantity AS u
         FROM lineitem JOIN part ON l_partkey = p_partkey)
   GROUP BY ALL)"""
 
 
-def market(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean close per date over all tickers: the broad-market index series."""
-    return bars(spark, sf).groupBy("date").agg(F.round(F.avg("close"), 4).alias("close"))
-
-
-MARKET = "market AS (SELECT date, round(avg(close), 4) AS close FROM bars GROUP BY date)"
-
-
 def with_ctes(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
@@ -78,3 +67,168 @@ def with_ctes(*ctes: str, select: str) -> str:
 def r(expr: str, places: int = 6) -> str:
     """SQL twin of functions.core.rnd."""
     return f"(round({expr}, {places}) + 0.0::DOUBLE)"
+
+
+# --- index series -----------------------------------------------------------------
+
+_FUNDS = ["XLK", "XLV", "XLE", "XLF", "XLY"]
+
+
+def series(spark: SparkSession, sf: str) -> DataFrame:
+    """(symbol, date, close): five regional funds and the market from orders, index levels from line items.
+
+    A day with a single line item yields a NULL index level.
+    """
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    c = read(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    n = read(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    fund = F.element_at(F.array(*[F.lit(x) for x in _FUNDS]), F.col("n_regionkey") + 1)
+    day = F.to_date("o_orderdate").alias("date")
+    price = F.round(F.avg("o_totalprice"), 6).alias("close")
+    funds = (
+        o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+        .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy(fund.alias("symbol"), day)
+        .agg(price)
+    )
+    spy = o.groupBy(F.lit("SPY").alias("symbol"), day).agg(price)
+    li = read(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_shipdate", "l_discount", "l_tax")
+    ship = F.to_date("l_shipdate").alias("date")
+    vol = {"A": "^VIX", "N": "^VIX9D", "R": "^VIX3M"}
+    vol_symbol = F.expr("CASE l_returnflag " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vol.items()) + " END")
+    vix = li.groupBy(vol_symbol.alias("symbol"), ship).agg(
+        F.when(F.count(F.lit(1)) > 1, F.round(20 + 200 * (F.avg("l_discount") - 0.05), 4)).alias("close")
+    )
+    rate_symbol = F.when(F.col("l_linestatus") == "F", "^TNX").otherwise("^IRX")
+    rates = li.groupBy(rate_symbol.alias("symbol"), ship).agg(F.round(100 * F.avg("l_tax"), 4).alias("close"))
+    return funds.unionByName(spy).unionByName(vix).unionByName(rates)
+
+
+SERIES = f"""series AS (
+  SELECT {_FUNDS}[n_regionkey + 1] AS symbol, CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 6) AS close
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
+  UNION ALL SELECT 'SPY', CAST(o_orderdate AS DATE) AS d, round(avg(o_totalprice), 6) FROM orders GROUP BY d
+  UNION ALL SELECT CASE l_returnflag WHEN 'A' THEN '^VIX' WHEN 'N' THEN '^VIX9D' WHEN 'R' THEN '^VIX3M' END AS s,
+    CAST(l_shipdate AS DATE) AS d,
+    CASE WHEN count(*) > 1 THEN round(20 + 200 * (avg(l_discount) - 0.05::DOUBLE), 4) END FROM lineitem GROUP BY s, d
+  UNION ALL SELECT CASE l_linestatus WHEN 'F' THEN '^TNX' ELSE '^IRX' END AS s, CAST(l_shipdate AS DATE) AS d,
+    round(100 * avg(l_tax), 4) FROM lineitem GROUP BY s, d)"""
+
+_SECTOR_OF = {
+    "1-URGENT": "Technology",
+    "2-HIGH": "Health Care",
+    "3-MEDIUM": "Energy",
+    "4-NOT SPECIFIED": "Unlisted",
+    "5-LOW": "Financial Services",
+}
+_SECTOR_CASE = "CASE ticker " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SECTOR_OF.items()) + " END"
+
+
+def assets(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per ticker of `bars` with its sector."""
+    t = read(spark, sf, "orders").select(F.col("o_orderpriority").alias("ticker")).distinct()
+    return t.select("ticker", F.expr(_SECTOR_CASE).alias("sector"))
+
+
+ASSETS = f"""assets AS (SELECT ticker, {_SECTOR_CASE} AS sector
+  FROM (SELECT DISTINCT o_orderpriority AS ticker FROM orders))"""
+
+
+# --- options ----------------------------------------------------------------------
+
+_CONTRACT = {
+    "ticker": "p_brand",
+    "snapshot_date": "CAST(date_trunc('month', l_shipdate) AS DATE)",
+    "expiry": "CAST(date_trunc('month', l_shipdate) AS DATE) + 7 * l_linenumber",
+    "side": "CASE WHEN l_returnflag = 'R' THEN 'put' ELSE 'call' END",
+    "strike": "p_retailprice",
+    "iv": "round(3 * l_discount, 4)",
+    "volume": "l_quantity - 1",
+    "open_interest": "round(250 * l_tax, 0)",
+    "bid": "round(l_extendedprice / 1000, 4)",
+    "ask": "round(l_extendedprice / 1000 * (1 + 10 * l_tax), 4)",
+}
+
+
+def option_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as option quotes on their part's brand, grouped into monthly snapshots."""
+    li = read(spark, sf, "lineitem")
+    part = read(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
+    spark_sql = {**_CONTRACT, "expiry": "date_add(CAST(date_trunc('month', l_shipdate) AS DATE), 7 * l_linenumber)"}
+    return li.join(part, li.l_partkey == part.p_partkey).selectExpr(*[f"{e} AS {k}" for k, e in spark_sql.items()])
+
+
+CHAIN = (
+    "chain AS (SELECT "
+    + ", ".join(f"{e} AS {k}" for k, e in _CONTRACT.items())
+    + " FROM lineitem JOIN part ON l_partkey = p_partkey)"
+)
+
+
+def option_spot(spark: SparkSession, sf: str) -> DataFrame:
+    return option_chain(spark, sf).groupBy("ticker", "snapshot_date").agg(F.round(F.avg("strike"), 6).alias("spot"))
+
+
+SPOT = "spot AS (SELECT ticker, snapshot_date, round(avg(strike), 6) AS spot FROM chain GROUP BY ALL)"
+
+
+# --- fundamentals -----------------------------------------------------------------
+
+_SECTORS = ["Technology", "Health Care", "Financials", "Energy", "Utilities"]
+# Figures of one brand, as text; brands with few small parts report none for some keys.
+_FIGURES = {
+    "trailingPE": "CAST(round(avg(p_size), 4) AS {s})",
+    "forwardPE": "CAST(round(avg(p_retailprice) / 50, 4) AS {s})",
+    "priceToBook": "CASE WHEN min(p_size) > 1 THEN 'N/A' ELSE CAST(round(max(p_retailprice) / 100, 4) AS {s}) END",
+    "enterpriseToEbitda": "CAST(round(stddev_pop(p_size), 4) AS {s})",
+    "profitMargins": "CAST(round(avg(p_size) / 200, 4) AS {s})",
+    "freeCashflow": "CAST(round(sum(p_retailprice) * 10, 2) AS {s})",
+    "marketCap": "CASE WHEN count(*) > 2 THEN CAST(round(sum(p_retailprice) * 1000, 2) AS {s}) ELSE 'Infinity' END",
+    "sector": "max(sector)",
+}
+
+
+def company_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON payload of text figures per brand."""
+    part = read(spark, sf, "part")
+    no = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    part = part.withColumn("sector", F.element_at(F.array(*[F.lit(s) for s in _SECTORS]), no % 5 + 1))
+    agg = part.groupBy(F.col("p_brand").alias("ticker")).agg(
+        *[F.expr(e.format(s="string")).alias(k) for k, e in _FIGURES.items()]
+    )
+    return agg.select("ticker", F.to_json(F.struct(*_FIGURES)).alias("payload"))
+
+
+COMPANIES = (
+    "companies_raw AS (SELECT p_brand AS ticker, "
+    + ", ".join(f"{e.format(s='VARCHAR')} AS {k}" for k, e in _FIGURES.items())
+    + f" FROM (SELECT *, {_SECTORS}[CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) % 5 + 1] AS sector FROM part)"
+    + " GROUP BY p_brand),\n"
+    + "companies AS (SELECT ticker, sector, "
+    + ", ".join(
+        f"CASE WHEN isfinite(TRY_CAST({k} AS DOUBLE)) THEN TRY_CAST({k} AS DOUBLE) END AS {k}"
+        for k in _FIGURES
+        if k != "sector"
+    )
+    + " FROM companies_raw)"
+)
+
+
+def earnings_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Quarterly figures per ticker of `bars`, announced on the 15th of the month after the quarter's start."""
+    o = read(spark, sf, "orders")
+    q = F.date_trunc("quarter", F.col("o_orderdate"))
+    a = o.groupBy(F.col("o_orderpriority").alias("ticker"), q.alias("q")).agg(
+        F.round(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))) / 1e5, 4).alias("Reported EPS actual"),
+        F.round(F.avg(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))) / 1e5, 4).alias("EPS Estimate"),
+    )
+    return a.select("ticker", F.date_add(F.to_date("q"), 45).alias("announced"), "Reported EPS actual", "EPS Estimate")
+
+
+EARNINGS = """earnings_raw AS (
+  SELECT o_orderpriority AS ticker, date_trunc('quarter', o_orderdate) AS q,
+    round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) / 1e5::DOUBLE, 4) AS act,
+    round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) / 1e5::DOUBLE, 4) AS est
+  FROM orders GROUP BY ALL),
+earnings AS (SELECT ticker, CAST(q AS DATE) + 45 AS announced, act AS actual_eps, est AS estimated_eps,
+    (act - est) / nullif(abs(est), 0) AS surprise_pct FROM earnings_raw WHERE act IS NOT NULL AND est IS NOT NULL)"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickerweave.plans import technical
+from tickerweave.plans import market, technical
 
-_MODULES = [technical]
+_MODULES = [technical, market]
 
 QUERIES = {}
 ORACLES = {}
