@@ -232,3 +232,41 @@ EARNINGS = """earnings_raw AS (
   FROM orders GROUP BY ALL),
 earnings AS (SELECT ticker, CAST(q AS DATE) + 45 AS announced, act AS actual_eps, est AS estimated_eps,
     (act - est) / nullif(abs(est), 0) AS surprise_pct FROM earnings_raw WHERE act IS NOT NULL AND est IS NOT NULL)"""
+
+
+# --- portfolios -------------------------------------------------------------------
+
+_HOLDING = "['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][c_custkey % 5 + 1]"
+
+
+def positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as holdings: one portfolio per nation, value = positive balance; one asset is held in shares."""
+    c = read(spark, sf, "customer")
+    tick = F.element_at(F.array(*[F.lit(t) for t in _SECTOR_OF]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    g = c.groupBy(F.col("c_nationkey").alias("portfolio_id"), tick.alias("ticker")).agg(
+        F.sum(F.greatest("c_acctbal", F.lit(0.0))).alias("v"), F.count(F.lit(1)).cast("double").alias("n")
+    )
+    by_shares = F.col("ticker") == "5-LOW"
+    return g.select(
+        "portfolio_id", "ticker",
+        F.lit(None).cast("double").alias("weight"),
+        F.when(~by_shares, F.col("v")).alias("market_value"),
+        F.when(by_shares, F.col("n") / 100).alias("shares"),
+    )
+
+
+POSITIONS = f"""positions AS (
+  SELECT c_nationkey AS portfolio_id, {_HOLDING} AS ticker, sum(greatest(c_acctbal, 0)) AS v, CAST(count(*) AS DOUBLE) AS n
+  FROM customer GROUP BY ALL)"""
+
+
+def probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """Probability of a rise per ticker: share of finished orders; one ticker has none."""
+    o = read(spark, sf, "orders").filter("o_orderpriority <> '4-NOT SPECIFIED'")
+    return o.groupBy(F.col("o_orderpriority").alias("ticker")).agg(
+        F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("p_bullish")
+    )
+
+
+PROBS = """probs AS (SELECT o_orderpriority AS ticker, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS p
+  FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY 1)"""

@@ -310,15 +310,17 @@ two AS (SELECT ticker, snapshot_date, max(CASE WHEN k = 1 THEN expiry END) AS ne
 days AS (SELECT *, CAST(date_diff('day', snapshot_date, near_expiry) AS DOUBLE) AS d1,
     CAST(date_diff('day', snapshot_date, next_expiry) AS DOUBLE) AS d2 FROM two),
 snaps AS (SELECT upper(ticker) AS ticker, snapshot_date, n_used >= 2 AS is_optionable, near_expiry, next_expiry,
-    d1 AS near_days_to_expiry, d2 AS next_days_to_expiry, a1 AS atm_iv_near, a2 AS atm_iv_next,
-    CASE WHEN a1 IS NULL THEN a2 WHEN a2 IS NULL OR d2 IS NULL OR d2 <= d1 THEN a1 WHEN 30 <= d1 THEN a1 WHEN 30 >= d2 THEN a2
-      ELSE sqrt((a1 * a1 * d1 + (a2 * a2 * d2 - a1 * a1 * d1) * (30 - d1) / (d2 - d1)) / 30) END AS atm_iv_cm30,
+    d1 AS near_days_to_expiry, d2 AS next_days_to_expiry, round(a1, 9) AS atm_iv_near, round(a2, 9) AS atm_iv_next,
+    round(CASE WHEN a1 IS NULL THEN a2 WHEN a2 IS NULL OR d2 IS NULL OR d2 <= d1 THEN a1 WHEN 30 <= d1 THEN a1 WHEN 30 >= d2 THEN a2
+      ELSE sqrt((a1 * a1 * d1 + (a2 * a2 * d2 - a1 * a1 * d1) * (30 - d1) / (d2 - d1)) / 30) END, 9) AS atm_iv_cm30,
     CASE WHEN cv > 0 THEN pv / cv END AS put_call_volume_ratio, CASE WHEN co > 0 THEN po / co END AS put_call_oi_ratio,
     cv AS total_call_volume, pv AS total_put_volume, n_used AS n_contracts_used FROM days)"""
 
 
 def _snapshots(spark, sf):
-    return osrc.chain_snapshots(i.option_chain(spark, sf), i.option_spot(spark, sf))
+    """Snapshots with volatilities cut to 9 decimals: ranks compare them for equality."""
+    s = osrc.chain_snapshots(i.option_chain(spark, sf), i.option_spot(spark, sf))
+    return s.withColumns({c: F.round(c, 9) for c in ("atm_iv_near", "atm_iv_next", "atm_iv_cm30")})
 
 
 _SNAP_COLS = ["near_days_to_expiry", "next_days_to_expiry", "atm_iv_near", "atm_iv_next", "put_call_volume_ratio",

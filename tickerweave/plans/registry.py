@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickerweave.plans import market, technical
+from tickerweave.plans import market, portfolio, technical
 
-_MODULES = [technical, market]
+_MODULES = [technical, market, portfolio]
 
 QUERIES = {}
 ORACLES = {}
