@@ -270,3 +270,82 @@ def probabilities(spark: SparkSession, sf: str) -> DataFrame:
 
 PROBS = """probs AS (SELECT o_orderpriority AS ticker, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS p
   FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY 1)"""
+
+
+# --- news -------------------------------------------------------------------------
+
+NOW = "2026-06-01 12:00:00"
+_DOMAINS = ["reuters.com", "cnbc.com", "seekingalpha.com", "nytimes.com", "reddit.com", "Fool.com", "example.net", "ft.com"]
+# Text of the date of an article; k is its age in days.
+_DAY = "CAST(date_sub(DATE '2026-06-01', CAST(doc_id % 12 AS INT)) AS {s})"
+_DAY_SQL = "CAST(DATE '2026-06-01' - CAST(doc_id % 12 AS INTEGER) AS VARCHAR)"
+
+
+def _news_columns(day: str, first_line: str, source_no: str, element: str, s: str) -> dict[str, str]:
+    """Expressions shared by both engines; the five date formats and their place rotate with the document."""
+    us = f"concat(substr({day}, 6, 2), '/', substr({day}, 9, 2), '/', substr({day}, 1, 4))"
+    eu = f"concat(substr({day}, 9, 2), '.', substr({day}, 6, 2), '.', substr({day}, 1, 4))"
+    long = f"concat('May ', substr({day}, 9, 2), ', 2026')"
+    kind = "doc_id % 8"
+    title = f"CASE WHEN {kind} = 3 THEN concat({first_line}, ' ', {us}) ELSE {first_line} END"
+    body = (
+        f"CASE {kind} WHEN 2 THEN concat({long}, ' ', text) WHEN 4 THEN concat({eu}, ' ', text) "
+        f"WHEN 5 THEN concat(CAST(doc_id % 12 AS {s}), ' days ago ', text) ELSE text END"
+    )
+    meta_date = f"CASE {kind} WHEN 0 THEN concat({day}, 'T09:30:00Z') WHEN 1 THEN {day} END"
+    meta_pub = f"CASE {kind} WHEN 6 THEN concat({day}, 'T09:41+02:00') END"
+    return {
+        "doc_id": "doc_id",
+        "ticker": "upper(lang)",
+        "query_idx": "CAST(doc_id % 3 AS INT)",
+        "result_idx": "doc_id",
+        "title": title,
+        "url": f"concat('https://www.', {element}, '/a/', CAST(doc_id AS {s}), '/')",
+        "body": body,
+        "meta_date": meta_date,
+        "meta_pub": meta_pub,
+    }
+
+
+def raw_news(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as search results: title = first line, domain by source, a date in rotating formats."""
+    arr = "array(" + ", ".join(f"'{d}'" for d in _DOMAINS) + ")"
+    no = "CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT)"
+    cols = _news_columns(_DAY.format(s="string"), "substring_index(text, '\n', 1)", no, f"element_at({arr}, {no} % 8 + 1)", "string")
+    df = read(spark, sf, "documents").selectExpr(*[f"{e} AS {k}" for k, e in cols.items()])
+    meta = F.map_filter(
+        F.create_map(F.lit("date"), F.col("meta_date"), F.lit("published"), F.col("meta_pub")), lambda k, v: v.isNotNull()
+    )
+    return df.withColumn("metadata", meta).drop("meta_date", "meta_pub")
+
+
+_NO_SQL = "CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER)"
+NEWS = (
+    "raw_news AS (SELECT "
+    + ", ".join(
+        f"{e} AS {k}"
+        for k, e in _news_columns(
+            _DAY_SQL, "split_part(text, chr(10), 1)", _NO_SQL, f"{_DOMAINS}[{_NO_SQL} % 8 + 1]", "VARCHAR"
+        ).items()
+    )
+    + " FROM documents)"
+)
+
+
+def listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as listed symbols with mixed suffixes, names and quote types."""
+    p = read(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    return p.selectExpr(*[f"{e} AS {k}" for k, e in _LISTING.items()])
+
+
+_LISTING = {
+    "p_partkey": "p_partkey",
+    "ticker": "concat(' x', CAST(p_partkey AS {s}), CASE p_size % 7 WHEN 0 THEN '-usd' WHEN 1 THEN '.NS' WHEN 2 THEN '.B' "
+    "WHEN 3 THEN '-eth' WHEN 4 THEN '-PERP' ELSE '' END, ' ')",
+    "short_name": "CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN '' END",
+    "long_name": "CASE WHEN p_size % 5 < 3 THEN concat(p_name, ' ') WHEN p_size % 5 = 3 THEN '  ' END",
+    "quote_type": "CASE p_type WHEN 'ECONOMY' THEN 'etf' WHEN 'STANDARD' THEN 'MutualFund' WHEN 'PROMO' THEN 'INDEX' "
+    "WHEN 'SMALL' THEN ' CURRENCY' ELSE 'OTHER' END",
+}
+LISTING = "listing AS (SELECT " + ", ".join(f"{e.format(s='VARCHAR')} AS {k}" for k, e in _LISTING.items()) + " FROM part)"
+_LISTING = {k: e.format(s="string") for k, e in _LISTING.items()}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickerweave.plans import market, portfolio, technical
+from tickerweave.plans import market, news, portfolio, technical
 
-_MODULES = [technical, market, portfolio]
+_MODULES = [technical, market, portfolio, news]
 
 QUERIES = {}
 ORACLES = {}
