@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickerweave.plans import market, news, portfolio, technical
+from tickerweave.plans import evaluation, market, news, portfolio, streams, technical
 
-_MODULES = [technical, market, portfolio, news]
+_MODULES = [technical, market, portfolio, news, evaluation, streams]
 
 QUERIES = {}
 ORACLES = {}
