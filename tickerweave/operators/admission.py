@@ -53,19 +53,19 @@ def admit(events: DataFrame, key: str, ts: str, tie: str, limit: int = 60, windo
     e = events.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(tie).alias("id"), micros.alias("t"))
     home = F.floor(F.col("t") / width)
     # An event is also shown to the periods whose first windows reach back to it or whose last events look ahead to it.
-    reach = F.sequence(F.floor((F.col("t") - span) / width), F.floor((F.col("t") + 2 * span) / width))
+    reach = F.sequence(F.floor((F.col("t") - span) / width), F.floor((F.col("t") + 3 * span) / width))
     p = e.withColumn("home", home).withColumn("b", F.explode(reach))
     part = Window.partitionBy("key", "b").orderBy("t")
     back, ahead, same = part.rangeBetween(-span, 0), part.rangeBetween(0, span), part.rangeBetween(0, 0)
     p = p.withColumns({"n": F.count(F.lit(1)).over(back), "dup": F.count(F.lit(1)).over(same)})
     p = p.withColumn("tight", ((F.col("n") > limit) | (F.col("dup") > 1)).cast("int"))
     p = p.withColumn("busy", F.max("tight").over(back))
-    p = p.withColumns({"near": F.max("busy").over(ahead), "after": F.max("busy").over(back)}).filter("b = home")
+    p = p.withColumn("near", F.max("busy").over(ahead))
+    p = p.withColumn("linked", F.sum("near").over(back)).filter("b = home")
     known = p.filter("busy = 0").select("key", "id", "ts", F.lit(True).alias("allowed"), (F.lit(limit) - F.col("n")).cast("int").alias("remaining"))
     chain = p.filter("near = 1")
-    # A run starts at a known event behind which no busy one lies within a window.
-    start = F.when((F.col("busy") == 0) & (F.col("after") == 0), F.col("t"))
-    chain = chain.withColumn("s", start)
+    # A run starts where no other event of the chain lies within the window before.
+    chain = chain.withColumn("s", F.when(F.col("linked") == 1, F.col("t")))
     inside = Window.partitionBy("key", "b").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     tails = chain.groupBy("key", "b").agg(F.max("s").alias("s"))
     before = Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
