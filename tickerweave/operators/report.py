@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerweave.operators import allocation
 from tickerweave.operators import portfolio as pf
+from tickerweave.session import reuse
 
 PID = pf.PID
 
@@ -35,13 +36,16 @@ def portfolio_report(
     prices = pf.aligned_prices(positions, bars)
     ok = pf.usable_portfolios(prices).filter("status = 'ok'").select(PID)
     prices = prices.join(ok, PID, "left_semi")
-    returns = pf.log_returns(prices)
-    cov = pf.covariance(pf.return_vectors(returns), "auto")
-    weights = pf.current_weights(positions, prices)
+    # Read by several parts below, so computed once.
+    prices = reuse(prices)
+    returns = reuse(pf.log_returns(prices))
+    cov = reuse(pf.covariance(pf.return_vectors(returns), "auto"))
+    weights = reuse(pf.current_weights(positions, prices))
     feasible = pf.feasibility(weights, assets, max_position, max_sector).filter("status = 'ok'").select(PID)
     mu = pf.expected_returns(weights, probabilities).join(feasible, PID, "left_semi")
     problem = allocation.problems(mu, cov, assets)
-    best = allocation.optimize(problem, max_position, max_sector, turnover=turnover)
+    problem = reuse(problem)
+    best = reuse(allocation.optimize(problem, max_position, max_sector, turnover=turnover))
     optimal = allocation.optimal_weights(best)
     frontier = allocation.efficient_frontier(problem, max_position)
     corr = pf.correlation(cov).groupBy(PID, F.col("t1")).agg(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickerweave.plans import evaluation, market, news, portfolio, streams, technical
+from tickerweave.plans import evaluation, learning, market, news, portfolio, streams, technical
 
-_MODULES = [technical, market, portfolio, news, evaluation, streams]
+_MODULES = [technical, market, portfolio, news, evaluation, streams, learning]
 
 QUERIES = {}
 ORACLES = {}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. The cluster's own values win where they are already set.
 _DEFAULTS = {
@@ -48,15 +49,16 @@ def shared_checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def cut_lineage(df):
-    """Write the frame to the shared checkpoint folder and read it back.
+def reuse(df: DataFrame) -> DataFrame:
+    """A frame that several later parts of a job read.
 
-    Only jobs whose input is reused by many later jobs call this; without a
-    configured folder the frame is returned as it is and Spark recomputes it.
+    With a shared checkpoint folder it is written there once, which also cuts
+    the lineage and survives the loss of executors; otherwise it is cached with
+    spill to disk and Spark recomputes lost pieces.
     """
     spark = df.sparkSession
     folder = shared_checkpoint_dir(spark)
     if folder is None:
-        return df
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
