@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,13 +35,24 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     )
 
 
+def trade_order(ts, tie) -> Column:
+    """Time of day and integer tie-breaker as one number.
+
+    A fixed-width ordering key keeps min_by / max_by in hash aggregation; with a
+    struct Spark would sort all trades before the partial aggregation.
+    """
+    t = F.col(ts)
+    micros = F.unix_micros(t.cast("timestamp")) - F.unix_micros(F.date_trunc("day", t).cast("timestamp"))
+    return (micros.cast("decimal(12,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def bars_from_trades(df: DataFrame, ticker: str, ts: str, price: str, tie: str, volume=None) -> DataFrame:
     """One bar per ticker and day from single trades; first and last trade decided by `tie`.
 
     A plain grouped aggregation: partial results are merged before the shuffle,
     so a ticker that holds most of the trades costs no more than the others.
     """
-    order = F.struct(F.col(ts), F.col(tie))
+    order = trade_order(ts, tie)
     return df.groupBy(F.col(ticker).alias("ticker"), F.to_date(ts).alias("date")).agg(
         F.min_by(price, order).alias("open"),
         F.max(price).alias("high"),

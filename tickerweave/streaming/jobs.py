@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickerweave.functions.text import fingerprint
 from tickerweave.operators.fusion import last_messages
+from tickerweave.sources.bars import trade_order
 from tickerweave.sources.options import merge_snapshots, store_snapshots
 
 
@@ -18,7 +19,7 @@ def bars_from_ticks(ticks: DataFrame, width: str = "1 hour", delay: str = "2 hou
     """OHLCV per ticker and tumbling window; ticks(ticker, ts, id, price, size) later than `delay` are dropped."""
     if ticks.isStreaming:
         ticks = ticks.withWatermark("ts", delay)
-    order = F.struct("ts", "id")
+    order = trade_order("ts", "id")
     return ticks.groupBy("ticker", F.window("ts", width).alias("w")).agg(
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
