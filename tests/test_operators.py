@@ -317,4 +317,4 @@ def test_registry_write_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "reg")
     vs.write_registry(df, path)
     vs.write_registry(df.filter("horizon = '1d'"), path)
-    assert spark.read.parquet(path).count() == 2
+    assert vs.read_registry(spark, path, df.schema).count() == 2

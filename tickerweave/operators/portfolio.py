@@ -61,18 +61,22 @@ def split_positions(positions: DataFrame) -> tuple[DataFrame, DataFrame]:
 def aligned_prices(positions: DataFrame, bars: DataFrame) -> DataFrame:
     """Price matrix in long form: every date any holding traded, gaps filled forward, complete dates only.
 
-    Holdings without bars are left out; `n_assets` counts the rest.
+    Holdings without bars are left out; `n_assets` counts the rest. Once filled,
+    a date is complete exactly when every holding has started, so completeness
+    is one date per portfolio, not a count per date.
     """
     held = positions.select(PID, "ticker").distinct()
-    have = held.join(bars.select("ticker").distinct(), "ticker", "left_semi")
-    px = have.join(bars.select("ticker", "date", "close"), "ticker")
+    px = held.join(bars.select("ticker", "date", "close"), "ticker")
+    first = px.groupBy(PID, "ticker").agg(F.min(F.when(F.col("close").isNotNull(), F.col("date"))).alias("first"))
+    start = first.groupBy(PID).agg(
+        F.count(F.lit(1)).alias("n_assets"), F.count("first").alias("started"), F.max("first").alias("start")
+    ).filter("n_assets = started")
     dates = px.select(PID, "date").distinct()
-    grid = dates.join(have, PID).join(px, [PID, "ticker", "date"], "left")
+    grid = dates.join(first.select(PID, "ticker"), PID).join(px, [PID, "ticker", "date"], "left")
     w = Window.partitionBy(PID, "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.select(PID, "ticker", "date", F.last("close", ignorenulls=True).over(w).alias("close"))
-    sizes = have.groupBy(PID).agg(F.count(F.lit(1)).alias("n_assets"))
-    full = filled.groupBy(PID, "date").agg(F.count("close").alias("__n")).join(sizes, PID).filter("__n = n_assets")
-    return filled.join(full.select(PID, "date", "n_assets"), [PID, "date"])
+    full = filled.join(start, PID).filter(F.col("date") >= F.col("start"))
+    return full.select(PID, "date", "ticker", "close", "n_assets")
 
 
 def usable_portfolios(prices: DataFrame) -> DataFrame:
@@ -83,20 +87,26 @@ def usable_portfolios(prices: DataFrame) -> DataFrame:
     )
 
 
-def log_returns(prices: DataFrame) -> DataFrame:
-    """Daily log returns; a date on which any asset has none is dropped for the whole portfolio."""
+def return_vectors(prices: DataFrame) -> DataFrame:
+    """One row per portfolio and date: assets in ticker order and their log returns; newest = day_rank 1.
+
+    A date on which any asset has no finite return is dropped for the whole portfolio.
+    """
     w = Window.partitionBy(PID, "ticker").orderBy("date")
     lr = F.ln(F.when(F.col("close") > 0, div("close", F.lag("close", 1).over(w))))
-    r = prices.select(PID, "ticker", "date", "n_assets", lr.alias("r"))
-    ok = r.groupBy(PID, "date").agg(F.count("r").alias("k"), F.max("n_assets").alias("n")).filter("k = n")
-    return r.join(ok.select(PID, "date"), [PID, "date"], "left_semi").select(PID, "date", "ticker", "r")
-
-
-def return_vectors(returns: DataFrame) -> DataFrame:
-    """One row per portfolio and date: assets in ticker order and their returns; newest = day_rank 1."""
-    v = returns.groupBy(PID, "date").agg(F.sort_array(F.collect_list(F.struct("ticker", "r"))).alias("s"))
-    w = Window.partitionBy(PID).orderBy(F.col("date").desc())
-    return v.select(PID, "date", F.col("s.ticker").alias("tickers"), F.col("s.r").alias("r"), F.row_number().over(w).alias("day_rank"))
+    v = prices.select(PID, "ticker", "date", "n_assets", lr.alias("r")).groupBy(PID, "date").agg(
+        F.sort_array(F.collect_list(F.struct("ticker", "r"))).alias("s"),
+        F.count("r").alias("__k"),
+        F.max("n_assets").alias("__n"),
+    ).filter("__k = __n")
+    rank = F.row_number().over(Window.partitionBy(PID).orderBy(F.col("date").desc()))
+    return v.select(PID, "date", F.col("s.ticker").alias("tickers"), F.col("s.r").alias("r"), rank.alias("day_rank"))
+
+
+def log_returns(vectors: DataFrame) -> DataFrame:
+    """The vectors in long form (portfolio, date, ticker, r)."""
+    z = F.explode(F.arrays_zip("tickers", "r")).alias("z")
+    return vectors.select(PID, "date", z).select(PID, "date", F.col("z.tickers").alias("ticker"), F.col("z.r").alias("r"))
 
 
 def _pairs(a: Column, f) -> Column:

@@ -38,8 +38,9 @@ def portfolio_report(
     prices = prices.join(ok, PID, "left_semi")
     # Read by several parts below, so computed once.
     prices = reuse(prices)
-    returns = reuse(pf.log_returns(prices))
-    cov = reuse(pf.covariance(pf.return_vectors(returns), "auto"))
+    vectors = reuse(pf.return_vectors(prices))
+    returns = pf.log_returns(vectors)
+    cov = reuse(pf.covariance(vectors, "auto"))
     weights = reuse(pf.current_weights(positions, prices))
     feasible = pf.feasibility(weights, assets, max_position, max_sector).filter("status = 'ok'").select(PID)
     mu = pf.expected_returns(weights, probabilities).join(feasible, PID, "left_semi")

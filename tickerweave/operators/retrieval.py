@@ -215,7 +215,7 @@ def context_block(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Text and JSON files as documents: a JSON list gives one per element, anything else one per file."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("source", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
+    raw = spark.read.text(path, wholetext=True).withColumn("source", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
     return json_documents(raw, F.col("source").endswith(".json"))
 
 

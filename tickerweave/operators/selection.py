@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tickerweave.functions.core import div
 from tickerweave.operators.portfolio import _pairs
+from tickerweave.session import reuse
 
 MAX_CORRELATION = 0.95
 BOTTOM_VARIANCE = 0.05
@@ -137,6 +138,7 @@ def robust_select(features: list[str], stats: FoldStats, mi: dict[str, float]) -
 
 def basic_select(df: DataFrame, features: list[str], label: str = "label", top_n: int = 60, min_variance: float = 1e-5) -> list[str]:
     """Fixed variance floor (population form), later column of each correlated pair dropped, top-n by information."""
+    df = reuse(df.select(label, *features))
     s = fold_statistics(df, features, label)[0]
     pop = s.var * (s.n - 1) / s.n
     keep = [k for k in range(len(features)) if pop[k] > min_variance]
@@ -154,6 +156,7 @@ def stability_select(split: DataFrame, features: list[str], label: str = "label"
 
     `split` carries the columns of walk_forward.
     """
+    split = reuse(split.select("rn", "min_train", "fold_size", label, *features))
     first = F.when(F.col("rn") < F.col("min_train"), 0)
     for f in range(1, folds):
         first = first.when(F.col("rn") < F.col("min_train") + f * F.col("fold_size"), f)

@@ -6,6 +6,7 @@ active(ticker, model_name, horizon, version_id)
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,17 +135,23 @@ def retrain_triggers(wanted: DataFrame, versions: DataFrame, active: DataFrame,
     return df.select(*SLOT, "version_id", reason.alias("trigger"))
 
 
+def read_registry(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """Registry rows, None before the first write. The schema keeps horizons such as "1d" as text."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_registry(versions: DataFrame, path: str) -> None:
     """Adds version rows to the registry, partitioned by horizon; rewriting the same ids changes nothing."""
     spark = versions.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # first write
-        old = None
+    old = read_registry(spark, path, versions.schema)
     merged = versions
     if old is not None:
         keys = [*SLOT, "version_id"]
-        hit = old.join(F.broadcast(versions.select("horizon").distinct()), "horizon", "left_semi")
+        hit = old.join(versions.select("horizon").distinct(), "horizon", "left_semi")
         merged = hit.join(versions, keys, "left_anti").select(versions.columns).unionByName(versions)
         staged = f"{path}__staged"
         merged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staged)

@@ -17,12 +17,16 @@ def _prices(spark, sf):
     return pf.aligned_prices(i.positions(spark, sf), i.bars(spark, sf))
 
 
+def _vectors(spark, sf):
+    return pf.return_vectors(_prices(spark, sf))
+
+
 def _returns(spark, sf):
-    return pf.log_returns(_prices(spark, sf))
+    return pf.log_returns(_vectors(spark, sf))
 
 
 def _cov(spark, sf, method="sample"):
-    return pf.covariance(pf.return_vectors(_returns(spark, sf)), method)
+    return pf.covariance(_vectors(spark, sf), method)
 
 
 def _weights(spark, sf):
@@ -86,7 +90,7 @@ def _lw(spark, sf):
     """25 brands as one asset universe: shrinkage applies above ten assets."""
     b = i.bars_brand(spark, sf)
     held = b.select("ticker").distinct().select(F.lit(0).alias("portfolio_id"), "ticker")
-    vec = pf.return_vectors(pf.log_returns(pf.aligned_prices(held, b)))
+    vec = pf.return_vectors(pf.aligned_prices(held, b))
     c = pf.covariance(vec, "auto")
     return c.select("t1", "t2", rnd("cov").alias("cov"), "method", "lookback_days", rnd("shrinkage").alias("shrinkage"))
 

@@ -14,6 +14,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Folder values such as a horizon of "1d" or a ticker of "007" are text, not numbers.
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Recording the call site of every column expression doubles the time to build wide plans.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -120,7 +120,8 @@ def read_fresh(spark: SparkSession, path: str, max_age_days: float, now=None) ->
     """Stored bars whose age does not exceed the limit; exactly at the limit still counts as fresh."""
     moment = F.lit(now).cast("timestamp") if now is not None else F.current_timestamp()
     age = moment.cast("double") - F.col("ingested_at").cast("double")
-    return spark.read.parquet(path).filter(age <= max_age_days * 86400)
+    stored = T.StructType([*BAR_SCHEMA.fields, T.StructField("ingested_at", T.TimestampType())])
+    return spark.read.schema(stored).parquet(path).filter(age <= max_age_days * 86400)
 
 
 def summarize(bars: DataFrame) -> DataFrame:

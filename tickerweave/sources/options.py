@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,16 +136,17 @@ def store_snapshots(spark: SparkSession, path: str, fresh: DataFrame) -> None:
     month = F.date_format("snapshot_date", "yyyy-MM")
     batch = fresh.withColumn("month", month)
     try:
-        stored = spark.read.parquet(path)
-    except Exception:  # first batch: no table yet
+        spark.read.parquet(path)
+        stored = spark.read.schema(batch.schema).parquet(path)
+    except AnalysisException:  # first batch: no table yet
         stored = None
     if stored is not None:
         months = batch.select("month").distinct()
-        touched = stored.withColumn("month", F.col("month").cast("string")).join(F.broadcast(months), "month", "left_semi")
+        touched = stored.join(months, "month", "left_semi")
         batch = merge_snapshots(touched.drop("month"), fresh).withColumn("month", month)
         staged = f"{path}__staged"
         batch.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(staged)
-        batch = spark.read.parquet(staged).withColumn("month", month)
+        batch = spark.read.schema(batch.schema).parquet(staged)
     batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 

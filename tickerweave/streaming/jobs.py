@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,8 +31,11 @@ def bars_from_ticks(ticks: DataFrame, width: str = "1 hour", delay: str = "2 hou
     ).select("ticker", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume", "n_ticks")
 
 
-def admit_stream(requests: DataFrame, limit: int = 60, window: int = 60) -> DataFrame:
-    """requests(key, ts, id): sliding-window admission with the admitted instants of each key as state."""
+def admit_stream(requests: DataFrame, limit: int = 60, window: int = 60, delay: str = "10 minutes") -> DataFrame:
+    """requests(key, ts, id): sliding-window admission with the admitted instants of each key as state.
+
+    An idle key is forgotten once the watermark has passed its last window.
+    """
     span = window * 1_000_000
 
     def step(key, frames, state: GroupState):
@@ -48,13 +52,13 @@ def admit_stream(requests: DataFrame, limit: int = 60, window: int = 60) -> Data
             if ok[-1]:
                 kept.append(t)
         state.update((list(kept),))
-        # An idle key is forgotten once its window has passed.
-        state.setTimeoutDuration(max(window, 1) * 1000)
+        last = kept[-1] // 1000 if kept else 0
+        state.setTimeoutTimestamp(max(last + window * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"key": rows["key"].to_numpy(), "id": rows["id"].to_numpy(), "allowed": ok})
 
     kind = requests.schema["key"].dataType.simpleString()
-    return requests.groupBy("key").applyInPandasWithState(
-        step, f"key {kind}, id bigint, allowed boolean", "kept array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return requests.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
+        step, f"key {kind}, id bigint, allowed boolean", "kept array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -116,18 +120,27 @@ def snapshot_sink(path: str):
     return write
 
 
-def memory_sink(path: str, limit: int = 20):
-    """foreachBatch function: keeps the last messages of every conversation in a parquet table."""
+def memory_sink(path: str, limit: int = 20, buckets: int = 64):
+    """foreachBatch function: keeps the last messages of every conversation in a bucketed parquet table.
 
-    def write(batch: DataFrame, batch_id: int):
+    Only the buckets of the conversations in the batch are read and rewritten.
+    """
+
+    def write(batch: DataFrame, _batch_id: int):
         spark = batch.sparkSession
-        rows = batch.select("conv_id", "turn", "role", "text")
+        new = batch.select("conv_id", "turn", "role", "text", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)).cast("int").alias("bucket"))
+        rows = new
         try:
-            rows = spark.read.parquet(path).select(rows.columns).unionByName(rows).dropDuplicates(["conv_id", "turn"])
-        except Exception:  # first batch
+            spark.read.parquet(path)
+            old = spark.read.schema(new.schema).parquet(path).join(new.select("bucket").distinct(), "bucket", "left_semi")
+            rows = old.select(new.columns).unionByName(new).dropDuplicates(["conv_id", "turn"])
+        except AnalysisException:  # first batch: no table yet
             pass
         staged = f"{path}__staged"
-        last_messages(rows, limit).write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+        kept = last_messages(rows, limit).select(new.columns)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(staged)
+        spark.read.schema(new.schema).parquet(staged).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("bucket").parquet(path)
 
     return write
