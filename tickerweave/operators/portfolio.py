@@ -81,7 +81,9 @@ def aligned_prices(positions: DataFrame, bars: DataFrame) -> DataFrame:
 
 def usable_portfolios(prices: DataFrame) -> DataFrame:
     """Portfolios with at least 2 assets and 60 common dates."""
-    s = prices.groupBy(PID).agg(F.max("n_assets").alias("n_assets"), F.countDistinct("date").alias("n_dates"))
+    # Complete dates carry one row per asset.
+    s = prices.groupBy(PID).agg(F.max("n_assets").alias("n_assets"), F.count(F.lit(1)).alias("rows"))
+    s = s.select(PID, "n_assets", (F.col("rows") / F.col("n_assets")).cast("bigint").alias("n_dates"))
     return s.withColumn(
         "status", F.when(F.col("n_assets") < 2, "too_few_assets").when(F.col("n_dates") < MIN_DAYS, "too_few_dates").otherwise("ok")
     )

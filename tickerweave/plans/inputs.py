@@ -87,7 +87,7 @@ def series(spark: SparkSession, sf: str) -> DataFrame:
     price = F.round(F.avg("o_totalprice"), 6).alias("close")
     funds = (
         o.join(c, F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy(fund.alias("symbol"), day)
         .agg(price)
     )

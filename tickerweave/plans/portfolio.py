@@ -127,14 +127,14 @@ _LATTICE_SQL = with_ctes(
       FROM rng a, rng b, rng c, rng d WHERE a.v + b.v + c.v + d.v BETWEEN 5 AND 10)""",
     "gl AS (SELECT gid, UNNEST([1, 2, 3, 4, 5]) AS k, UNNEST([g1, g2, g3, g4, g5]) / 10.0::DOUBLE AS w FROM grid_w)",
     "lw AS (SELECT portfolio_id, gid, ticker, w, mu FROM a JOIN gl USING (k))",
-    """ret AS (SELECT portfolio_id, gid, sum(w * mu) AS ret FROM lw GROUP BY ALL)""",
+    """ret AS (SELECT portfolio_id, gid, sum(w * mu) AS ret, count(*) AS n FROM lw GROUP BY portfolio_id, gid HAVING abs(sum(w) - 1) < 1e-9)""",
     """var AS (SELECT x.portfolio_id, x.gid, sum(x.w * y.w * cov) AS var FROM lw x JOIN lw y USING (portfolio_id, gid)
       JOIN cov ON cov.portfolio_id = x.portfolio_id AND t1 = x.ticker AND t2 = y.ticker GROUP BY ALL)""",
-    """sc AS (SELECT portfolio_id, gid, round(ret / sqrt(greatest(var, 1e-12)), 9) AS sharpe FROM ret JOIN var USING (portfolio_id, gid))""",
+    """sc AS (SELECT portfolio_id, gid, n, round(ret / sqrt(greatest(var, 1e-12)), 9) AS sharpe FROM ret JOIN var USING (portfolio_id, gid))""",
     """best AS (SELECT * FROM sc JOIN grid_w USING (gid) QUALIFY row_number() OVER (PARTITION BY portfolio_id
       ORDER BY sharpe DESC, g1 DESC, g2 DESC, g3 DESC, g4 DESC) = 1)""",
     select=f"""SELECT portfolio_id, (SELECT string_agg(ticker, ',' ORDER BY ticker) FROM a WHERE a.portfolio_id = best.portfolio_id) AS tickers,
-      concat_ws(',', g1, g2, g3, g4, g5) AS tenths, {r('sharpe')} AS sharpe FROM best""",
+      array_to_string([g1, g2, g3, g4, g5][1:n], ',') AS tenths, {r('sharpe')} AS sharpe FROM best""",
 )
 
 
