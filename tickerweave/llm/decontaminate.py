@@ -67,11 +67,12 @@ def _scan(text: str, words: list[bytes], automaton) -> tuple[int, list[tuple[int
 
 
 _FINDER = re.compile(WORD)
+_LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
 def _original(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
     """Word ranges as character offsets of the text as it came; ranges of an item that touch are one."""
-    at = [m.span() for m in _FINDER.finditer(text)]
+    at = [m.span() for m in _FINDER.finditer(text.translate(_LOWER))]
     merged: list[list] = []
     for item, a, b in sorted((i, a, b) for a, b, i in spans):
         if merged and merged[-1][0] == item and a <= merged[-1][2]:
