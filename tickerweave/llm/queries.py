@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerweave.llm import decontaminate, line_dedup, token_counts, warc
+from tickerweave.llm import decontaminate, line_dedup, near_dup, token_counts, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -111,6 +111,32 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("kind").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
 
 
+_OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM pairs JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * k >= 75 * (p.n + q.n - k)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT link.b, reach.c FROM reach JOIN link ON reach.a = link.a WHERE reach.c < link.b
+), low AS (SELECT a, min(c) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, c = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN low ON low.a = d.doc_id
+"""
+
+
+@query("op9_near_duplicates", _OP9_SQL)
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs, size=5, percent=75, permutations=64)
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
