@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerweave.llm import decontaminate, line_dedup, near_dup, token_counts, warc
+from tickerweave.llm import decontaminate, line_dedup, near_dup, token_counts, vector_dup, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -111,6 +111,27 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("kind").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
 
 
+_OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT link.b, reach.c FROM reach JOIN link ON reach.a = link.a WHERE reach.c < link.b
+), low AS (SELECT a, min(c) AS c FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, c = vec_id AS kept
+FROM embeddings JOIN low ON low.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+@query("op7_embedding_near_dedup", _OP7_SQL)
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 _OP9_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
