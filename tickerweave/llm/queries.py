@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerweave.llm import decontaminate, line_dedup, near_dup, token_counts, vector_dup, warc
+from tickerweave.llm import decontaminate, labelled, language_model, line_dedup, near_dup, token_counts, vector_dup, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -54,6 +54,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", hex_sha256(F.col("text")).alias("kept_sha256"))
 
 
+@query("op2_language_model")
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = labelled.fold("doc_id", 7) == 2
+    out = language_model.score_documents(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 _OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
