@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerweave.llm import decontaminate, labelled, language_model, line_dedup, near_dup, token_counts, vector_dup, warc
+from tickerweave.llm import decontaminate, labelled, language_model, line_dedup, near_dup, quality, token_counts, toxicity, vector_dup, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -119,6 +119,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("kind").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
 
 
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = labelled.fold("doc_id", 5) == 0
+    net = quality.learn(docs, table(spark, sf_dir, "labels"), ~held)
+    return quality.score_quality(docs, net, threshold=0.3).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 _OP7_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -140,6 +148,14 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dup.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = labelled.fold("doc_id", 3) == 1
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held, threshold=0.7)
+    return toxicity.score_toxicity(docs, machine, threshold=0.7).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 _OP9_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
