@@ -96,3 +96,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = cut(jumped.select("node", "n", "old", F.least("k1", "root").alias("component")))
         if labels.filter("old <> component").limit(1).count() == 0:
             return labels.select("node", "component")
+
+
+def frequent_rows(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """Rows of counts with the largest n, at most `most`: a value of n is taken with all its rows or not at all."""
+    levels = counts.groupBy(n).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc(n)).limit(most + 1).collect()
+    least, held = None, 0
+    for level in levels:
+        if held + level["rows"] > most:
+            break
+        least, held = level[n], held + level["rows"]
+    return counts.filter(F.col(n) >= F.lit(least))

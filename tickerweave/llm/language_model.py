@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerweave.llm.common import write_once
+from tickerweave.llm.common import frequent_rows, write_once
 
 #: The token that ends a document. It holds white space, so no word equals it.
 END = b"\n"
@@ -54,16 +54,7 @@ def count_words(texts: DataFrame, text_col: str, flush: int = 300_000) -> DataFr
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """The most frequent words, at most `most`, by falling count; a count is taken whole or not at all."""
-    levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    # Only the levels that can matter: with more than `most` words at or above it, a level is out.
-    least, held = None, 0
-    for row in levels.orderBy(F.desc("n")).limit(most + 1).collect():
-        if held + row["words"] > most:
-            break
-        least, held = row["n"], held + row["words"]
-    if least is None:
-        return []
-    rows = [(bytes(r["word"]), r["n"]) for r in counts.filter(F.col("n") >= least).collect()]
+    rows = [(bytes(r["word"]), r["n"]) for r in frequent_rows(counts, "n", most).collect()]
     return sorted(rows, key=lambda r: (-r[1], r[0]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerweave.llm import decontaminate, labelled, language_model, line_dedup, near_dup, quality, token_counts, toxicity, vector_dup, warc
+from tickerweave.llm import byte_bpe, decontaminate, labelled, language_model, line_dedup, near_dup, quality, token_counts, toxicity, vector_dup, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -95,6 +95,15 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = byte_bpe.encode_texts(docs).drop("text")
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_sha256(ids).alias("ids_sha256"),
+                      F.sha2(byte_bpe.decode_ids(F.col("ids")), 256).alias("decoded_sha256"))
+
+
 _OP5_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
