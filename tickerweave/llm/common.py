@@ -71,31 +71,26 @@ def lookup(left: DataFrame, table: DataFrame, keys: tuple[str, str], weight: str
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of the edges (a, b: long) and the smallest node it reaches.
 
-    Labels fall to the smallest neighbour's, then to the label of their label, until none changes:
-    about log2 of the longest path rounds, each cut by a checkpoint. Nodes with very many edges
-    are looked up by broadcast, see lookup; a minimum per node is pre-aggregated before its shuffle.
+    Labels fall to the smallest label among the neighbours, then to the label of their label, until none
+    changes: about log2 of the longest path rounds of one job each, cut by a checkpoint. The minimum per node
+    is pre-aggregated before its shuffle. Nodes with very many edges, and labels that very many nodes share,
+    are on one side of a plain join by key whose other side has one row per key; adaptive execution splits them.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     both = cut(both.distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-                 .select(F.col("a").alias("node"), F.least("a", "m").alias("component"), "n"))
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    labels = cut(labels)
     while True:
-        table = labels.select(F.col("node").alias("k1"), F.lit("").alias("k2"), "n", "component")
-        seen = lookup(both.select(F.col("a").alias("k1"), F.lit("").alias("k2"), "b"), table, ("k1", "k2"), "n",
-                      ["component"], F.xxhash64("b"))
+        seen = both.join(labels.select(F.col("node").alias("a"), "component"), "a")
         least = seen.groupBy("b").agg(F.min("component").alias("m"))
-        step = labels.join(least, labels.node == least.b, "left").select(
-            "node", "n", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        step = cut(step)
-        # The label of a label: many nodes may share one, so its weight is how many do.
-        shares = step.groupBy(F.col("component").alias("node")).agg(F.count(F.lit(1)).alias("w"))
-        roots = step.select("node", F.col("component").alias("root")).join(shares, "node").select(
-            F.col("node").alias("k1"), F.lit("").alias("k2"), "w", "root")
-        jumped = lookup(step.withColumnsRenamed({"component": "k1"}).withColumn("k2", F.lit("")), roots, ("k1", "k2"), "w",
-                        ["root"], F.xxhash64("node"))
-        labels = cut(jumped.select("node", "n", "old", F.least("k1", "root").alias("component")))
-        if labels.filter("old <> component").limit(1).count() == 0:
-            return labels.select("node", "component")
+        step = labels.join(least, labels.node == least.b).select(
+            "node", F.col("component").alias("old"), F.least("component", "m").alias("low"))
+        # Every label is a node, whose own label before this round is at least as low as it.
+        roots = labels.select(F.col("node").alias("low"), F.col("component").alias("root"))
+        step = cut(step.join(roots, "low").select("node", "old", F.least("low", "root").alias("component")))
+        labels = step.select("node", "component")
+        if step.filter("old <> component").limit(1).count() == 0:
+            return labels
 
 
 def frequent_rows(counts: DataFrame, n: str, most: int) -> DataFrame:

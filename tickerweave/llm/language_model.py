@@ -320,7 +320,7 @@ def train_pass(texts: DataFrame, words: list[bytes], net: Network, lanes: int, w
 
 
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", hidden: int = 16,
-                    vocabulary: int = VOCABULARY, words: int = FREQUENT, lanes: int = 128, window: int = 16, stride: int = 8,
+                    vocabulary: int = VOCABULARY, words: int = FREQUENT, lanes: int = 128, window: int = 16, stride: int = 16,
                     passes: int = 4, rate: float = 0.1) -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
 
