@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tickerweave.llm.common import frequent_rows
+from tickerweave.llm.common import frequent_rows, write_once
 from tickerweave.llm.tokens import BYTE_BPE, PATTERN, read_ranks
 
 #: White space of the published pattern, spelled out because engines differ in what \\s covers.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most words whose ids are kept ready and broadcast; other words are encoded once for each batch of texts.
 FREQUENT = 400_000
+#: Tasks that encode them.
+WAYS = 96
 #: Characters of text in a batch.
 BATCH = 16 << 20
 #: Distinct words a counting task holds before it passes them on.
@@ -183,8 +185,9 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
     """
     spark = docs.sparkSession
     codec = Codec(read_ranks(ranks_path))
-    counts = count_words(docs, text_col, pattern)
-    ready = frequent_rows(counts, "n", frequent).select("word", codec.encode_text_word(F.col("word")).alias("ids")).toArrow()
+    counts = write_once(count_words(docs, text_col, pattern), "bpe-words")
+    some = frequent_rows(counts, "n", frequent).repartition(WAYS, "word")
+    ready = some.select("word", codec.encode_text_word(F.col("word")).alias("ids")).toArrow()
     words, ids = ready["word"].to_pylist(), ready["ids"].combine_chunks()
     lengths = np.array([len(x) for x in ids], np.int64)
     sent = spark.sparkContext.broadcast((words, lengths, ids.flatten().to_numpy().astype(np.int32)))
