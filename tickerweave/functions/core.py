@@ -67,8 +67,9 @@ def sma(c, n: int, **kw) -> Column:
 
 
 def pct_change(c, k: int, part=("ticker",), order=("date",)) -> Column:
-    c = col(c)
-    return div(c, F.lag(c, k).over(ordered(part, order))) - 1
+    """Change over k rows; a missing value counts as the last one before it."""
+    past = ordered(part, order).rowsBetween(Window.unboundedPreceding, -k)
+    return div(ffill(c, part, order), F.last(col(c), ignorenulls=True).over(past)) - 1
 
 
 def log_return(c, part=("ticker",), order=("date",)) -> Column:

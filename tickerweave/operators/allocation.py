@@ -245,14 +245,15 @@ def efficient_frontier(problem: DataFrame, max_position: float = MAX_POSITION, l
 
 
 def lattice_search(problem: DataFrame, steps: int = 10, max_position: float = MAX_POSITION, max_sector: float = MAX_SECTOR) -> DataFrame:
-    """Best Sharpe ratio among all weight vectors on a grid of 1/steps that meet the caps (few assets only).
+    """Best Sharpe ratio among all weight vectors on a grid of 1/steps that meet the caps.
 
-    Each portfolio row unfolds into its own grid; nothing is joined.
+    Each portfolio row unfolds into its own grid; nothing is joined. The grid has C(assets + steps - 1, steps)
+    points, so this is an exact check for portfolios of moderate size.
     """
     k_max = int(round(max_position * steps))
-    df = problem.filter(F.size("tickers") <= 5).withColumn("n", F.size("tickers"))
-    df = df.withColumn("g", F.array().cast("array<int>"))
-    for pos in range(5):
+    df = problem.withColumn("n", F.size("tickers")).withColumn("g", F.array().cast("array<int>"))
+    most = problem.agg(F.max(F.size("tickers"))).first()[0] or 0
+    for pos in range(most):
         left = F.lit(steps) - F.aggregate("g", F.lit(0), lambda acc, v: acc + v)
         # The last asset takes what is left; positions beyond the last stay untouched.
         options = (

@@ -54,6 +54,8 @@ class _PageText(HTMLParser):
         self.seen: set[str] = set()
 
     def _kind(self, tag, attrs):
+        if tag in ("h1", "title"):  # headings count wherever they stand
+            return tag
         if self.noise:
             return None
         if tag in ("article", "main", "body"):
@@ -64,7 +66,7 @@ class _PageText(HTMLParser):
                 return "div_id"
             if any(n in (a.get("class") or "").lower() for n in _CONTENT_NAMES):
                 return "div_class"
-        return "h1" if tag == "h1" else "title" if tag == "title" else None
+        return None
 
     def handle_starttag(self, tag, attrs):
         kind = self._kind(tag, attrs)
@@ -90,13 +92,15 @@ class _PageText(HTMLParser):
 
     def handle_data(self, data):
         piece = data.strip()
-        if not piece or self.noise:
+        if not piece:
             return
         kinds = {k for _, k in self.stack if k}
         if "title" in kinds:
             self.title.append(piece)
         if "h1" in kinds:
             self.h1.append(piece)
+        if self.noise:
+            return
         for k in kinds:
             self.text.setdefault(k, []).append(piece)
         if not any(t == "head" for t, _ in self.stack):

@@ -198,7 +198,7 @@ def batch_score(model, latest: DataFrame, features: list[str], required: list[st
     gone = missing_columns(latest, required or features)
     if gone:
         bad = latest.select("ticker", F.lit("missing columns: " + ", ".join(gone)).alias("reason"))
-        return latest.limit(0).select("ticker", F.lit(0.0).alias("p")), bad
+        return latest.limit(0).select("ticker", "date", F.lit(0.0).alias("p_bullish")), bad
     whole = F.lit(True)
     for c in features:
         whole = whole & F.col(c).isNotNull()

@@ -6,10 +6,11 @@ active(ticker, model_name, horizon, version_id)
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickerweave.sources.store import overwrite_partitions, stored
+
 SLOT = ["ticker", "model_name", "horizon"]
 # Models in order of preference, limits.
 PREFERENCE = ["xgboost", "lightgbm", "random_forest", "logistic_regression"]
@@ -137,11 +138,7 @@ def retrain_triggers(wanted: DataFrame, versions: DataFrame, active: DataFrame,
 
 def read_registry(spark: SparkSession, path: str, schema) -> DataFrame | None:
     """Registry rows, None before the first write. The schema keeps horizons such as "1d" as text."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    return spark.read.schema(schema).parquet(path)
+    return stored(spark, path, schema, ("horizon",))
 
 
 def write_registry(versions: DataFrame, path: str) -> None:
@@ -153,7 +150,4 @@ def write_registry(versions: DataFrame, path: str) -> None:
         keys = [*SLOT, "version_id"]
         hit = old.join(versions.select("horizon").distinct(), "horizon", "left_semi")
         merged = hit.join(versions, keys, "left_anti").select(versions.columns).unionByName(versions)
-        staged = f"{path}__staged"
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staged)
-        merged = spark.read.parquet(staged)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("horizon").parquet(path)
+    overwrite_partitions(merged, path, "horizon")

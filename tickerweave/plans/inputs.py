@@ -261,15 +261,15 @@ POSITIONS = f"""positions AS (
 
 
 def probabilities(spark: SparkSession, sf: str) -> DataFrame:
-    """Probability of a rise per ticker: share of finished orders; one ticker has none."""
-    o = read(spark, sf, "orders").filter("o_orderpriority <> '4-NOT SPECIFIED'")
-    return o.groupBy(F.col("o_orderpriority").alias("ticker")).agg(
+    """Probability of a rise per ticker: share of finished orders; the ticker with the smallest share has none."""
+    o = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("ticker")).agg(
         F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("p_bullish")
     )
+    return o.join(o.agg(F.min("p_bullish").alias("least")), F.col("p_bullish") > F.col("least")).drop("least")
 
 
 PROBS = """probs AS (SELECT o_orderpriority AS ticker, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS p
-  FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY 1)"""
+  FROM orders GROUP BY 1 QUALIFY p > min(p) OVER ())"""
 
 
 # --- news -------------------------------------------------------------------------

@@ -394,7 +394,7 @@ _UPSERT_SQL = with_ctes(
 
 
 def _batch(spark, sf):
-    fresh = _snapshots(spark, sf).filter("snapshot_date >= '1996-01-01'")
+    fresh = _snapshots(spark, sf)
     watch = i.read(spark, sf, "part").select(F.upper(F.trim("p_brand")).alias("ticker")).distinct()
     watch = watch.unionByName(i.read(spark, sf, "region").select(F.upper("r_name").alias("ticker")))
     return osrc.batch_report(watch, fresh)
@@ -404,7 +404,7 @@ _BATCH_SQL = with_ctes(
     i.CHAIN, i.SPOT, _ATM, _SNAPS,
     "watch AS (SELECT DISTINCT upper(trim(p_brand)) AS ticker FROM part UNION SELECT upper(r_name) FROM region)",
     """agg AS (SELECT ticker, max(snapshot_date) AS last_snapshot, bool_or(is_optionable) AS opt,
-    sum(n_contracts_used) AS contracts FROM snaps WHERE snapshot_date >= DATE '1996-01-01' GROUP BY ticker)""",
+    sum(n_contracts_used) AS contracts FROM snaps GROUP BY ticker)""",
     select="""SELECT ticker, last_snapshot, CAST(coalesce(contracts, 0) AS BIGINT) AS contracts,
     CASE WHEN opt IS NULL THEN 'no_chain' WHEN opt THEN 'ok' ELSE 'not_optionable' END AS status
     FROM watch LEFT JOIN agg USING (ticker)""",

@@ -290,18 +290,18 @@ _FORMATS_SQL = """SELECT o_orderkey, printf('%.1f%%', round(p, 3) * 100) AS pct,
 
 def _rounding(spark, sf):
     """Fixed decimal places by kind of value: metrics 4, prices 2, sentiment 3; and the scalar functions around them."""
-    e = i.read(spark, sf, "events").filter("value IS NOT NULL")
+    e = i.read(spark, sf, "events")
     v = F.col("value")
     return e.select(
         "event_id", F.round(v / 97, 4).alias("metric"), F.round(v * 1.37, 2).alias("price_2dp"), rnd(F.sin(v), 3).alias("sentiment_3dp"),
         rnd(F.ln(v + 1)).alias("ln_v"), rnd(F.sqrt(F.abs(v))).alias("sqrt_v"), rnd(F.exp(-v / 50)).alias("exp_v"),
-        F.signum(v - 20).alias("sign_v"), F.greatest(F.lit(10.0), F.least(v, F.lit(60.0))).alias("clip_v"), rnd(F.pow(v, F.lit(1.5)), 4).alias("pow_v"),
+        F.signum(v - 20).alias("sign_v"), F.when(v.isNotNull(), F.greatest(F.lit(10.0), F.least(v, F.lit(60.0)))).alias("clip_v"), rnd(F.pow(v, F.lit(1.5)), 4).alias("pow_v"),
     )
 
 
 _ROUNDING_SQL = f"""SELECT event_id, round(value / 97, 4) AS metric, round(value * 1.37::DOUBLE, 2) AS price_2dp, {r('sin(value)', 3)} AS sentiment_3dp,
   {r('ln(value + 1)')} AS ln_v, {r('sqrt(abs(value))')} AS sqrt_v, {r('exp(-value / 50)')} AS exp_v, CAST(sign(value - 20) AS DOUBLE) AS sign_v,
-  greatest(10.0::DOUBLE, least(value, 60.0::DOUBLE)) AS clip_v, {r('pow(value, 1.5)', 4)} AS pow_v FROM events WHERE value IS NOT NULL"""
+  CASE WHEN value IS NOT NULL THEN greatest(10.0::DOUBLE, least(value, 60.0::DOUBLE)) END AS clip_v, {r('pow(value, 1.5)', 4)} AS pow_v FROM events"""
 
 
 def _iso(spark, sf):
@@ -476,14 +476,14 @@ hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(
 def _context(spark, sf):
     h = retrieval.search(_centroids(spark, sf), i.read(spark, sf, "embeddings"), block_rows=5_000)
     d = i.read(spark, sf, "documents").select(
-        F.col("doc_id").alias("vec_id"), F.substring("text", 1, 300).alias("content"), "source",
+        F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), "source",
         F.when(F.col("doc_id") % 2 == 0, F.substring_index("text", "\n", 1)).alias("title"),
     )
     return retrieval.context_block(h, d)
 
 
 _CONTEXT_SQL = "WITH " + _SEARCH + """,
-d AS (SELECT doc_id AS vec_id, left(text, 300) AS content, source, CASE WHEN doc_id % 2 = 0 THEN split_part(text, chr(10), 1) END AS title FROM documents),
+d AS (SELECT doc_id AS vec_id, text AS content, source, CASE WHEN doc_id % 2 = 0 THEN split_part(text, chr(10), 1) END AS title FROM documents),
 p AS (SELECT query_id, rank, printf('[%d] (source: %s, score: %.4f)', rank, CASE WHEN coalesce(title, '') <> '' THEN title || ' (' || source || ')' ELSE source END,
   round(score, 4)) || chr(10) || content || chr(10) AS p FROM hits JOIN d USING (vec_id))
 SELECT query_id, 'Relevant financial context:' || chr(10) || chr(10) || string_agg(p, chr(10) ORDER BY rank) AS context FROM p GROUP BY query_id"""

@@ -36,7 +36,7 @@ SELECT user_id, event_id, CAST(allowed AS INTEGER) AS allowed, CAST(CASE WHEN al
 
 
 def _tick_bars(spark, sf):
-    e = i.read(spark, sf, "events").filter("value IS NOT NULL")
+    e = i.read(spark, sf, "events")
     t = e.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"),
                  F.col("value").alias("price"), F.lit(1.0).alias("size"))
     b = jobs.bars_from_ticks(t)
@@ -50,7 +50,7 @@ _TICK_SQL = f"""SELECT event_type AS ticker, date_trunc('hour', ts) AS start, {r
 
 def _first_news(spark, sf):
     n = news.clean_news(i.raw_news(spark, sf))
-    return jobs.first_news(n.select("ticker", "title")).select("ticker", "fingerprint")
+    return jobs.first_news(n, order=("query_idx", "result_idx")).select("ticker", "fingerprint", "doc_id")
 
 
 def _session(spark, sf):
@@ -67,7 +67,7 @@ QUERIES = {
 ORACLES = {
     "r01_admission": _ADMISSION_SQL,
     "r02_tick_bars": _TICK_SQL,
-    "r04_first_news": with_ctes(i.NEWS, _CLEAN, _DEDUP, select="SELECT ticker, fingerprint FROM uniq"),
+    "r04_first_news": with_ctes(i.NEWS, _CLEAN, _DEDUP, select="SELECT ticker, fingerprint, doc_id FROM uniq"),
     "r06_session_memory": """WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
       SELECT conv_id, count(*) AS messages, count(*) // 2 AS turns, max(turn) AS last_turn FROM k WHERE rn <= 20 GROUP BY conv_id""",
 }

@@ -60,8 +60,8 @@ _BASE = f"""base AS (
 # DuckDB's greatest() ignores NULL, which would turn the missing first difference into 0.
 _BASE = _BASE.replace(
     "greatest(close - lag(close) OVER w, 0) AS gain, greatest(lag(close) OVER w - close, 0) AS loss",
-    "CASE WHEN lag(close) OVER w IS NOT NULL THEN greatest(close - lag(close) OVER w, 0) END AS gain, "
-    "CASE WHEN lag(close) OVER w IS NOT NULL THEN greatest(lag(close) OVER w - close, 0) END AS loss",
+    "CASE WHEN close - lag(close) OVER w IS NOT NULL THEN greatest(close - lag(close) OVER w, 0) END AS gain, "
+    "CASE WHEN close - lag(close) OVER w IS NOT NULL THEN greatest(lag(close) OVER w - close, 0) END AS loss",
 )
 
 _SMOOTH = ",\n".join(
@@ -362,7 +362,71 @@ _BY_OPERATOR = {
     "w22_candles": tech.CATALOGUE["candles"],
 }
 
+# --- series with missing closes -----------------------------------------------------------
+
+_GAPS = """gaps AS (SELECT * REPLACE (CASE WHEN CAST(volume AS BIGINT) % 4 = 1 THEN NULL ELSE close END AS close) FROM bars)"""
+
+
+def _gappy(spark, sf):
+    """Bars whose close is missing on days with 1, 5, 9, ... trades."""
+    gone = F.col("volume").cast("long") % 4 == 1
+    return bars(spark, sf).withColumn("close", F.when(~gone, F.col("close")))
+
+
+def _ewm_gap_sql(name: str, source: str, value: str, alpha: float, need: int = 1) -> str:
+    """The smoothing as a recursion over rows; g counts the rows since the last value."""
+    w = "(PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    keep = f"pow({1.0 - alpha!r}::DOUBLE, a.g)"
+    return f"""{name}_n AS (SELECT ticker, date, {value} AS x, row_number() OVER {w} AS rn, count({value}) OVER {w} AS n FROM {source}),
+{name}_r AS (SELECT ticker, date, rn, n, x AS y, 1 AS g FROM {name}_n WHERE rn = 1
+  UNION ALL SELECT b.ticker, b.date, b.rn, b.n,
+    CASE WHEN b.x IS NULL THEN a.y WHEN a.y IS NULL THEN b.x ELSE ({keep} * a.y + {alpha!r}::DOUBLE * b.x) / ({keep} + {alpha!r}::DOUBLE) END,
+    CASE WHEN b.x IS NULL THEN a.g + 1 ELSE 1 END
+  FROM {name}_r a JOIN {name}_n b ON a.ticker = b.ticker AND b.rn = a.rn + 1),
+{name} AS (SELECT ticker, date, CASE WHEN n >= {need} THEN y END AS v FROM {name}_r)"""
+
+
+def _gap_sql(*ctes: str, select: str) -> str:
+    return with_ctes(BARS, _GAPS, _BASE.replace("FROM bars", "FROM gaps"), *ctes, select=select).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _returns_gaps(spark, sf):
+    cols = [f"returns_{k}d" for k in (1, 3, 5, 10)]
+    return tech.add_price_features(_gappy(spark, sf)).select("ticker", "date", *[rnd(c).alias(c) for c in cols], rnd("log_returns").alias("log_returns"))
+
+
+def _returns_gaps_sql():
+    last = "last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND {} )"
+    cols = ", ".join(f"{r(last.format('CURRENT ROW') + ' / nullif(' + last.format(f'{k} PRECEDING') + ', 0) - 1')} AS returns_{k}d" for k in (1, 3, 5, 10))
+    return _gap_sql(select=f"SELECT ticker, date, {cols}, {r('lr')} AS log_returns FROM base")
+
+
+def _ewm_gaps(spark, sf):
+    df = add_ewm(_gappy(spark, sf), [Ewm.span("ewm_span10", F.col("close"), 10), Ewm("ewm_alpha", F.col("close"), 0.2, 5)])
+    return df.select("ticker", "date", rnd("ewm_span10", 3).alias("ewm_span10"), rnd("ewm_alpha", 3).alias("ewm_alpha"))
+
+
+def _smoothed_gaps(column: str):
+    return lambda spark, sf: tech.add_smoothed_series(_gappy(spark, sf)).select("ticker", "date", rnd(column, 2).alias(column))
+
+
+_GAP_ORACLES = {
+    "w01_returns_gaps": _returns_gaps_sql(),
+    "w03_ewm_gaps": _gap_sql(
+        _ewm_gap_sql("a1", "gaps", "close", _span(10)), _ewm_gap_sql("a2", "gaps", "close", 0.2, 5),
+        select=f"SELECT ticker, date, {r('a1.v', 3)} AS ewm_span10, {r('a2.v', 3)} AS ewm_alpha FROM a1 JOIN a2 USING (ticker, date)"),
+    "w04_rsi_gaps": _gap_sql(
+        _ewm_gap_sql("g", "base", "gain", 1 / 14, 14), _ewm_gap_sql("l", "base", "loss", 1 / 14, 14),
+        select=f"SELECT ticker, date, {r('100 - 100 / (1 + g.v / nullif(l.v, 0))', 2)} AS rsi_14 FROM g JOIN l USING (ticker, date)"),
+    "w07_atr_gaps": _gap_sql(
+        _ewm_gap_sql("t", "base", "tr", 1 / 14, 14), select=f"SELECT ticker, date, {r('v', 2)} AS atr_14 FROM t"),
+}
+
 QUERIES = {
+    "w01_returns_gaps": _returns_gaps,
+    "w03_ewm_gaps": _ewm_gaps,
+    "w04_rsi_gaps": _smoothed_gaps("rsi_14"),
+    "w07_atr_gaps": _smoothed_gaps("atr_14"),
     **{k: _features(v) for k, v in _BY_OPERATOR.items()},
     "w03_ewm": _ewm_single,
     "w10_hurst": _hurst,
@@ -372,6 +436,7 @@ QUERIES = {
     "p16_latest_features": _latest,
 }
 ORACLES = {
+    **_GAP_ORACLES,
     **{k: feature_sql(v) for k, v in _BY_OPERATOR.items()},
     "w03_ewm": _ewm_single_sql(),
     "w10_hurst": _hurst_sql(),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerweave.functions.core import div
+from tickerweave.sources.store import overwrite_partitions, stored
 
 # Limits of a usable contract.
 MIN_VOLUME = 1
@@ -130,24 +130,15 @@ def has_snapshot(stored: DataFrame, tickers: DataFrame, day) -> DataFrame:
 def store_snapshots(spark: SparkSession, path: str, fresh: DataFrame) -> None:
     """Merge a batch into the store; only the months it touches are read and rewritten.
 
-    The merged months are written to a side folder first: a table cannot be read
-    and overwritten in one job.
+    A stored table whose columns do not fit is an error and stays as it is.
     """
     month = F.date_format("snapshot_date", "yyyy-MM")
     batch = fresh.withColumn("month", month)
-    try:
-        spark.read.parquet(path)
-        stored = spark.read.schema(batch.schema).parquet(path)
-    except AnalysisException:  # first batch: no table yet
-        stored = None
-    if stored is not None:
-        months = batch.select("month").distinct()
-        touched = stored.join(months, "month", "left_semi")
+    old = stored(spark, path, batch.schema, ("month",))
+    if old is not None:
+        touched = old.join(batch.select("month").distinct(), "month", "left_semi")
         batch = merge_snapshots(touched.drop("month"), fresh).withColumn("month", month)
-        staged = f"{path}__staged"
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(staged)
-        batch = spark.read.schema(batch.schema).parquet(staged)
-    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    overwrite_partitions(batch, path, "month")
 
 
 def run_snapshot_batch(spark: SparkSession, path: str, chain: DataFrame, spot: DataFrame, watch: DataFrame) -> DataFrame:

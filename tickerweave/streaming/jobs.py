@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,10 +13,15 @@ from tickerweave.functions.text import fingerprint
 from tickerweave.operators.fusion import last_messages
 from tickerweave.sources.bars import trade_order
 from tickerweave.sources.options import merge_snapshots, store_snapshots
+from tickerweave.sources.store import overwrite_partitions, stored
 
 
 def bars_from_ticks(ticks: DataFrame, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """OHLCV per ticker and tumbling window; ticks(ticker, ts, id, price, size) later than `delay` are dropped."""
+    """OHLCV per ticker and tumbling window; ticks(ticker, ts, id, price, size) later than `delay` are dropped.
+
+    A tick without a price is no tick.
+    """
+    ticks = ticks.filter(F.col("price").isNotNull())
     if ticks.isStreaming:
         ticks = ticks.withWatermark("ts", delay)
     order = trade_order("ts", "id")
@@ -102,11 +106,15 @@ def incremental_indicators(bars: DataFrame) -> DataFrame:
     return bars.groupBy("ticker").applyInPandasWithState(step, INCREMENTAL_COLUMNS, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def first_news(news: DataFrame, delay: str = "3 days") -> DataFrame:
-    """First article per ticker and title fingerprint; copies within the watermark are dropped."""
+def first_news(news: DataFrame, delay: str = "3 days", order: tuple[str, ...] = ("published_at",)) -> DataFrame:
+    """First article per ticker and title fingerprint; copies within the watermark are dropped.
+
+    A finite table keeps the first copy by `order`, at a tie the smallest row as JSON.
+    """
     df = news.withColumn("fingerprint", fingerprint("title"))
     if not news.isStreaming:
-        return df.dropDuplicates(["ticker", "fingerprint"])
+        line = Window.partitionBy("ticker", "fingerprint").orderBy(*order, F.to_json(F.struct(*news.columns)))
+        return df.withColumn("__rank", F.row_number().over(line)).filter("__rank = 1").drop("__rank")
     return df.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["ticker", "fingerprint"])
 
 
@@ -129,18 +137,13 @@ def memory_sink(path: str, limit: int = 20, buckets: int = 64):
     def write(batch: DataFrame, _batch_id: int):
         spark = batch.sparkSession
         new = batch.select("conv_id", "turn", "role", "text", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)).cast("int").alias("bucket"))
-        rows = new
-        try:
-            spark.read.parquet(path)
-            old = spark.read.schema(new.schema).parquet(path).join(new.select("bucket").distinct(), "bucket", "left_semi")
-            rows = old.select(new.columns).unionByName(new).dropDuplicates(["conv_id", "turn"])
-        except AnalysisException:  # first batch: no table yet
-            pass
-        staged = f"{path}__staged"
-        kept = last_messages(rows, limit).select(new.columns)
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(staged)
-        spark.read.schema(new.schema).parquet(staged).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("bucket").parquet(path)
+        # Of several messages for one turn the batch's comes before the stored one, and then the smallest.
+        one = F.min(F.struct("role", "text")).alias("m")
+        new = new.groupBy("conv_id", "turn", "bucket").agg(one).select("conv_id", "turn", "m.role", "m.text", "bucket")
+        rows, old = new, stored(spark, path, new.schema, ("bucket",))
+        if old is not None:
+            old = old.join(new.select("bucket").distinct(), "bucket", "left_semi").select(new.columns)
+            rows = old.join(new, ["conv_id", "turn"], "left_anti").select(new.columns).unionByName(new)
+        overwrite_partitions(last_messages(rows, limit).select(new.columns), path, "bucket")
 
     return write
