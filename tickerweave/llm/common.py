@@ -25,22 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written once by checkpoint(): lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def write_once(df: DataFrame, name: str) -> DataFrame:
-    """Like cut, as a compressed Parquet table: for results with many rows."""
+    """The rows of df, written once to a table of the shared folder: lineage ends there, and lost executors cost nothing.
+
+    A table rather than checkpoint(), which would carry what the optimizer knows of the columns from round to round of
+    a loop until planning takes longer than running. The folder's owner removes the tables of finished jobs.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """write_once for small results of one step of a longer computation."""
+    return write_once(df, "step")
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     plain = F.octet_length(c) == F.char_length(c)
@@ -72,7 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of the edges (a, b: long) and the smallest node it reaches.
 
     Labels fall to the smallest label among the neighbours, then to the label of their label, until none
-    changes: about log2 of the longest path rounds of one job each, cut by a checkpoint. The minimum per node
+    changes: about log2 of the longest path rounds of one job each, written to a table. The minimum per node
     is pre-aggregated before its shuffle. Nodes with very many edges, and labels that very many nodes share,
     are on one side of a plain join by key whose other side has one row per key; adaptive execution splits them.
     """
