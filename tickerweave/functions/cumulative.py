@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 128
+#: Keys that a group's rows are spread over where they meet its cuts.
+SALTS = 32
 
 
 def running_totals(df: DataFrame, part: list[str], order: str, totals: dict[str, Column]) -> DataFrame:
@@ -13,12 +15,15 @@ def running_totals(df: DataFrame, part: list[str], order: str, totals: dict[str,
 
     Rows must be unique on (part, order). The ordering is cut at approximate
     quantiles; a window over at most 128 bucket totals carries the sums across
-    buckets, a second window runs inside each bucket. No task sorts a whole group.
+    buckets, a second window runs inside each bucket. No task sorts a whole group, and a group's rows meet its cuts
+    under SALTS keys.
     """
     cuts = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
     bounds = df.groupBy(*part).agg(F.percentile_approx(order, cuts, F.lit(10 * BUCKETS)).alias("__cuts"))
     value = F.col(order)
-    d = df.join(bounds, part).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < value))).drop("__cuts")
+    bounds = bounds.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = df.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int"))
+    d = d.join(bounds, [*part, "__salt"]).drop("__salt").withColumn("__b", F.size(F.filter("__cuts", lambda c: c < value))).drop("__cuts")
     d = d.withColumns({f"__v_{k}": c for k, c in totals.items()})
     sums = d.groupBy(*part, "__b").agg(*[F.sum(f"__v_{k}").alias(k) for k in totals])
     before = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -89,6 +89,19 @@ def usable_portfolios(prices: DataFrame) -> DataFrame:
     )
 
 
+def portfolio_status(positions: DataFrame, bars: DataFrame, prices: DataFrame) -> DataFrame:
+    """One row per portfolio with positions: "ok" or the first reason why it cannot be analysed.
+
+    no_prices: no holding has bars; too_few_dates also covers portfolios without any complete date.
+    """
+    held = positions.select(PID, "ticker").distinct().join(bars.select("ticker").distinct(), "ticker", "left_semi")
+    some = held.select(PID).distinct().withColumn("__priced", F.lit(True))
+    s = positions.select(PID).distinct().join(usable_portfolios(prices), PID, "left").join(some, PID, "left")
+    none = F.when(F.col("__priced"), "too_few_dates").otherwise("no_prices")
+    zero = F.lit(0).cast("bigint")
+    return s.select(PID, F.coalesce("n_assets", zero).alias("n_assets"), F.coalesce("n_dates", zero).alias("n_dates"), F.coalesce("status", none).alias("status"))
+
+
 def return_vectors(prices: DataFrame) -> DataFrame:
     """One row per portfolio and date: assets in ticker order and their log returns; newest = day_rank 1.
 

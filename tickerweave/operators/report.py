@@ -32,17 +32,22 @@ def portfolio_report(
     positions: DataFrame, bars: DataFrame, probabilities: DataFrame, assets: DataFrame, values: DataFrame | None = None,
     max_position: float = pf.MAX_POSITION, max_sector: float = pf.MAX_SECTOR, turnover: float | None = None,
 ) -> DataFrame:
-    """Weights, expected returns, correlation, allocation, frontier, risk and exposure of each feasible portfolio."""
-    prices = pf.aligned_prices(positions, bars)
-    ok = pf.usable_portfolios(prices).filter("status = 'ok'").select(PID)
-    prices = prices.join(ok, PID, "left_semi")
+    """Weights, expected returns, correlation, allocation, frontier, risk and exposure: one row per portfolio.
+
+    status is "ok" or why a portfolio was not analysed, see portfolio_status and feasibility; whatever could not be
+    computed is NULL. A frontier without a feasible target is NULL as well, and warnings name that and holdings without
+    prices. constraints_applied holds the caps in force.
+    """
     # Read by several parts below, so computed once.
-    prices = reuse(prices)
+    prices = reuse(pf.aligned_prices(positions, bars))
+    status = reuse(pf.portfolio_status(positions, bars, prices))
+    prices = prices.join(status.filter("status = 'ok'").select(PID), PID, "left_semi")
     vectors = reuse(pf.return_vectors(prices))
     returns = pf.log_returns(vectors)
     cov = reuse(pf.covariance(vectors, "auto"))
     weights = reuse(pf.current_weights(positions, prices))
-    feasible = pf.feasibility(weights, assets, max_position, max_sector).filter("status = 'ok'").select(PID)
+    caps = reuse(pf.feasibility(weights, assets, max_position, max_sector).select(PID, F.col("status").alias("__caps")))
+    feasible = caps.filter("__caps = 'ok'").select(PID)
     mu = pf.expected_returns(weights, probabilities).join(feasible, PID, "left_semi")
     problem = allocation.problems(mu, cov, assets)
     problem = reuse(problem)
@@ -52,7 +57,7 @@ def portfolio_report(
     corr = pf.correlation(cov).groupBy(PID, F.col("t1")).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("t2", F.round("correlation", 4))))).alias("row")
     )
-    dropped = positions.join(prices.select(PID, "ticker").distinct(), [PID, "ticker"], "left_anti")
+    dropped = positions.join(bars.select("ticker").distinct(), "ticker", "left_anti")
     parts = [
         cov.groupBy(PID).agg(F.max("method").alias("covariance_method"), F.max("lookback_days").alias("lookback_days")),
         _as_map(weights, "ticker", "weight", "current_weights"),
@@ -75,8 +80,15 @@ def portfolio_report(
         ),
         _as_map(pf.sector_exposure(weights, assets), "sector", "exposure", "sector_exposure"),
     ]
-    out = feasible
+    out = status.join(caps, PID, "left").select(PID, F.coalesce(F.when(F.col("status") == "ok", F.col("__caps")), F.col("status")).alias("status"))
     for p in parts:
-        out = out.join(p, PID)
+        out = out.join(p, PID, "left")
     gone = dropped.groupBy(PID).agg(F.sort_array(F.collect_set("ticker")).alias("dropped_tickers"))
-    return out.join(gone, PID, "left")
+    ok = F.col("status") == "ok"
+    applied = F.struct(F.lit(max_position).alias("max_position"), F.lit(max_sector).alias("max_sector"), F.lit(turnover).cast("double").alias("turnover"))
+    warnings = F.array_compact(F.array(
+        F.when(F.col("dropped_tickers").isNotNull(), F.lit("holdings_without_prices")),
+        F.when(ok & F.col("efficient_frontier").isNull(), F.lit("no_feasible_frontier")),
+        F.when(ok & ~F.coalesce("converged", F.lit(False)), F.lit("optimizer_did_not_converge")),
+    ))
+    return out.join(gone, PID, "left").withColumns({"warnings": warnings, "constraints_applied": F.when(ok, applied)})

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerweave.functions.core import div
+from tickerweave.functions.cumulative import SALTS
 from tickerweave.operators.portfolio import _pairs
 from tickerweave.session import reuse
 
@@ -77,16 +78,14 @@ def _bin(c: str) -> Column:
     return F.size(F.filter(f"__e_{c}", lambda e: e < F.col(c)))
 
 
-def mutual_information(df: DataFrame, features: list[str], label: str, group: list[str] = (), bins: int = 10, accuracy: int = 10_000) -> DataFrame:
+def mutual_information(df: DataFrame, features: list[str], label: str, group: list[str] = (), bins: int = 10, accuracy: int = 1_000_000) -> DataFrame:
     """(group, feature, mi): mutual information in nats of each feature, cut at its deciles, with the label."""
     cuts = F.array(*[F.lit(k / bins) for k in range(1, bins)])
     x = df.select(*group, F.col(label).alias("__y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
     edges = x.groupBy(*group).agg(*[F.percentile_approx(c, cuts, F.lit(accuracy)).alias(f"__e_{c}") for c in features])
-    # One row per group; joined on the group or, without groups, attached by a one-row key.
-    if group:
-        x = x.join(edges, list(group))
-    else:
-        x = x.withColumn("__k", F.lit(1)).join(edges.withColumn("__k", F.lit(1)), "__k")
+    # One row of cut points per group, repeated under SALTS keys so that no task gets all rows of a group.
+    x = x.withColumn("__k", F.pmod(F.xxhash64("__y", *features), F.lit(SALTS)).cast("int"))
+    x = x.join(edges.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*group, "__k"])
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), _bin(c).alias("bin")) for c in features])
     long = x.select(*group, "__y", F.explode(pairs).alias("p")).select(*group, "__y", "p.feature", "p.bin")
     cells = long.groupBy(*group, "feature", "bin", "__y").agg(F.count(F.lit(1)).cast("double").alias("n"))

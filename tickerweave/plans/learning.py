@@ -32,7 +32,7 @@ def _split(spark, sf):
 
 def _mi(spark, sf):
     li = i.read(spark, sf, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
-    m = selection.mutual_information(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "label", accuracy=1_000_000)
+    m = selection.mutual_information(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "label")
     return m.select("feature", rnd("mi", 9).alias("mi"))
 
 

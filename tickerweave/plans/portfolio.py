@@ -9,6 +9,7 @@ from tickerweave.operators import allocation, portfolio as pf
 from tickerweave.operators.report import portfolio_report
 from tickerweave.plans import inputs as i
 from tickerweave.plans.inputs import r, with_ctes
+from tickerweave.session import reuse
 
 _Z95 = "1.6448536269514722"
 
@@ -29,6 +30,18 @@ def _cov(spark, sf, method="sample"):
     return pf.covariance(_vectors(spark, sf), method)
 
 
+class _Parts:
+    """Prices and return vectors of one query, computed once, and what is derived from them."""
+
+    def __init__(self, spark, sf):
+        self.positions, self.probabilities = i.positions(spark, sf), i.probabilities(spark, sf)
+        self.prices = reuse(pf.aligned_prices(self.positions, i.bars(spark, sf)))
+        self.vectors = reuse(pf.return_vectors(self.prices))
+        self.weights = reuse(pf.current_weights(self.positions, self.prices))
+        self.cov = reuse(pf.covariance(self.vectors, "sample"))
+        self.mu = pf.expected_returns(self.weights, self.probabilities)
+
+
 def _weights(spark, sf):
     return pf.current_weights(i.positions(spark, sf), _prices(spark, sf))
 
@@ -111,7 +124,8 @@ _LW_SQL = with_ctes(
 
 
 def _lattice(spark, sf):
-    prob = allocation.problems(_mu(spark, sf), _cov(spark, sf), i.assets(spark, sf))
+    p = _Parts(spark, sf)
+    prob = allocation.problems(p.mu, p.cov, i.assets(spark, sf))
     b = allocation.lattice_search(prob, steps=10, max_position=0.5)
     return b.select(
         "portfolio_id", F.array_join("tickers", ",").alias("tickers"),
@@ -139,7 +153,8 @@ _LATTICE_SQL = with_ctes(
 
 
 def _optimize(spark, sf):
-    prob = allocation.problems(_mu(spark, sf), _cov(spark, sf), i.assets(spark, sf))
+    p = _Parts(spark, sf)
+    prob = allocation.problems(p.mu, p.cov, i.assets(spark, sf))
     res = allocation.optimize(prob)
     w = allocation.optimal_weights(res)
     return w.join(res.select("portfolio_id", "kind", "sharpe_ratio", "converged"), "portfolio_id").select(
@@ -149,7 +164,8 @@ def _optimize(spark, sf):
 
 
 def _frontier(spark, sf):
-    prob = allocation.problems(_mu(spark, sf), _cov(spark, sf), i.assets(spark, sf))
+    p = _Parts(spark, sf)
+    prob = allocation.problems(p.mu, p.cov, i.assets(spark, sf))
     f = allocation.efficient_frontier(prob)
     return f.select("portfolio_id", rnd("expected_return", 4).alias("expected_return"), rnd("volatility", 4).alias("volatility"))
 
@@ -180,9 +196,10 @@ SELECT portfolio_id, ticker, {r('nullif(shares, 0)')} AS shares,
 
 
 def _bands(spark, sf):
-    vol = pf.portfolio_volatility(_weights(spark, sf), _cov(spark, sf))
-    ret = pf.portfolio_return(_mu(spark, sf))
-    per_asset = pf.volatilities(_cov(spark, sf)).groupBy("portfolio_id").agg(F.min("volatility").alias("lowest"))
+    p = _Parts(spark, sf)
+    vol = pf.portfolio_volatility(p.weights, p.cov)
+    ret = pf.portfolio_return(p.mu)
+    per_asset = pf.volatilities(p.cov).groupBy("portfolio_id").agg(F.min("volatility").alias("lowest"))
     df = vol.join(ret, "portfolio_id").join(per_asset, "portfolio_id")
     sharpe = F.col("expected_return") / F.col("volatility")
     return df.select(
@@ -202,7 +219,8 @@ def _actions(spark, sf):
 
 def _var(horizon):
     def run(spark, sf):
-        v = pf.value_at_risk(_weights(spark, sf), _cov(spark, sf), _returns(spark, sf), _portfolio_values(spark, sf), horizon=horizon)
+        p = _Parts(spark, sf)
+        v = pf.value_at_risk(p.weights, p.cov, pf.log_returns(p.vectors), _portfolio_values(spark, sf), horizon=horizon)
         return v.select("portfolio_id", *[rnd(c, 4).alias(c) for c in ("volatility", "parametric_var_pct", "historical_var_pct")],
                         F.round("parametric_var_value", 2).alias("parametric_var_value"),
                         F.round("historical_var_value", 2).alias("historical_var_value"), "n_windows")
@@ -228,7 +246,7 @@ def _var_sql(h):
 QUERIES = {
     "s13_position_cleanup": _clean,
     "j06_price_matrix": lambda s, sf: _prices(s, sf).select("portfolio_id", "ticker", "date", rnd("close").alias("close"), "n_assets"),
-    "j06_usable_portfolios": lambda s, sf: pf.usable_portfolios(_prices(s, sf)),
+    "j06_usable_portfolios": lambda s, sf: pf.portfolio_status(i.positions(s, sf), i.bars(s, sf), _prices(s, sf)),
     "a05_log_returns": lambda s, sf: _returns(s, sf).select("portfolio_id", "ticker", "date", rnd("r").alias("r")),
     "a06_j11_sample_covariance": lambda s, sf: _cov(s, sf).select("portfolio_id", "t1", "t2", rnd("cov").alias("cov"), "lookback_days"),
     "a07_ewma_covariance": lambda s, sf: _cov(s, sf, "ewma").select("portfolio_id", "t1", "t2", rnd("cov").alias("cov")),
@@ -236,8 +254,8 @@ QUERIES = {
     "a09_correlation": lambda s, sf: pf.correlation(_cov(s, sf)).select("portfolio_id", "t1", "t2", rnd("correlation").alias("correlation")),
     "a10_current_weights": lambda s, sf: _weights(s, sf).select("portfolio_id", "ticker", rnd("weight").alias("weight")),
     "a11_j13_expected_return": lambda s, sf: pf.portfolio_return(_mu(s, sf)).select("portfolio_id", rnd("expected_return").alias("expected_return")),
-    "a12_portfolio_volatility": lambda s, sf: pf.portfolio_volatility(_weights(s, sf), _cov(s, sf)).select("portfolio_id", rnd("volatility").alias("volatility")),
-    "a13_k11_risk_attribution": lambda s, sf: pf.risk_attribution(_weights(s, sf), _cov(s, sf)).select(
+    "a12_portfolio_volatility": lambda s, sf: (lambda p: pf.portfolio_volatility(p.weights, p.cov))(_Parts(s, sf)).select("portfolio_id", rnd("volatility").alias("volatility")),
+    "a13_k11_risk_attribution": lambda s, sf: (lambda p: pf.risk_attribution(p.weights, p.cov))(_Parts(s, sf)).select(
         "portfolio_id", "ticker", *[rnd(c).alias(c) for c in ("weight", "marginal_contribution", "contribution_to_variance", "pct_of_total_risk")], "risk_rank"),
     "a14_value_at_risk_1d": _var(1),
     "a14_value_at_risk_10d": _var(10),
@@ -258,8 +276,11 @@ ORACLES = {
         select=f"SELECT portfolio_id, ticker, date, {r('close')} AS close, count(*) OVER (PARTITION BY portfolio_id, date) AS n_assets FROM prices"),
     "j06_usable_portfolios": with_ctes(
         i.BARS, i.POSITIONS, _GRID,
-        select="""SELECT portfolio_id, count(DISTINCT ticker) AS n_assets, count(DISTINCT date) AS n_dates, CASE WHEN count(DISTINCT ticker) < 2
-        THEN 'too_few_assets' WHEN count(DISTINCT date) < 60 THEN 'too_few_dates' ELSE 'ok' END AS status FROM prices GROUP BY portfolio_id"""),
+        """st AS (SELECT portfolio_id, count(DISTINCT ticker) AS n_assets, count(DISTINCT date) AS n_dates, CASE WHEN count(DISTINCT ticker) < 2
+        THEN 'too_few_assets' WHEN count(DISTINCT date) < 60 THEN 'too_few_dates' ELSE 'ok' END AS status FROM prices GROUP BY portfolio_id)""",
+        select="""SELECT portfolio_id, coalesce(n_assets, 0) AS n_assets, coalesce(n_dates, 0) AS n_dates,
+        coalesce(status, CASE WHEN portfolio_id IN (SELECT portfolio_id FROM held) THEN 'too_few_dates' ELSE 'no_prices' END) AS status
+        FROM (SELECT DISTINCT portfolio_id FROM positions) LEFT JOIN st USING (portfolio_id)"""),
     "a05_log_returns": with_ctes(i.BARS, i.POSITIONS, _GRID, select=f"SELECT portfolio_id, ticker, date, {r('r')} AS r FROM rets"),
     "a06_j11_sample_covariance": with_ctes(
         i.BARS, i.POSITIONS, _GRID, select=f"SELECT portfolio_id, t1, t2, {r('cov')} AS cov, n AS lookback_days FROM cov"),
