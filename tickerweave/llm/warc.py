@@ -146,9 +146,9 @@ def _member(data: bytes, at: int) -> tuple[dict, int]:
 def salvage(data: bytes):
     """Records of an archive, plain or one gzip member each, and its damaged gaps, as (offset, length, fields).
 
-    After a failed check the reader looks for the next version line at a line's start, or the next
-    member, whose record passes all checks, and goes on there; the bytes between are one gap with the
-    reason of the first failure. Every byte is in a record or a gap.
+    After a failed check the reader looks for the next version line or member whose record passes all checks, also
+    in mid-line, as a record that was cut off leaves it, and goes on there; the bytes between are one gap with the reason of
+    the first failure. Every byte is in a record or a gap.
     """
     at, bad, reason = 0, None, ""
     while at < len(data):
@@ -158,8 +158,6 @@ def salvage(data: bytes):
             if bad is None:
                 bad, reason = at, str(exc)
             line = _VERSION.search(data, at + 1)
-            while line and data[line.start() - 1 : line.start()] not in (b"\n",):
-                line = _VERSION.search(data, line.start() + 1)
             member = data.find(_MEMBER, at + 1)
             places = [p for p in (line.start() if line else -1, member) if p >= 0]
             at = min(places) if places else len(data)
