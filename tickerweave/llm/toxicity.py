@@ -161,7 +161,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most_terms: i
 
 
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", most_positive: int = 15_000, most_negative: int = 30_000, threshold: float = 0.7) -> Machine:
+          label_col: str = "toxic", most_positive: int = 5_000, most_negative: int = 10_000, threshold: float = 0.7) -> Machine:
     """The machine from labelled rows that may be learned from: at most about most_positive texts labelled 1 and
     most_negative labelled 0, drawn evenly by a hash of the id and weighted back to their true numbers."""
     mine = labels.filter(may_learn & F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y"))
