@@ -15,8 +15,9 @@ SEED = 20240607
 #: Words whose hashes a task remembers before it starts again.
 REMEMBER = 400_000
 
-#: Members of a bucket that are compared with its others in one round.
-PIVOTS = 256
+#: Members of a bucket that are compared with its others in the first round after the first pivot, and the factor from
+#: round to round: a few join most of a group of true copies, the more after them test what then is still apart.
+PIVOTS, GROWTH = 2, 4
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -175,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = full.groupBy("id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x < y").select("id")
     shared = full.join(several, "id").select("id", "k1", "k2").distinct().join(classes, ["k1", "k2"])
     links = links.union(shared.select(F.col("rep").alias("a"), F.col("id").alias("b")).filter("a <> b"))
-    used, left = None, True
+    used, left, width = None, True, PIVOTS
     label = components(links)
     while left:
         now = member.join(label, member.id == label.node, "left").select("k1", "k2", "id", "first", F.coalesce("component", "id").alias("c"))
@@ -184,16 +185,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                             F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n"))
         apart = cut(apart.filter("x < y").select("k1", "k2", "main", "n"))
         open_ = cut(lookup(now, apart, ("k1", "k2"), "n", ["main"], F.xxhash64("id")).filter("main IS NOT NULL"))
+        member = open_.select("k1", "k2", "id", "first")  # buckets in one group stay so
         strays = open_.filter("c <> main").select("k1", "k2", "id", "c")
         if used is not None:
             strays = strays.join(used, ["k1", "k2", "id"], "left_anti")
         each = cut(strays.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("s")))
-        slot = F.when(F.col("many") <= PIVOTS, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(PIVOTS)))
+        slot = F.when(F.col("many") <= width, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(width)))
         strays = lookup(strays, each.withColumn("many", F.col("s")), ("k1", "k2"), "s", ["many"], F.xxhash64("id"))
         picked = strays.groupBy("k1", "k2", slot.alias("slot")).agg(F.min(F.struct("id", "c")).alias("pivot"), F.max("many").alias("many"))
         picked = cut(picked.select("k1", "k2", "pivot", "many"))
         # Where every stray of each bucket is a pivot now, no pair is left to test after this round.
-        left = picked.filter(F.col("many") > PIVOTS).limit(1).count() > 0
+        left = picked.filter(F.col("many") > width).limit(1).count() > 0
+        width *= GROWTH
         chosen = picked.groupBy("k1", "k2").agg(F.collect_list("pivot").alias("pivots")).join(apart, ["k1", "k2"])
         pairs = lookup(open_, cut(chosen), ("k1", "k2"), "n", ["pivots"], F.xxhash64("id")).select("id", "c", F.explode("pivots").alias("p"))
         pairs = pairs.filter("p.c <> c").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
