@@ -52,6 +52,7 @@ def rule_fusion(signals: DataFrame, briefs: DataFrame) -> DataFrame:
         F.col("news_score"),
         has.alias("__has"),
     )
+    # Output texts of the contract.
     text = F.when(
         F.col("__has"),
         F.concat(
@@ -111,6 +112,7 @@ def prompts(messages: DataFrame, questions: DataFrame, system: str) -> DataFrame
     """questions(conv_id, query, context) to the full prompt text: system and context, history, question."""
     h = last_messages(messages).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("h"))
     df = questions.join(h, "conv_id", "left")
+    # Output texts of the contract.
     ctx = F.when(
         F.coalesce("context", F.lit("")) != "",
         F.concat(F.lit(f"system: {system}\n\nContext from financial knowledge base:\n"), "context"),

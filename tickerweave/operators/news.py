@@ -161,6 +161,7 @@ def recency_audit(news: DataFrame, now, horizon: str | None = None, max_age_days
     age = seconds / 86400
     fresh = p >= moment - F.make_dt_interval(F.lit(limit))
     undated_ok = policy != "reject"
+    # Output texts of the contract, here and below.
     reason = F.when(
         p.isNull(), F.lit("" if undated_ok else "Publish date could not be determined and unknown_date_policy=reject.")
     ).when(
@@ -260,6 +261,7 @@ def build_briefs(raw: DataFrame, tickers: DataFrame, now, horizon: str = "1d", p
     sc = F.col("sentiment_score")
     mood = F.when(sc > 0.10, "positive").when(sc < -0.10, "negative").otherwise("neutral")
     extracts = F.array_join(F.transform(F.slice("top_news", 1, 3), lambda x: _extract(x["title"], x["snippet"])), " ")
+    # Output texts of the contract.
     situation = F.when(
         n > 0,
         F.concat(

@@ -213,6 +213,7 @@ def context_block(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     parts = F.sort_array(F.collect_list(F.struct("rank", part.alias("p"))))
     out = df.groupBy("query_id").agg(parts.alias("s"))
+    # Fixed value: output text of the contract.
     text = F.concat(F.lit("Relevant financial context:\n\n"), F.array_join(F.col("s.p"), "\n"))
     return out.select("query_id", text.alias("context"))
 

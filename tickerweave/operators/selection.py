@@ -201,12 +201,8 @@ def selection_audit(audit: DataFrame, min_folds: int = 3) -> DataFrame:
 
 
 def consistency_label(k: Column, n: Column, need: Column) -> Column:
-    return (
-        F.when(k == n, "Worked every time")
-        .when(k >= need, "Worked most of the time  ✓ kept")
-        .when(k == 1, "Only worked once  — excluded")
-        .otherwise(F.concat(F.lit("Inconsistent ("), k.cast("string"), F.lit("/"), n.cast("string"), F.lit(" periods)  — excluded")))
-    )
+    """How often a feature was selected: "all" folds, "most" (enough to be kept), "once" or "mixed"."""
+    return F.when(k == n, "all").when(k >= need, "most").when(k == 1, "once").otherwise("mixed")
 
 
 def top_features(importance: DataFrame, n: int, group: list[str] = (), value: str = "importance") -> DataFrame:

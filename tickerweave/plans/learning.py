@@ -102,8 +102,7 @@ n AS (SELECT count(DISTINCT fold) AS n FROM s),
 a AS (SELECT feature, count(*) FILTER (WHERE stage = 'selected') AS k, avg(d) AS m, coalesce(string_agg(DISTINCT CASE WHEN stage <> 'selected' THEN stage END, ',' ORDER BY CASE WHEN stage <> 'selected' THEN stage END), '') AS dropped_at
   FROM s GROUP BY feature)
 SELECT feature, k AS folds_selected, {r('m')} AS mean_mi, dropped_at, CAST(k >= least(3, n) AS INTEGER) AS kept,
-  CASE WHEN k = n THEN 'Worked every time' WHEN k >= least(3, n) THEN 'Worked most of the time  ✓ kept' WHEN k = 1 THEN 'Only worked once  — excluded'
-    ELSE 'Inconsistent (' || k || '/' || n || ' periods)  — excluded' END AS consistency FROM a, n"""
+  CASE WHEN k = n THEN 'all' WHEN k >= least(3, n) THEN 'most' WHEN k = 1 THEN 'once' ELSE 'mixed' END AS consistency FROM a, n"""
 
 
 def _walk(name, params):
