@@ -318,3 +318,51 @@ def test_registry_write_is_idempotent(spark, tmp_path):
     vs.write_registry(df, path)
     vs.write_registry(df.filter("horizon = '1d'"), path)
     assert vs.read_registry(spark, path, df.schema).count() == 2
+
+
+def test_chunk_store_and_context(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    rows = [("http://a/x/", 0, "one", [1.0]), ("http://a/x/", 1, "two", [2.0]), ("http://b", 0, "three", [3.0])]
+    df = spark.createDataFrame(rows, "url string, chunk_index int, content string, vec array<double>")
+    retrieval.append_chunks(df.limit(2), path)
+    for _ in range(2):
+        retrieval.append_chunks(df, path)
+    retrieval.append_chunks(df.withColumn("url", F.regexp_replace("url", "x/$", "x")), path)
+    assert sorted(r.content for r in retrieval.load_chunks(spark, path).collect()) == ["one", "three", "two"]
+    with pytest.raises(ValueError):
+        retrieval.append_chunks(df.withColumn("vec", F.lit("text")), path)
+    assert retrieval.load_chunks(spark, path).count() == 3
+    hits = spark.createDataFrame([(1, 7, 0.5, 1)], "query_id int, vec_id long, score double, rank int")
+    chunks = spark.createDataFrame([(7, "text" * 100, "s", "t")], "vec_id long, content string, source string, title string")
+    asked = spark.createDataFrame([(1,), (2,)], "query_id int")
+    got = {r.query_id: r.context for r in retrieval.context_block(hits, chunks, asked).collect()}
+    assert "text" * 100 in got[1] and got[2] == "No relevant context found."
+    assert len(retrieval.hit_views(hits, chunks, 200).first().content) == 200
+
+
+def test_exponential_means_over_gaps(spark):
+    from tickerweave.functions.core import pct_change
+
+    rng = np.random.default_rng(3)
+    x = pd.Series(rng.normal(100, 5, 700))
+    x[:5] = np.nan
+    x[rng.random(700) < 0.2] = np.nan
+    x[200:420] = np.nan
+    rows = [("A", k, None if np.isnan(v) else float(v)) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "ticker string, date int, close double").repartition(3)
+    specs = [("a", 0.1, 1), ("b", 2 / 6, 5), ("c", 0.02, 14)]
+    out = add_ewm(df, [Ewm(n, F.col("close"), a, m) for n, a, m in specs])
+    out = out.withColumn("r", pct_change("close", 3)).orderBy("date").toPandas()
+    for n, a, m in specs:
+        want = x.ewm(alpha=a, adjust=False, min_periods=m).mean()
+        np.testing.assert_allclose(out[n].to_numpy(float), want.to_numpy(), rtol=1e-9)
+    np.testing.assert_allclose(out["r"].to_numpy(float), (x.ffill() / x.ffill().shift(3) - 1).to_numpy(), rtol=1e-9)
+
+
+def test_headings_in_noise_and_one_scoring_schema(spark):
+    from tickerweave.operators import training
+
+    assert retrieval.page_text("<body><header><h1>Head</h1>menu</header><p>text <b>more</p></body>") == ("Head", "text more")
+    latest = spark.createDataFrame([("A", 1, 2.0)], "ticker string, date int, x double")
+    scores, bad = training.batch_score(None, latest, ["x", "y"])
+    assert scores.columns == ["ticker", "date", "p_bullish"] and scores.count() == 0 and bad.count() == 1

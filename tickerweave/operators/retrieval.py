@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerweave.functions.text import collapse, normal_url, valid_url, words
+from tickerweave.sources.store import stored
 
 # Fixed values.
 CHUNK_WORDS = 512
@@ -203,8 +204,37 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block_rows: i
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def context_block(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Numbered context text per query from its hits; chunks(vec_id, content, source, title)."""
+def hit_views(hits: DataFrame, chunks: DataFrame, width: int = 300) -> DataFrame:
+    """(query_id, rank, vec_id, score, content) with the content cut to its first `width` characters, as agents show
+    hits (300) and chats cite them (200)."""
+    df = hits.join(chunks.select("vec_id", "content"), "vec_id")
+    return df.select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"), F.substring("content", 1, width).alias("content"))
+
+
+def append_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Adds chunks with their vectors to the table at path, but for pages whose URL is stored already.
+
+    The table is its own URL registry: it is partitioned by a hash of the normalised URL, and a batch reads only the
+    URLs of the partitions it touches. Repeating a batch adds nothing.
+    """
+    spark = chunks.sparkSession
+    new = chunks.withColumn("page", normal_url("url")).withColumn("bucket", F.pmod(F.xxhash64("page"), F.lit(buckets)).cast("int"))
+    old = stored(spark, path, new.schema, ("bucket",))
+    if old is not None:
+        touched = old.join(new.select("bucket").distinct(), "bucket", "left_semi").select("page").distinct()
+        new = new.join(touched, "page", "left_anti").select(*new.columns)
+    new.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def load_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("page", "bucket")
+
+
+def context_block(hits: DataFrame, chunks: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Numbered context text per query from its hits; chunks(vec_id, content, source, title).
+
+    With queries(query_id), one without hits has a row too, which says so.
+    """
     df = hits.join(chunks, "vec_id")
     label = F.when(F.coalesce("title", F.lit("")) != "", F.concat("title", F.lit(" ("), "source", F.lit(")"))).otherwise(F.col("source"))
     part = F.concat(
@@ -215,7 +245,12 @@ def context_block(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     out = df.groupBy("query_id").agg(parts.alias("s"))
     # Fixed value: output text of the contract.
     text = F.concat(F.lit("Relevant financial context:\n\n"), F.array_join(F.col("s.p"), "\n"))
-    return out.select("query_id", text.alias("context"))
+    out = out.select("query_id", text.alias("context"))
+    if queries is None:
+        return out
+    # Fixed value: output text of the contract.
+    none = F.lit("No relevant context found.")
+    return queries.select("query_id").distinct().join(out, "query_id", "left").select("query_id", F.coalesce("context", none).alias("context"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -489,6 +489,19 @@ p AS (SELECT query_id, rank, printf('[%d] (source: %s, score: %.4f)', rank, CASE
 SELECT query_id, 'Relevant financial context:' || chr(10) || chr(10) || string_agg(p, chr(10) ORDER BY rank) AS context FROM p GROUP BY query_id"""
 
 
+def _views(spark, sf):
+    """Hits as agents show them and chats cite them."""
+    h = retrieval.search(_centroids(spark, sf), i.read(spark, sf, "embeddings"), block_rows=5_000)
+    d = i.read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
+    agent, chat = retrieval.hit_views(h, d, 300), retrieval.hit_views(h, d, 200).select("query_id", "rank", F.col("content").alias("cited"))
+    return agent.join(chat, ["query_id", "rank"])
+
+
+_VIEWS_SQL = "WITH " + _SEARCH + """
+SELECT query_id, rank, vec_id, round(score, 4) + 0.0::DOUBLE AS score, left(text, 300) AS content, left(text, 200) AS cited
+FROM hits JOIN documents ON doc_id = vec_id"""
+
+
 def _memory(spark, sf):
     m = fusion.last_messages(i.read(spark, sf, "conversations"), 4)
     return m.select("conv_id", "turn", "role", "turn_count")
@@ -557,6 +570,7 @@ QUERIES = {
     "f11_json_replies": _replies,
     "f12_prediction_narrative": _narrative,
     "f12_retrieval_context": _context,
+    "k07_hit_views": _views,
     "f13_feature_glossary": _glossary,
     "t01_page_text": _pages,
     "t02_chunks": _chunks,
@@ -602,6 +616,7 @@ ORACLES = {
     "f11_json_replies": _REPLIES_SQL,
     "f12_prediction_narrative": _NARR_SQL,
     "f12_retrieval_context": _CONTEXT_SQL,
+    "k07_hit_views": _VIEWS_SQL,
     "f13_feature_glossary": _glossary_sql(),
     "t02_chunks": _CHUNKS_SQL,
     "t04_news_dedup": with_ctes(i.NEWS, _CLEAN, _DEDUP, select="SELECT ticker, fingerprint, doc_id, query_idx FROM uniq"),
