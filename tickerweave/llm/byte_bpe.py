@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from tickerweave.llm.tokens import BYTE_BPE, PATTERN, read_ranks
 #: White space of the published pattern, spelled out because engines differ in what \\s covers.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most words whose ids are kept ready and broadcast; other words are encoded once for each batch of texts.
-FREQUENT = 400_000
+FREQUENT = 300_000
 #: Tasks that encode them.
 WAYS = 96
 #: Characters of text in a batch.
@@ -68,15 +69,17 @@ class Codec:
             pieces[rank] = piece.decode("latin-1")
         self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
-    def rank(self, piece: Column) -> Column:
-        return _look(self.ranks, piece)
+    def encode_words(self, words: Column) -> Column:
+        """Ids of each of an array of matches of the pattern. The rank map stands in the plan once, bound to a variable."""
+        return _let(self.ranks[0], lambda maps: F.transform(words, lambda w: self._encode(as_bytes(w), maps)))
 
-    def encode_word(self, word: Column) -> Column:
-        """Ids of one match of the pattern, given as_bytes: starts from its bytes and merges, one step of the
-        fold at a time, the neighbours whose joint piece has the lowest rank, the first of them at a tie."""
+    def _encode(self, word: Column, maps: Column) -> Column:
+        """Starts from the bytes of a word and merges, one step of the fold at a time, the neighbours whose joint
+        piece has the lowest rank, the first of them at a tie."""
+        rank_of = lambda piece: _look((maps, self.ranks[1]), piece)
 
         def start(b):
-            neighbours = F.zip_with(F.slice(b, 1, F.size(b) - 1), F.slice(b, 2, F.size(b) - 1), lambda x, y: self.rank(F.concat(x, y)))
+            neighbours = F.zip_with(F.slice(b, 1, F.size(b) - 1), F.slice(b, 2, F.size(b) - 1), lambda x, y: rank_of(F.concat(x, y)))
             return F.struct(b.alias("piece"), neighbours.alias("rank"))
 
         def merge(s, _):
@@ -93,8 +96,8 @@ class Codec:
                     F.concat(F.slice(piece, 1, place - 1), F.array(joint), F.slice(piece, place + 2, n)).alias("piece"),
                     F.concat(
                         F.when(place > 2, F.slice(rank, 1, place - 2)).otherwise(none),
-                        F.when(place > 1, F.array(self.rank(before))).otherwise(none),
-                        F.when(place < n - 1, F.array(self.rank(after))).otherwise(none),
+                        F.when(place > 1, F.array(rank_of(before))).otherwise(none),
+                        F.when(place < n - 1, F.array(rank_of(after))).otherwise(none),
                         F.slice(rank, place + 2, n),
                     ).alias("rank"),
                 )
@@ -102,14 +105,12 @@ class Codec:
             return F.when(low.isNull(), s).otherwise(_let(F.array_position(rank, low).cast("int"), at))
 
         folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.char_length(word), F.lit(2))), start(F.split(word, "")), merge)
-        return F.transform(folded["piece"], self.rank)
-
-    def encode_text_word(self, word: Column) -> Column:
-        return self.encode_word(as_bytes(word))
+        return F.transform(folded["piece"], rank_of)
 
     def decode(self, ids: Column) -> Column:
         """Bytes of a sequence of ids: the binary pieces one after the other."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.element_at(self.pieces, i + 1)), ""), "ISO-8859-1")
+        text = _let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
+        return F.encode(text, "ISO-8859-1")
 
 
 # --- texts to words --------------------------------------------------------------------------
@@ -175,7 +176,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
                  frequent: int = FREQUENT) -> DataFrame:
     """Rows of docs with ids_col, the ids of the whole text: every match of the pattern encoded by itself.
 
-    Words are merged by Codec.encode_word, a fold of column expressions over a literal rank map, once for each distinct
+    Words are merged by Codec.encode_words, a fold of column expressions over a literal rank map, once for each distinct
     word: once for all for the `frequent` most frequent words, whose ids are broadcast, and once per batch of texts for
     the others. A task cuts its texts into batches of bounded size, lists each batch's distinct words, has the expressions
     encode them and puts the texts together again from word numbers. No row moves but for the word counts.
@@ -187,16 +188,18 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
     codec = Codec(read_ranks(ranks_path))
     counts = write_once(count_words(docs, text_col, pattern), "bpe-words")
     some = frequent_rows(counts, "n", frequent).repartition(WAYS, "word")
-    ready = some.select("word", codec.encode_text_word(F.col("word")).alias("ids")).toArrow()
-    words, ids = ready["word"].to_pylist(), ready["ids"].combine_chunks()
-    lengths = np.array([len(x) for x in ids], np.int64)
-    sent = spark.sparkContext.broadcast((words, lengths, ids.flatten().to_numpy().astype(np.int32)))
+    ready = some.select("word", F.element_at(codec.encode_words(F.array("word")), 1).alias("ids")).toArrow()
+    lists = pa.concat_arrays(ready["ids"].chunks) if ready.num_rows else pa.array([], pa.list_(pa.int32()))
+    lengths = pyarrow.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = pa.array(ready["word"].to_pylist(), pa.string())
+    sent = spark.sparkContext.broadcast((words, lengths, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
+    del ready, lists
     kept = [c for c in docs.columns if c != ids_col]
     base = docs.select(*kept)
     at = kept.index(text_col)
 
     def cut_up(batches):
-        split, known = Splitter(pattern), {w: k for k, w in enumerate(sent.value[0])}
+        split, known = Splitter(pattern), {w: k for k, w in enumerate(sent.value[0].to_pylist())}
         for batch in batches:
             sizes = np.cumsum([len(t or "") for t in batch.column(at).to_pylist()])
             start = 0
@@ -254,7 +257,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
                         yield pa.RecordBatch.from_arrays([*part.slice(a, b - a).columns, lists], names=[*kept, ids_col])
 
     cut_ = base.mapInArrow(cut_up, "rows binary, numbers binary, ends binary, rare array<string>")
-    cut_ = cut_.select("rows", "numbers", "ends", F.transform("rare", codec.encode_text_word).alias("rare"))
+    cut_ = cut_.select("rows", "numbers", "ends", codec.encode_words(F.col("rare")).alias("rare"))
     return cut_.mapInArrow(put_together, StructType(base.schema.fields + StructType.fromDDL(f"{ids_col} array<int>").fields))
 
 
