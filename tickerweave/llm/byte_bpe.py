@@ -20,11 +20,11 @@ from tickerweave.llm.tokens import BYTE_BPE, PATTERN, read_ranks
 #: White space of the published pattern, spelled out because engines differ in what \\s covers.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most words whose ids are kept ready and broadcast; other words are encoded once for each batch of texts.
-FREQUENT = 300_000
+FREQUENT = 1_000_000
 #: Tasks that encode them.
 WAYS = 96
 #: Characters of text in a batch.
-BATCH = 16 << 20
+BATCH = 32 << 20
 #: Distinct words a counting task holds before it passes them on.
 FLUSH = 400_000
 
@@ -191,7 +191,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
     ready = some.select("word", F.element_at(codec.encode_words(F.array("word")), 1).alias("ids")).toArrow()
     lists = pa.concat_arrays(ready["ids"].chunks) if ready.num_rows else pa.array([], pa.list_(pa.int32()))
     lengths = pyarrow.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = pa.array(ready["word"].to_pylist(), pa.string())
+    words = pa.concat_arrays(ready["word"].chunks).cast(pa.string()) if ready.num_rows else pa.array([], pa.string())
     sent = spark.sparkContext.broadcast((words, lengths, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
     del ready, lists
     kept = [c for c in docs.columns if c != ids_col]
