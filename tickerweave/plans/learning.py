@@ -193,7 +193,7 @@ def _surrogate(spark, sf):
     model = training.fit(split, "random_forest", {"n_estimators": 10, "max_depth": 4})
     spread = split.agg(*[F.stddev_samp(c).alias(c) for c in FEATURES])
     rows = technical.latest_row(split.select("ticker", "date", *FEATURES))
-    s = explain.local_surrogate(model, rows, FEATURES, spread, samples=100)
+    s = explain.local_surrogate(model, rows, FEATURES, spread)
     return s.select("ticker", "feature", rnd("weight").alias("weight"), "rank")
 
 
