@@ -15,9 +15,8 @@ SEED = 20240607
 #: Words whose hashes a task remembers before it starts again.
 REMEMBER = 400_000
 
-#: Members of a bucket that are compared with its others in the first round after the first pivot, and the factor from
-#: round to round: a few join most of a group of true copies, the more after them test what then is still apart.
-PIVOTS, GROWTH = 2, 4
+#: Classes in a tile; a task compares two tiles.
+TILE = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,15 +134,55 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b")
 
 
+def _tile_links(key, rows: pa.Table, percent: int) -> pa.Table:
+    """Links among the classes of two tiles of a candidate group that join what was apart.
+
+    Pairs that share a band are confirmed on their whole sets, unless links found so far connect them already.
+    """
+    i, j = key[1].as_py(), key[2].as_py()
+    ids, c, tile = (rows[n].to_numpy() for n in ("id", "c", "tile"))
+    bands = np.array(rows["bands"].to_pylist(), np.int64)
+    column = rows["shingles"].combine_chunks()
+    sizes = np.array([len(s) for s in column], np.int64)
+    known: dict[int, frozenset] = {}
+    root = {int(x): int(x) for x in c}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def whole(k):
+        if k not in known:
+            known[k] = frozenset(column[k].values.to_numpy().tolist())
+        return known[k]
+
+    left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+    found = []
+    for a in left:
+        others = right[right > a] if i == j else right
+        near = (bands[others] == bands[a]).any(axis=1) & (c[others] != c[a])
+        near &= 100 * np.minimum(sizes[others], sizes[a]) >= percent * np.maximum(sizes[others], sizes[a])
+        for b in others[near]:
+            x, y = find(int(c[a])), find(int(c[b]))
+            if x == y:
+                continue
+            shared = len(whole(a) & whole(b))
+            if 100 * shared >= percent * (int(sizes[a]) + int(sizes[b]) - shared):
+                root[max(x, y)] = min(x, y)
+                found.append((ids[a], ids[b]))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75,
                     permutations: int = 64) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): one row per row of docs.
 
     Equal sets are one class, named by its smallest id; only classes are compared. Bands bring
-    candidates into buckets. Each bucket's smallest member is compared with the others, and whatever
-    that leaves apart is compared by further pivots of the bucket until no pair in it is both untested
-    and in different groups; so a bucket of true copies costs one comparison per member, and no
-    candidate is lost. A link needs 100 * intersection >= percent * union on the whole sets. With 64
+    candidates into buckets. Each bucket's smallest member is compared with the others, which joins most
+    groups of true copies at one comparison per member. Groups that candidate pairs connect but links
+    do not are then compared tile by tile: a task tests every pair of two tiles that shares a band and is still
+    apart, and returns only links that join something, so no pairs are emitted and no candidate is lost. A link needs 100 * intersection >= percent * union on the whole sets. With 64
     permutations (128 values, 32 bands of 4) a pair at 75 % misses every bucket with a chance of
     about 5 in a million. Buckets and classes that hold a large share of all rows are counted with
     partial sums and looked up by broadcast.
@@ -176,36 +215,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = full.groupBy("id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x < y").select("id")
     shared = full.join(several, "id").select("id", "k1", "k2").distinct().join(classes, ["k1", "k2"])
     links = links.union(shared.select(F.col("rep").alias("a"), F.col("id").alias("b")).filter("a <> b"))
-    used, left, width = None, True, PIVOTS
+    # What the first pivots leave apart: groups of classes that candidate pairs connect but links do not.
+    label, group = components(links), components(tested)
+    now = group.withColumnsRenamed({"node": "id", "component": "k1"}).withColumn("k2", F.lit(""))
+    now = now.join(label, now.id == label.node, "left").select("id", "k1", "k2", F.coalesce("component", "id").alias("c"))
+    now = cut(now)
+    apart = now.groupBy("k1", "k2").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n"))
+    apart = cut(apart.filter("x < y").select("k1", "k2", "n", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
+    rest = lookup(now, apart, ("k1", "k2"), "n", ["tiles"], F.xxhash64("id")).filter("tiles IS NOT NULL")
+    rest = rest.join(sets, "id").join(heads.select("id", "bands"), "id")
+    rest = rest.withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rest = rest.select("k1", "id", "c", "shingles", "bands", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    more = rest.groupBy("k1", "i", "j").applyInArrow(lambda key, rows: _tile_links(key, rows, percent), "a long, b long")
+    links = cut(links.union(more))
     label = components(links)
-    while left:
-        now = member.join(label, member.id == label.node, "left").select("k1", "k2", "id", "first", F.coalesce("component", "id").alias("c"))
-        now = cut(now)
-        apart = now.groupBy("k1", "k2").agg(F.max(F.when(F.col("id") == F.col("first"), F.col("c"))).alias("main"),
-                                            F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n"))
-        apart = cut(apart.filter("x < y").select("k1", "k2", "main", "n"))
-        open_ = cut(lookup(now, apart, ("k1", "k2"), "n", ["main"], F.xxhash64("id")).filter("main IS NOT NULL"))
-        member = open_.select("k1", "k2", "id", "first")  # buckets in one group stay so
-        strays = open_.filter("c <> main").select("k1", "k2", "id", "c")
-        if used is not None:
-            strays = strays.join(used, ["k1", "k2", "id"], "left_anti")
-        each = cut(strays.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("s")))
-        slot = F.when(F.col("many") <= width, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(width)))
-        strays = lookup(strays, each.withColumn("many", F.col("s")), ("k1", "k2"), "s", ["many"], F.xxhash64("id"))
-        picked = strays.groupBy("k1", "k2", slot.alias("slot")).agg(F.min(F.struct("id", "c")).alias("pivot"), F.max("many").alias("many"))
-        picked = cut(picked.select("k1", "k2", "pivot", "many"))
-        # Where every stray of each bucket is a pivot now, no pair is left to test after this round.
-        left = picked.filter(F.col("many") > width).limit(1).count() > 0
-        width *= GROWTH
-        chosen = picked.groupBy("k1", "k2").agg(F.collect_list("pivot").alias("pivots")).join(apart, ["k1", "k2"])
-        pairs = lookup(open_, cut(chosen), ("k1", "k2"), "n", ["pivots"], F.xxhash64("id")).select("id", "c", F.explode("pivots").alias("p"))
-        pairs = pairs.filter("p.c <> c").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        links = cut(links.union(confirmed(pairs, sets, percent)))
-        label = components(links)
-        tested = cut(tested.union(pairs))
-        at = picked.select("k1", "k2", F.col("pivot.id").alias("id"))
-        used = cut(at if used is None else used.union(at))
 
     classes = classes.join(label, classes.rep == label.node, "left").select(
         "k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
