@@ -163,12 +163,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most_terms: i
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", most_positive: int = 5_000, most_negative: int = 10_000, threshold: float = 0.7) -> Machine:
     """The machine from labelled rows that may be learned from: at most about most_positive texts labelled 1 and
-    most_negative labelled 0, drawn evenly by a hash of the id and weighted back to their true numbers."""
+    most_negative labelled 0, drawn evenly by a hash of the id and weighted back to their true numbers. The drawn ids, bounded so, are broadcast."""
     mine = labels.filter(may_learn & F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y"))
     sets = {1: mine.filter("y = 1"), 0: mine.filter("y <> 1")}
     counts = {k: d.count() for k, d in sets.items()}
     drawn = bounded(sets[1], id_col, most_positive).union(bounded(sets[0], id_col, most_negative)).distinct()
-    texts = docs.select(F.col(id_col), F.col(text_col)).filter(may_learn).join(drawn, id_col).select(text_col, "y")
+    texts = docs.select(F.col(id_col), F.col(text_col)).filter(may_learn).join(F.broadcast(drawn), id_col).select(text_col, "y")
 
     def make(batches):
         for batch in batches:
