@@ -123,13 +123,13 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
           label_col: str = "quality", most_positive: int = 20_000, most_unlabelled: int = 30_000) -> Net:
     """The network from rows that may be learned from: at most about most_positive texts labelled 1 and
     most_unlabelled texts of any kind, drawn evenly by a hash of the id. The class prior is the share of 1 among all
-    labelled rows that may be learned from, (n1 + 1) / (n + 2)."""
+    labelled rows that may be learned from, (n1 + 1) / (n + 2). The drawn ids, bounded so, are broadcast."""
     mine = labels.filter(may_learn & F.col(label_col).isNotNull())
     n, good = mine.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(label_col).cast("long")), F.lit(0))).first()
     prior = (good + 1) / (n + 2)
     texts = docs.select(F.col(id_col), F.col(text_col)).filter(may_learn)
     trusted = bounded(mine.filter(F.col(label_col) == 1).select(id_col), id_col, most_positive)
-    positive = _feature_rows(texts.join(trusted.distinct(), id_col).select(text_col))
+    positive = _feature_rows(texts.join(F.broadcast(trusted.distinct()), id_col).select(text_col))
     return fit(positive, _feature_rows(bounded(texts, id_col, most_unlabelled).select(text_col)), prior)
 
 
