@@ -119,9 +119,11 @@ class Network:
         steps, lanes = ids.shape
         out = np.empty((steps, lanes, n), np.float32)
         gates_in = self.emb[ids] @ self.wx + self.b
+        starts = fresh.any(axis=1)
         wh_zr, wh_c = np.ascontiguousarray(self.wh[:, : 2 * n]), np.ascontiguousarray(self.wh[:, 2 * n :])
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
+            if starts[t]:
+                h = np.where(fresh[t][:, None], np.float32(0), h)
             out[t] = h
             x = gates_in[t]
             zr = 0.5 + 0.5 * np.tanh(0.5 * (x[:, : 2 * n] + h @ wh_zr))
@@ -181,6 +183,7 @@ class Network:
         pre = np.empty((steps, lanes, 3 * n), np.float32)
         wh = np.zeros_like(self.wh)
         back = np.zeros((lanes, n), np.float32)
+        starts = fresh.any(axis=1)
         wz, wr, wc = (self.wh[:, k * n : (k + 1) * n].T for k in range(3))
         for t in range(steps - 1, -1, -1):
             old, z, r, rh, c = kept[t]
@@ -192,7 +195,8 @@ class Network:
             wh[:, : 2 * n] += old.T @ pre[t, :, : 2 * n]
             wh[:, 2 * n :] += rh.T @ dc
             back = back * (1 - z) + drh * r + dz @ wz + dr @ wr + d[t]
-            back = np.where(fresh[t][:, None], np.float32(0), back)
+            if starts[t]:
+                back = np.where(fresh[t][:, None], np.float32(0), back)
         flat_pre = pre.reshape(-1, 3 * n)
         g["wx"] = self.emb[every].T @ flat_pre
         g["b"], g["wh"] = flat_pre.sum(0), wh
@@ -365,7 +369,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
             for batch, row, text in pool:
                 words_ = tokens(text)
                 at = np.array([index.get(w, 0) for w in words_], np.int64)
-                rare = Counter(words_[i] for i in np.flatnonzero(at == 0))
+                rare = Counter([words_[i] for i in np.flatnonzero(at == 0).tolist()])
                 known_here = int((at > 0).sum()) - (0 if seen[0][1] else int((at == 1).sum()))
                 heads.append((batch.column(0)[row].as_py(), len(at), known_here, float(log_of[at].sum()),
                               int(((at == 0) | (at >= inside_to)).sum()), float(log_of[at[at >= inside_to]].sum()), list(rare.items())))
