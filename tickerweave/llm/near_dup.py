@@ -179,8 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, n_shingles, component_id, kept): one row per row of docs.
 
     Equal sets are one class, named by its smallest id; only classes are compared. Bands bring
-    candidates into buckets. Each bucket's smallest member is compared with the others, which joins most
-    groups of true copies at one comparison per member. Groups that candidate pairs connect but links
+    candidates into buckets. Each class is compared with the smallest class it shares a bucket with, which joins
+    most groups of true copies at one comparison per class. Groups that candidate pairs connect but links
     do not are then compared tile by tile: a task tests every pair of two tiles that shares a band and is still
     apart, and returns only links that join something, so no pairs are emitted and no candidate is lost. A link needs 100 * intersection >= percent * union on the whole sets. With 64
     permutations (128 values, 32 bands of 4) a pair at 75 % misses every bucket with a chance of
@@ -210,13 +210,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = shingle_sets(texts, size).join(heads.select("id"), "id", "left_semi")
     sets = write_once(sets.dropDuplicates(["id", "shingles"]), "shingle-sets")
 
-    tested = cut(member.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    # One pivot per class, the smallest first member of its buckets: a link to it joins most groups of copies.
+    pivot = cut(member.groupBy("id").agg(F.min("first").alias("pivot")))
+    tested = pivot.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     links = cut(confirmed(tested, sets, percent))
+    # Buckets connect their members' pivots; most buckets of a group have the same.
+    ends = member.select("id", "first").distinct().join(pivot, "id").select("first", F.col("pivot").alias("b")).distinct()
+    ends = ends.join(pivot.withColumnRenamed("id", "first"), "first").select(F.col("pivot").alias("a"), "b").filter("a <> b")
     several = full.groupBy("id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x < y").select("id")
     shared = full.join(several, "id").select("id", "k1", "k2").distinct().join(classes, ["k1", "k2"])
     links = links.union(shared.select(F.col("rep").alias("a"), F.col("id").alias("b")).filter("a <> b"))
     # What the first pivots leave apart: groups of classes that candidate pairs connect but links do not.
-    label, group = components(links), components(tested)
+    label, group = components(links), components(tested.union(ends.distinct()))
     now = group.withColumnsRenamed({"node": "id", "component": "k1"}).withColumn("k2", F.lit(""))
     now = now.join(label, now.id == label.node, "left").select("id", "k1", "k2", F.coalesce("component", "id").alias("c"))
     now = cut(now)
