@@ -141,6 +141,13 @@ def test_language_model(spark, many):
     assert language_model.score_documents(frame(spark, []), F.lit(True)).count() == 0
 
 
+def test_language_model_learns_from_every_window(spark):
+    """What follows the first window of each text is learned as well."""
+    rows = [(k, "a b " * 8 + "c d " * 120) for k in range(24)] + [(100, "c d " * 50)]
+    got = language_model.score_documents(frame(spark, rows), F.col("doc_id") < 100, passes=1).filter("doc_id = 100").first()
+    assert got.score > got.base_score + 5
+
+
 def test_network_is_a_distribution_with_true_gradients():
     net = language_model.Network([3, 5, 2, 7, 1, 4, 9], hidden=3, seed=1)
     draw = np.random.default_rng(2)

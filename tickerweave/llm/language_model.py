@@ -63,14 +63,31 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
     """log of the sum of exp by row; logits start at or below 0, so a maximum is only taken if one has grown large."""
-    with np.errstate(over="ignore"):
-        out = np.log(np.exp(logits).sum(1))
+    with np.errstate(over="ignore", divide="ignore"):
+        out = np.log(np.exp(logits) @ np.ones(logits.shape[1], logits.dtype))
     if not np.isfinite(out).all():
         top = logits.max(1)
         out = top + np.log(np.exp(logits - top[:, None]).sum(1))
     return out
 
 
+def _softmax(logits: np.ndarray, scale: np.float32) -> np.ndarray:
+    """scale times the softmax by row; a maximum is only taken if one has grown large."""
+    with np.errstate(over="ignore"):
+        out = np.exp(logits)
+        total = out @ np.ones(out.shape[1], out.dtype)
+    if not 0 < total.min() <= total.max() < np.inf:
+        out = np.exp(logits - logits.max(1, keepdims=True))
+        total = out.sum(1)
+    out *= (scale / total)[:, None]
+    return out
+
+
+def _sorted(keys: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of keys below `most`; short integers are sorted by radix."""
+    return np.argsort(keys.astype(np.int16) if most <= 32_768 else keys, kind="stable")
+
+
 class Network:
     """Gated recurrent cell with a class-factored softmax: P(word) = P(class | state) * P(word | class, state).
 
@@ -110,97 +127,128 @@ class Network:
             setattr(self, name, value)
         return self
 
-    def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """State before each token, and after the last. ids, fresh: (steps, lanes); a fresh token starts a document.
 
-        The input of a step is the token before it; a document starts from a zero state.
+        The input of a step is the token before it; a document starts from a zero state. Inside, lanes come last,
+        so that gates are blocks of memory.
         """
         n = self.hidden
         steps, lanes = ids.shape
-        out = np.empty((steps, lanes, n), np.float32)
-        gates_in = self.emb[ids] @ self.wx + self.b
+        x = self.emb[ids.ravel()]
+        # tanh of half the input gives the gates between 0 and 1.
+        halves = np.repeat(np.array([0.5, 1], np.float32), (2 * n, n))
+        gates = (((self.wx * halves).T @ x.T) + (self.b * halves)[:, None]).reshape(3 * n, steps, lanes)
+        wh_zr, wh_c = np.ascontiguousarray(self.wh[:, : 2 * n].T) * np.float32(0.5), np.ascontiguousarray(self.wh[:, 2 * n :].T)
         starts = fresh.any(axis=1)
-        wh_zr, wh_c = np.ascontiguousarray(self.wh[:, : 2 * n]), np.ascontiguousarray(self.wh[:, 2 * n :])
+        h = np.ascontiguousarray(h.T)
+        all_h = np.empty((n, steps, lanes), np.float32)
+        if keep is not None:
+            zrs, rhs, cs = (np.empty((k * n, steps, lanes), np.float32) for k in (2, 1, 1))
         for t in range(steps):
             if starts[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            out[t] = h
-            x = gates_in[t]
-            zr = 0.5 + 0.5 * np.tanh(0.5 * (x[:, : 2 * n] + h @ wh_zr))
-            z, r = zr[:, :n], zr[:, n:]
-            rh = r * h
-            c = np.tanh(x[:, 2 * n :] + rh @ wh_c)
+                h = np.where(fresh[t], np.float32(0), h)
+            all_h[:, t] = h
+            zr = wh_zr @ h
+            zr += gates[: 2 * n, t]
+            np.tanh(zr, out=zr)
+            zr *= np.float32(0.5)
+            zr += np.float32(0.5)
+            rh = zr[n:] * h
+            c = wh_c @ rh
+            c += gates[2 * n :, t]
+            np.tanh(c, out=c)
             if keep is not None:
-                keep.append((h, z, r, rh, c))
-            h = h + z * (c - h)
-        return out, h
+                zrs[:, t], rhs[:, t], cs[:, t] = zr, rh, c
+            c -= h
+            c *= zr[:n]
+            h = h + c
+        if keep is not None:
+            keep.update(x=x, h=all_h, z=zrs[:n], r=zrs[n:], rh=rhs, c=cs)
+        return np.ascontiguousarray(all_h.transpose(1, 2, 0)), np.ascontiguousarray(h.T)
+
+    def _by_class(self, cls: np.ndarray):
+        """Order of rows by class, and (class, begin, end) of each that occurs."""
+        order = _sorted(cls, self.classes)
+        bounds = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        return order, [(c, bounds[c], bounds[c + 1]) for c in range(self.classes) if bounds[c + 1] > bounds[c]]
+
+    def _words(self, state: np.ndarray, cls: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits within the class of each row, with rows sorted by class."""
+        out = self.bw[cls]
+        for c, begin, end in parts:
+            out[begin:end] += state[begin:end] @ self.ww[c]
+        return out
 
     def log_probability(self, state: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of P(token | state) for rows of states."""
+        order, parts = self._by_class(ids // self.width)
+        state, ids = state[order], ids[order]
         cls, place = ids // self.width, ids % self.width
-        logits = state @ self.wc + self.bc
-        out = logits[np.arange(len(ids)), cls] - _log_sum(logits)
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[c] : bounds[c + 1]]
-            words = state[at] @ self.ww[c] + self.bw[c]
-            out[at] += words[np.arange(len(at)), place[at]] - _log_sum(words)
+        got = np.empty(len(ids), np.result_type(state, self.wc))
+        for at in range(0, len(ids), 2048):
+            part = slice(at, at + 2048)
+            logits = state[part] @ self.wc
+            logits += self.bc
+            got[part] = logits[np.arange(len(logits)), cls[part]] - _log_sum(logits)
+            words = self._words(state[part], cls[part], [(c, max(b - at, 0), e - at) for c, b, e in parts if b < at + 2048 and e > at])
+            got[part] += words[np.arange(len(words)), place[part]] - _log_sum(words)
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def gradients(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, use: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean loss over one window (truncated backpropagation), and the state after it."""
         n = self.hidden
-        kept: list = []
+        kept: dict = {}
         before, h = self.states(ids, fresh, h, kept)
         steps, lanes = ids.shape
         every = ids.ravel()
         some = np.flatnonzero(use.ravel())
+        order, parts = self._by_class(every[some] // self.width)
+        some = some[order]
         state, flat = before.reshape(-1, n)[some], every[some]
         scale = np.float32(1 / max(1, len(some)))
         cls, place = flat // self.width, flat % self.width
         rows = np.arange(len(flat))
-        logits = state @ self.wc + self.bc
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p *= scale / p.sum(1, keepdims=True)
+        p = _softmax(state @ self.wc + self.bc, scale)
         p[rows, cls] -= scale
-        g = {"wc": state.T @ p, "bc": p.sum(0), "ww": {}, "bw": {}}
+        g = {"wc": state.T @ p, "bc": p.sum(0)}
         d = p @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[c] : bounds[c + 1]]
-            s = state[at]
-            words = s @ self.ww[c] + self.bw[c]
-            q = np.exp(words - words.max(1, keepdims=True))
-            q *= scale / q.sum(1, keepdims=True)
-            q[np.arange(len(at)), place[at]] -= scale
-            g["ww"][c], g["bw"][c] = s.T @ q, q.sum(0)
-            d[at] += q @ self.ww[c].T
+        occur = np.array([c for c, _, _ in parts], np.int64)
+        q = _softmax(self._words(state, cls, parts), scale)
+        q[rows, place] -= scale
+        ww = np.empty((len(parts), n, self.width), np.float32)
+        for k, (c, begin, end) in enumerate(parts):
+            ww[k] = state[begin:end].T @ q[begin:end]
+            d[begin:end] += q[begin:end] @ self.ww[c].T
+        bw = np.add.reduceat(q, [begin for _, begin, _ in parts], axis=0) if parts else np.empty((0, self.width), np.float32)
+        g["ww"], g["bw"] = (occur, ww), (occur, bw)
         spread = np.zeros((steps * lanes, n), np.float32)
         spread[some] = d
-        d = spread.reshape(steps, lanes, n)
-        pre = np.empty((steps, lanes, 3 * n), np.float32)
-        wh = np.zeros_like(self.wh)
-        back = np.zeros((lanes, n), np.float32)
+        d = np.ascontiguousarray(spread.reshape(steps, lanes, n).transpose(0, 2, 1))
+        old, z, r, rh, c = (kept[k] for k in ("h", "z", "r", "rh", "c"))
+        to_c, to_z, to_r = 1 - c * c, (c - old) * (1 - z), rh * (1 - r)
+        pre = np.empty((3 * n, steps, lanes), np.float32)
+        back = np.zeros((n, lanes), np.float32)
         starts = fresh.any(axis=1)
-        wz, wr, wc = (self.wh[:, k * n : (k + 1) * n].T for k in range(3))
+        wh_zr, wh_c = np.ascontiguousarray(self.wh[:, : 2 * n]), np.ascontiguousarray(self.wh[:, 2 * n :])
         for t in range(steps - 1, -1, -1):
-            old, z, r, rh, c = kept[t]
-            dc = back * z * (1 - c * c)
-            dz = back * (c - old) * z * (1 - z)
-            drh = dc @ wc
-            dr = drh * old * r * (1 - r)
-            pre[t, :, :n], pre[t, :, n : 2 * n], pre[t, :, 2 * n :] = dz, dr, dc
-            wh[:, : 2 * n] += old.T @ pre[t, :, : 2 * n]
-            wh[:, 2 * n :] += rh.T @ dc
-            back = back * (1 - z) + drh * r + dz @ wz + dr @ wr + d[t]
+            gone = back * z[:, t]
+            dc = gone * to_c[:, t]
+            drh = wh_c @ dc
+            pre[:n, t], pre[n : 2 * n, t], pre[2 * n :, t] = gone * to_z[:, t], drh * to_r[:, t], dc
+            back -= gone
+            drh *= r[:, t]
+            back += drh
+            back += wh_zr @ pre[: 2 * n, t]
+            back += d[t]
             if starts[t]:
-                back = np.where(fresh[t][:, None], np.float32(0), back)
-        flat_pre = pre.reshape(-1, 3 * n)
-        g["wx"] = self.emb[every].T @ flat_pre
-        g["b"], g["wh"] = flat_pre.sum(0), wh
-        g["emb"] = (every, flat_pre @ self.wx.T)
+                back = np.where(fresh[t], np.float32(0), back)
+        flat_pre = pre.reshape(3 * n, -1)
+        g["wx"], g["b"] = (flat_pre @ kept["x"]).T, flat_pre.sum(1)
+        g["wh"] = np.hstack([old.reshape(n, -1) @ flat_pre[: 2 * n].T, rh.reshape(n, -1) @ flat_pre[2 * n :].T])
+        g["emb"] = (every, flat_pre.T @ self.wx.T)
         return g, h
 
 
@@ -211,23 +259,24 @@ class Steps:
         self.net, self.rate = net, rate
         self.sums = {n: np.full_like(v, 1e-6) for n, v in zip(net.NAMES, net.get(), strict=True)}
 
-    def _move(self, weight, total, grad):
-        total += grad * grad
-        weight -= self.rate * grad / np.sqrt(total)
+    def _move(self, name, grad, at=slice(None)):
+        total = self.sums[name][at] + grad * grad
+        self.sums[name][at] = total
+        np.sqrt(total, out=total)
+        np.divide(grad, total, out=total)
+        total *= np.float32(self.rate)
+        getattr(self.net, name)[at] -= total
 
     def apply(self, g: dict) -> None:
         for name in ("wx", "wh", "b", "wc", "bc"):
-            self._move(getattr(self.net, name), self.sums[name], g[name])
+            self._move(name, g[name])
         for name in ("ww", "bw"):
-            for c, grad in g[name].items():
-                self._move(getattr(self.net, name)[c], self.sums[name][c], grad)
+            at, grad = g[name]
+            self._move(name, grad, at)
         ids, grad = g["emb"]
-        order = np.argsort(ids, kind="stable")
+        order = _sorted(ids, self.net.size)
         first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-        rows = ids[order][first]
-        total = np.add.reduceat(grad[order], first, axis=0)
-        self.sums["emb"][rows] += total * total
-        self.net.emb[rows] -= self.rate * total / np.sqrt(self.sums["emb"][rows])
+        self._move("emb", np.add.reduceat(grad[order], first, axis=0), ids[order][first])
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,11 +322,11 @@ def pools(batches, column: int, most: int = POOL):
         yield held
 
 
-def train_pass(texts: DataFrame, words: list[bytes], net: Network, lanes: int, window: int, stride: int, rate: float) -> Network:
+def train_pass(texts: DataFrame, words: list[bytes], net: Network, lanes: int, window: int, rate: float) -> Network:
     """One pass over the texts: each task trains the network it is given, and the changes are averaged by tokens.
 
-    words: the network's, by place. The state runs through every token; of each `stride` windows of the
-    lanes one is learned from, by backpropagation through that window.
+    words: the network's, by place. The state runs through every token, and every window of the lanes is
+    learned from, by backpropagation through that window.
     """
     sent = texts.sparkSession.sparkContext.broadcast((net.get(), net.hidden, words))
 
@@ -290,11 +339,8 @@ def train_pass(texts: DataFrame, words: list[bytes], net: Network, lanes: int, w
             docs = [np.array([place.get(w, 0) for w in tokens(text)], np.int64) for _, _, text in pool]
             ids, owner, fresh = lanes_of(docs, lanes)
             h = np.zeros((ids.shape[1], hidden), np.float32)
-            for turn, t in enumerate(range(0, len(ids), window)):
+            for t in range(0, len(ids), window):
                 part = slice(t, t + window)
-                if turn % stride:
-                    h = mine.states(ids[part], fresh[part], h)[1]
-                    continue
                 use = owner[part] >= 0
                 g, h = mine.gradients(ids[part], fresh[part], h, use)
                 steps.apply(g)
@@ -324,7 +370,7 @@ def train_pass(texts: DataFrame, words: list[bytes], net: Network, lanes: int, w
 
 
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", hidden: int = 16,
-                    vocabulary: int = VOCABULARY, words: int = FREQUENT, lanes: int = 128, window: int = 16, stride: int = 16,
+                    vocabulary: int = VOCABULARY, words: int = FREQUENT, lanes: int = 128, window: int = 16,
                     passes: int = 4, rate: float = 0.1) -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
 
@@ -356,7 +402,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     net = Network([outside, *[c for _, c in inside]], hidden)
     part = F.pmod(F.xxhash64(F.lit("pass"), "id"), F.lit(passes))
     for k in range(passes if total else 0):
-        net = train_pass(learn.filter(part == k).select("text"), names, net, lanes, window, stride, rate / (1 + k))
+        net = train_pass(learn.filter(part == k).select("text"), names, net, lanes, window, rate / (1 + k))
     sent = spark.sparkContext.broadcast((net.get(), hidden, known, len(names)))
 
     def score(batches):
