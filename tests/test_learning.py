@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerweave.operators import evaluation as ev
-from tickerweave.operators import explain, selection, training
+from tickerweave.operators import explain, selection, technical, training
+from tickerweave.plans import learning
 
 FEATS = ["a", "b", "c"]
 
@@ -74,3 +75,39 @@ def test_model_files(spark, split, tmp_path):
     a, b = (training.score(m, split).agg(F.sum("p")).first()[0] for m in (model, again))
     assert abs(a - b) < 1e-9
     assert training.importance(model, FEATS).count() == 3
+
+
+def test_registered_queries_run_the_whole_job(spark, monkeypatch):
+    class Called(Exception):
+        pass
+
+    def stop(*args, **kwargs):
+        raise Called(args[1:], kwargs)
+
+    def call(query):
+        with pytest.raises(Called) as e:
+            learning.QUERIES[query](spark, "")
+        return e.value.args
+
+    assert list(learning.FEATURES) == technical.TECHNICAL_FEATURES and len(learning.FEATURES) == 83
+    small = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0, 0, 0, 1, 0, 0, *[0.0] * 83)],
+                                  ["ticker", "date", "label", "rn", "min_train", "fold_size", "embargo", "test_fold", *learning.FEATURES])
+    monkeypatch.setattr(learning, "_split", lambda spark, sf: small)
+    monkeypatch.setattr(learning, "_matrix", lambda spark, sf: small)
+    monkeypatch.setattr(training, "fit", stop)
+    names = {
+        "m07_m11_logistic_walk_forward": "logistic_regression", "m08_random_forest_walk_forward": "random_forest",
+        "m09_boosted_walk_forward": "xgboost", "m10_lightgbm_walk_forward": "lightgbm", "m12_platt_scaling": "random_forest",
+        "m15_batch_scoring": "logistic_regression", "m16_shapley_attribution": "random_forest", "m17_local_surrogate": "random_forest",
+    }
+    for query, name in names.items():
+        args, kwargs = call(query)
+        assert args[0] == name and not any(args[1:]) and not kwargs, query
+    monkeypatch.setattr(training, "search", stop)
+    assert call("m13_parameter_search") == (("logistic_regression",), {})
+    monkeypatch.setattr(selection, "basic_select", stop)
+    assert call("m02_basic_selection") == ((learning.FEATURES,), {})
+    monkeypatch.setattr(training, "fit", lambda *args: None)
+    monkeypatch.setattr(explain, "shapley_attribution", stop)
+    args, kwargs = call("m16_shapley_attribution")
+    assert len(args) == 3 and not kwargs

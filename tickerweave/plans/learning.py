@@ -12,17 +12,13 @@ from tickerweave.plans.inputs import BARS, r, with_ctes
 from tickerweave.plans.technical import SQL, _BASE, _W
 from tickerweave.session import reuse
 
-# Price-only features keep the jobs light; flat candles do not empty them.
-FEATURES = [
-    "returns_1d", "returns_5d", "log_returns", "overnight_gap", "momentum_10d", "realized_vol_5d", "realized_vol_21d",
-    "close_vs_sma_5", "close_vs_sma_20", "rsi_14", "bb_width", "bb_pct", "pct_from_high_20", "pct_from_low_20",
-]
+FEATURES = technical.TECHNICAL_FEATURES
 
 
-def _matrix(spark, sf, features=FEATURES):
-    df = technical.technical_features(i.bars(spark, sf), features).select("ticker", "date", "close", *features)
-    df = technical.add_labels(df).withColumn("label", F.col("target_1d").cast("double"))
-    return df.select("ticker", "date", "label", *features).dropna("any")
+def _matrix(spark, sf):
+    """Complete rows of all features with the label of the next day."""
+    df = technical.feature_matrix(i.bars(spark, sf)).withColumn("label", F.col("target_1d").cast("double"))
+    return df.select("ticker", "date", "label", *FEATURES)
 
 
 def _split(spark, sf):
@@ -76,7 +72,7 @@ def _stable(spark, sf):
 
 
 def _basic(spark, sf):
-    names = selection.basic_select(_matrix(spark, sf), FEATURES, top_n=10)
+    names = selection.basic_select(_matrix(spark, sf), FEATURES)
     return spark.createDataFrame([(k + 1, n) for k, n in enumerate(names)], "position int, feature string")
 
 
@@ -105,9 +101,9 @@ SELECT feature, k AS folds_selected, {r('m')} AS mean_mi, dropped_at, CAST(k >=
   CASE WHEN k = n THEN 'all' WHEN k >= least(3, n) THEN 'most' WHEN k = 1 THEN 'once' ELSE 'mixed' END AS consistency FROM a, n"""
 
 
-def _walk(name, params):
+def _walk(name):
     def run(spark, sf):
-        m = ev.metrics(training.walk_forward_scores(_split(spark, sf), name, params), ["fold"])
+        m = ev.metrics(training.walk_forward_scores(_split(spark, sf), name), ["fold"])
         return m.select("fold", "n", "accuracy", "f1", "roc_auc", "mae", "rmse")
 
     return run
@@ -115,13 +111,13 @@ def _walk(name, params):
 
 def _calibrated(spark, sf):
     split = _split(spark, sf)
-    model = training.Calibrated.fit(split, "random_forest", {"n_estimators": 10, "max_depth": 4})
+    model = training.Calibrated.fit(split, "random_forest")
     s = model.score(split).select(F.lit("random_forest").alias("model"), F.col("label").alias("y"), "p")
     return ev.metrics(s, ["model"])
 
 
 def _search(spark, sf):
-    _, done = training.search(_split(spark, sf), "logistic_regression", trials=3)
+    _, done = training.search(_split(spark, sf), "logistic_regression")
     return spark.createDataFrame([(k, float(p["C"]), round(a, 4)) for k, (p, a) in enumerate(done)], "trial int, c double, mean_auc double")
 
 
@@ -181,16 +177,16 @@ def _attr_ctes():
 def _shapley(spark, sf):
     split = _split(spark, sf)
     feats = FEATURES
-    model = training.fit(split, "random_forest", {"n_estimators": 10, "max_depth": 4})
+    model = training.fit(split, "random_forest")
     means = split.agg(*[F.avg(c).alias(c) for c in feats])
     rows = technical.latest_row(split.select("ticker", "date", *feats))
-    a = explain.shapley_attribution(model, rows, feats, means, 4)
+    a = explain.shapley_attribution(model, rows, feats, means)
     return a.select("ticker", "feature", rnd("attribution").alias("attribution"), rnd("base_value").alias("base_value"))
 
 
 def _surrogate(spark, sf):
     split = _split(spark, sf)
-    model = training.fit(split, "random_forest", {"n_estimators": 10, "max_depth": 4})
+    model = training.fit(split, "random_forest")
     spread = split.agg(*[F.stddev_samp(c).alias(c) for c in FEATURES])
     rows = technical.latest_row(split.select("ticker", "date", *FEATURES))
     s = explain.local_surrogate(model, rows, FEATURES, spread)
@@ -204,9 +200,10 @@ QUERIES = {
     "m05_binned_information": _mi,
     "m06_stability_selection": _stable,
     "a28_p13_selection_audit": _audit,
-    "m07_m11_logistic_walk_forward": _walk("logistic_regression", None),
-    "m08_random_forest_walk_forward": _walk("random_forest", {"n_estimators": 20, "max_depth": 5}),
-    "m09_boosted_walk_forward": _walk("xgboost", {"n_estimators": 5, "max_depth": 3}),
+    "m07_m11_logistic_walk_forward": _walk("logistic_regression"),
+    "m08_random_forest_walk_forward": _walk("random_forest"),
+    "m09_boosted_walk_forward": _walk("xgboost"),
+    "m10_lightgbm_walk_forward": _walk("lightgbm"),
     "m12_platt_scaling": _calibrated,
     "m13_parameter_search": _search,
     "m15_batch_scoring": _batch,
