@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerweave.llm import byte_bpe, decontaminate, labelled, language_model, line_dedup, near_dup, quality, token_counts, toxicity, vector_dup, warc
+from tickerweave.llm import (byte_bpe, centroids, decontaminate, filter_audit, labelled, language_model, line_dedup, near_dup, quality,
+                             token_counts, toxicity, vector_dup, warc)
 
 QUERIES = {}
 ORACLES = {}
@@ -195,3 +196,76 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs)
+
+
+def _op11_sql(k: int, rounds: int, salt: int) -> str:
+    """One nearest-centroid step per round; distances are sums of whole numbers below 2^53, hence exact as doubles."""
+    steps = [f"""v AS MATERIALIZED (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{salt}:' || vec_id)) - 1 AS c, x FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('{salt}:' || vec_id)) <= {k}
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(v.x) AS x, min(CAST(list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, q.x)
+    + list_inner_product(q.x, q.x) AS BIGINT) * 64 + c) AS best FROM v, c{r} q GROUP BY vec_id
+)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT c, list(m ORDER BY i) AS x FROM (
+    SELECT best % 64 AS c, i, floor(sum(e) / count(*)) AS m FROM (SELECT best, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY ALL
+  ) GROUP BY c
+), c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m{r}.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} ON o.c = m{r}.c)""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT vec_id, CAST(best % 64 AS INTEGER) AS cluster, best // 64 AS distance,
+       CAST(sum(best // 64) OVER (PARTITION BY best % 64) AS BIGINT) AS cluster_inertia, CAST(sum(best // 64) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(q.x, lambda e: CAST(e AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} q ON best % 64 = q.c
+"""
+
+
+@query("op11_centroid_clustering", _op11_sql(40, 5, 2))
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, salt="2")
+
+
+_OP13_SQL = r"""
+WITH w AS (
+  SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), f AS (
+  SELECT part, doc_id, CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+    + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INTEGER)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(doc_id > first, false) AS INTEGER) AS fails FROM w
+), g AS (
+  SELECT part, fails, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL
+), p AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM range(5) a(i), range(5) b(i), range(5) c(i), range(5) d(i), range(5) e(i)
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (
+  SELECT list_reduce(list_transform(p, lambda i: chr(CAST(65 + i AS INTEGER))), lambda x, y: x || y) AS filter_order, step, 1 << p[step] AS bit,
+         list_sum(list_transform(p[:step], lambda i: 1 << i)) - (1 << p[step]) AS before
+  FROM (SELECT p, unnest(range(1, 6)) AS step FROM p)
+), r AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN fails & CAST(before + bit AS BIGINT) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN fails & CAST(before AS BIGINT) = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails & CAST(before AS BIGINT) > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN fails & CAST(before AS BIGINT) = 0 AND fails & bit > 0 AND good THEN n ELSE 0 END) AS good_lost,
+         sum(CASE WHEN fails & CAST(before AS BIGINT) = 0 AND fails & bit > 0 AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@query("op13_filter_audit", _OP13_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
