@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerweave.llm import (byte_bpe, centroids, decontaminate, filter_audit, labelled, language_model, line_dedup, near_dup, quality,
-                             token_counts, toxicity, vector_dup, warc)
+from tickerweave.llm import (byte_bpe, centroids, decontaminate, filter_audit, labelled, language_model, line_dedup, near_dup, perplexity,
+                             quality, token_counts, toxicity, vector_dup, warc)
 
 QUERIES = {}
 ORACLES = {}
@@ -231,6 +231,13 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, salt="2")
 
 
+@query("op12_quality_rules")
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), low=10.0, high=5.0)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity",
+                      "lower", "upper")
+
+
 _OP13_SQL = r"""
 WITH w AS (
   SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
