@@ -1,8 +1,8 @@
 """Feature selection on aggregates: variance, correlation pruning, binned mutual information, fold stability.
 
 The data is only ever aggregated: one pass for means, one for the Gram vectors
-of every fold, one for the bin edges and one for the contingency counts. What
-reaches the driver is a feature-by-feature matrix per fold.
+of every fold and one ordering of the values for the contingency counts of all
+folds. What reaches the driver is a feature-by-feature matrix per fold.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerweave.functions.core import div
-from tickerweave.functions.cumulative import SALTS
+from tickerweave.functions.cumulative import running_totals
 from tickerweave.operators.portfolio import _pairs
 from tickerweave.session import reuse
 
@@ -73,29 +72,38 @@ def fold_statistics(df: DataFrame, features: list[str], label: str = "label", fo
     return out
 
 
-def _bin(c: str) -> Column:
-    """Number of the feature's cut points below its value."""
-    return F.size(F.filter(f"__e_{c}", lambda e: e < F.col(c)))
+def mutual_information(df: DataFrame, features: list[str], label: str, first: Column | None = None, folds: int = 1, bins: int = 10) -> DataFrame:
+    """(fold, feature, mi): mutual information in nats of each feature, cut at its exact deciles, with a 0/1 label.
 
+    `first` is the first fold whose training rows hold the row (training sets grow, so later folds hold it too); rows
+    without one, or without a label, take no part. Missing values count as 0.
 
-def mutual_information(df: DataFrame, features: list[str], label: str, group: list[str] = (), bins: int = 10, accuracy: int = 1_000_000) -> DataFrame:
-    """(group, feature, mi): mutual information in nats of each feature, cut at its deciles, with the label."""
-    cuts = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    x = df.select(*group, F.col(label).alias("__y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    edges = x.groupBy(*group).agg(*[F.percentile_approx(c, cuts, F.lit(accuracy)).alias(f"__e_{c}") for c in features])
-    # One row of cut points per group, repeated under SALTS keys so that no task gets all rows of a group.
-    x = x.withColumn("__k", F.pmod(F.xxhash64("__y", *features), F.lit(SALTS)).cast("int"))
-    x = x.join(edges.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*group, "__k"])
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), _bin(c).alias("bin")) for c in features])
-    long = x.select(*group, "__y", F.explode(pairs).alias("p")).select(*group, "__y", "p.feature", "p.bin")
-    cells = long.groupBy(*group, "feature", "bin", "__y").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    keys = [*group, "feature"]
-    tot = cells.groupBy(*keys).agg(F.sum("n").alias("t"))
-    by_bin = cells.groupBy(*keys, "bin").agg(F.sum("n").alias("nb"))
-    by_y = cells.groupBy(*keys, "__y").agg(F.sum("n").alias("ny"))
-    c = cells.join(by_bin, [*keys, "bin"]).join(by_y, [*keys, "__y"]).join(tot, keys)
-    term = F.col("n") / F.col("t") * F.ln(div(F.col("n") * F.col("t"), F.col("nb") * F.col("ny")))
-    return c.groupBy(*keys).agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
+    The plan does not grow with the features: rows become (feature number, value), equal values merge before the shuffle
+    and carry one count per fold, and one pass of running totals orders the values for all folds together. The decile
+    of a value is ten times the rows below it over all rows, so that no cut has to be looked up.
+    """
+    first = F.lit(0) if first is None else first
+    x = df.select(first.cast("int").alias("s"), F.col(label).cast("int").alias("y"),
+                  F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("v"))
+    x = x.filter(F.col("s").between(0, folds - 1) & F.col("y").isNotNull())
+    sizes = {r["s"]: r for r in x.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("p")).collect()}
+    upto = lambda f, c: sum(r[c] for s, r in sizes.items() if s <= f)
+    held = lambda f, more=F.lit(True): F.count_if((F.col("s") <= f) & more)
+    values = x.select("s", "y", F.posexplode("v").alias("f", "x")).groupBy("f", "x").agg(
+        *[held(f).alias(f"n{f}") for f in range(folds)], *[held(f, F.col("y") == 1).alias(f"p{f}") for f in range(folds)])
+    values = running_totals(values, ["f"], "x", {f"b{f}": F.col(f"n{f}") for f in range(folds)})
+    parts = F.array(*[
+        F.struct(F.lit(f).alias("fold"), F.col(f"n{f}").alias("n"), F.col(f"p{f}").alias("p"),
+                 F.least(F.lit(bins - 1), F.floor(F.col(f"b{f}") * bins / F.lit(max(upto(f, "n"), 1)))).cast("int").alias("bin"),
+                 F.lit(upto(f, "n")).cast("double").alias("rows"), F.lit(upto(f, "p")).cast("double").alias("ones"))
+        for f in range(folds)
+    ])
+    cells = values.select("f", F.inline(parts)).filter("n > 0").groupBy("fold", "f", "bin", "rows", "ones").agg(
+        F.sum("n").alias("n"), F.sum("p").alias("p"))
+    term = lambda k, all_k: F.when(k > 0, k / F.col("rows") * F.ln(k * F.col("rows") / (F.col("n") * all_k))).otherwise(0.0)
+    both = term(F.col("p"), F.col("ones")) + term(F.col("n") - F.col("p"), F.col("rows") - F.col("ones"))
+    name = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("f") + 1)
+    return cells.groupBy("fold", name.alias("feature")).agg(F.greatest(F.sum(both), F.lit(0.0)).alias("mi"))
 
 
 def prune_correlated(features: list[str], corr: np.ndarray, target: np.ndarray, limit: float = MAX_CORRELATION) -> list[str]:
@@ -160,10 +168,8 @@ def stability_select(split: DataFrame, features: list[str], label: str = "label"
     for f in range(1, folds):
         first = first.when(F.col("rn") < F.col("min_train") + f * F.col("fold_size"), f)
     stats = fold_statistics(split, features, label, first, folds)
-    x = split.select(first.alias("__first"), label, *features).filter("__first IS NOT NULL")
-    x = x.withColumn("fold", F.explode(F.sequence(F.col("__first"), F.lit(folds - 1))))
     mi: dict[int, dict[str, float]] = {}
-    for r in mutual_information(x, features, label, ["fold"]).collect():
+    for r in mutual_information(split, features, label, first, folds).collect():
         mi.setdefault(r["fold"], {})[r["feature"]] = r["mi"]
     rows = []
     for f, s in stats.items():

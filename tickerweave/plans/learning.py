@@ -65,7 +65,10 @@ def _corr_sql():
 
 def _stable(spark, sf):
     stable, audit = selection.stability_select(ev.walk_forward(_matrix(spark, sf)), FEATURES)
-    a = selection.selection_audit(audit)
+    return _positions(selection.selection_audit(audit), stable)
+
+
+def _positions(a, stable):
     order = F.array_position(F.array(*[F.lit(c) for c in stable]) if stable else F.array(F.lit("")), F.col("feature"))
     return a.withColumn("position", order.cast("int")).select("feature", "folds_selected", rnd("mean_mi").alias("mean_mi"), "dropped_at",
                                                              F.col("kept").cast("int").alias("kept"), "consistency", "position")
@@ -76,6 +79,90 @@ def _basic(spark, sf):
     return spark.createDataFrame([(k + 1, n) for k, n in enumerate(names)], "position int, feature string")
 
 
+# Line items as rows of a matrix: line status for the ticker, order and line number for the date, eight numeric features, two
+# of them nearly copies of the price and one nearly constant.
+_LINES = {
+    "quantity": "CAST(l_quantity AS DOUBLE)", "price": "CAST(l_extendedprice AS DOUBLE)", "discount": "CAST(l_discount AS DOUBLE)",
+    "tax": "CAST(l_tax AS DOUBLE)", "unit": "CAST(l_extendedprice / l_quantity AS DOUBLE)",
+    "charge": "CAST(l_extendedprice * (1 - l_discount) AS DOUBLE)", "total": "CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DOUBLE)",
+    "flat": "CAST(l_linenumber * 1e-6 AS DOUBLE)",
+}
+_LINE_KEYS = "l_linestatus AS ticker, l_orderkey * 8 + l_linenumber AS date, CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS DOUBLE) AS label"
+
+
+def _lines(spark, sf):
+    return i.read(spark, sf, "lineitem").selectExpr(*_LINE_KEYS.split(", "), *[f"{e} AS {c}" for c, e in _LINES.items()])
+
+
+def _stable_lines(spark, sf):
+    stable, audit = selection.stability_select(ev.walk_forward(_lines(spark, sf)), list(_LINES))
+    return _positions(selection.selection_audit(audit), stable)
+
+
+def _basic_lines(spark, sf):
+    names = selection.basic_select(_lines(spark, sf), list(_LINES), top_n=3)
+    return spark.createDataFrame([(k + 1, n) for k, n in enumerate(names)], "position int, feature string")
+
+
+def _line_ctes(folds):
+    """Per fold (nested training rows): variances, correlations and information of the eight features, in long form."""
+    names = list(_LINES)
+    values = ", ".join(f"{e} AS {c}" for c, e in _LINES.items())
+    first = "CASE " + " ".join(f"WHEN rn < mt + {f} * fs THEN {f}" for f in range(folds)) + " END" if folds > 1 else "0"
+    stats = " UNION ALL ".join(
+        f"SELECT fold, {k} AS i, '{c}' AS feature, var_samp({c}) AS v, var_pop({c}) AS vp, abs(coalesce(corr({c}, label), 0)) AS t FROM s GROUP BY fold"
+        for k, c in enumerate(names))
+    pairs = " UNION ALL ".join(
+        f"SELECT fold, {a} AS i, {b} AS j, abs(coalesce(corr({names[a]}, {names[b]}), 0)) AS c FROM s GROUP BY fold"
+        for b in range(len(names)) for a in range(b))
+    long = " UNION ALL ".join(f"SELECT fold, {k} AS i, {c} AS x, label AS y FROM s" for k, c in enumerate(names))
+    return (
+        f"b AS (SELECT {_LINE_KEYS}, {values} FROM lineitem)",
+        "w AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS rn, count(*) OVER (PARTITION BY ticker) AS n FROM b)",
+        f"z AS (SELECT *, CAST(floor(n * 0.4::DOUBLE) AS INTEGER) AS mt, greatest(1, CAST(floor((n - floor(n * 0.4::DOUBLE)) / {max(folds, 1)}) AS INTEGER)) AS fs FROM w)",
+        f"z1 AS (SELECT *, {first} AS first FROM z)",
+        f"s AS MATERIALIZED (SELECT * FROM z1, range({folds}) f(fold) WHERE first <= fold)",
+        f"st AS MATERIALIZED ({stats})", f"pr AS MATERIALIZED ({pairs})", f"lg AS ({long})",
+        "rk AS (SELECT *, rank() OVER (PARTITION BY fold, i ORDER BY x) - 1 AS below, count(*) OVER (PARTITION BY fold, i) AS rows FROM lg)",
+        "ce AS (SELECT fold, i, least(9, 10 * below // rows) AS bin, y, count(*)::DOUBLE AS n FROM rk GROUP BY ALL)",
+        """ct AS (SELECT *, sum(n) OVER (PARTITION BY fold, i) AS t, sum(n) OVER (PARTITION BY fold, i, bin) AS nb,
+          sum(n) OVER (PARTITION BY fold, i, y) AS ny FROM ce)""",
+        "mi AS MATERIALIZED (SELECT fold, i, greatest(sum(n / t * ln(n * t / (nb * ny))), 0) AS mi FROM ct GROUP BY ALL)",
+    )
+
+
+_STABLE_LINES_SQL = "WITH RECURSIVE " + ",\n".join([
+    *_line_ctes(5),
+    "fl AS (SELECT fold, greatest(quantile_cont(v, 0.05), 1e-9) AS floor FROM st GROUP BY fold)",
+    "kp AS (SELECT st.* FROM st JOIN fl USING (fold) WHERE v >= floor)",
+    """sq AS MATERIALIZED (SELECT pr.*, a.t AS ti, b.t AS tj, row_number() OVER (PARTITION BY pr.fold ORDER BY pr.j, pr.i) AS k
+      FROM pr JOIN kp a ON a.fold = pr.fold AND a.i = pr.i JOIN kp b ON b.fold = pr.fold AND b.i = pr.j)""",
+    """wk AS (SELECT DISTINCT fold, 0::BIGINT AS k, []::BIGINT[] AS gone FROM kp UNION ALL
+      SELECT w.fold, q.k, CASE WHEN list_contains(gone, q.i) OR list_contains(gone, q.j) OR q.c <= 0.95 THEN gone
+        WHEN q.tj >= q.ti THEN list_append(gone, q.i) ELSE list_append(gone, q.j) END FROM wk w JOIN sq q ON q.fold = w.fold AND q.k = w.k + 1)""",
+    "gn AS (SELECT fold, arg_max(gone, k) AS gone FROM wk GROUP BY fold)",
+    """lf AS (SELECT st.fold, st.i, st.feature, kp.i IS NOT NULL AS kept, list_contains(gone, st.i) AS corr, mi.mi
+      FROM st LEFT JOIN kp ON kp.fold = st.fold AND kp.i = st.i JOIN gn ON gn.fold = st.fold JOIN mi ON mi.fold = st.fold AND mi.i = st.i)""",
+    """sg AS (SELECT *, CASE WHEN NOT kept THEN 'low_variance' WHEN corr THEN 'correlated'
+        WHEN mi < 0.05 * max(mi) FILTER (kept AND NOT corr) OVER (PARTITION BY fold) THEN 'low_mi' ELSE 'selected' END AS stage,
+        CASE WHEN kept AND NOT corr THEN mi ELSE 0 END AS m FROM lf)""",
+    """ag AS (SELECT i, feature, count(*) FILTER (stage = 'selected') AS k, avg(m) AS mean_mi,
+        coalesce(string_agg(DISTINCT stage, ',' ORDER BY stage) FILTER (stage <> 'selected'), '') AS dropped_at FROM sg GROUP BY ALL)""",
+    "ps AS (SELECT feature, row_number() OVER (ORDER BY mean_mi DESC, i) AS position FROM ag WHERE k >= 3)",
+]) + f"""
+SELECT feature, k AS folds_selected, {r('mean_mi')} AS mean_mi, dropped_at, CAST(k >= 3 AS INTEGER) AS kept,
+  CASE WHEN k = 5 THEN 'all' WHEN k >= 3 THEN 'most' WHEN k = 1 THEN 'once' ELSE 'mixed' END AS consistency,
+  CAST(coalesce(position, 0) AS INTEGER) AS position FROM ag LEFT JOIN ps USING (feature)"""
+
+_BASIC_LINES_SQL = "WITH " + ",\n".join([
+    *_line_ctes(1),
+    "kp AS (SELECT * FROM st WHERE vp > 1e-5)",
+    """lt AS (SELECT DISTINCT pr.j AS i FROM pr JOIN kp a ON a.i = pr.i JOIN kp b ON b.i = pr.j WHERE pr.c > 0.95)""",
+    "nm AS (SELECT kp.feature, mi.mi FROM kp JOIN mi USING (i) WHERE i NOT IN (SELECT i FROM lt))",
+]) + """
+SELECT CAST(row_number() OVER (ORDER BY mi DESC, feature) AS INTEGER) AS position, feature FROM nm QUALIFY position <= 3"""
+
+
 def _fold_picks(spark, sf):
     """Line items as picks: fold = line number, feature = brand, stage by mean discount and quantity."""
     li = i.read(spark, sf, "lineitem").select("l_partkey", "l_linenumber", "l_discount", "l_quantity")
@@ -199,6 +286,8 @@ QUERIES = {
     "m03_m04_gram_statistics": _corr_matrix,
     "m05_binned_information": _mi,
     "m06_stability_selection": _stable,
+    "m02_basic_selection_lines": _basic_lines,
+    "m06_stability_selection_lines": _stable_lines,
     "a28_p13_selection_audit": _audit,
     "m07_m11_logistic_walk_forward": _walk("logistic_regression"),
     "m08_random_forest_walk_forward": _walk("random_forest"),
@@ -216,6 +305,8 @@ ORACLES = {
     "p02_p03_p05_columns": _COLUMNS_SQL,
     "m03_m04_gram_statistics": _corr_sql(),
     "m05_binned_information": _mi_sql(),
+    "m02_basic_selection_lines": _BASIC_LINES_SQL,
+    "m06_stability_selection_lines": _STABLE_LINES_SQL,
     "a28_p13_selection_audit": _AUDIT_SQL,
     "m16_k04_linear_attribution": with_ctes(
         *_attr_ctes(),
