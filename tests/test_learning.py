@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickerweave.operators import boosting, explain, linear, selection, technical, training
 from tickerweave.operators import evaluation as ev
-from tickerweave.operators import explain, selection, technical, training
+from tickerweave.operators.blocks import add_up, to_blocks
 from tickerweave.plans import learning
 
 FEATS = ["a", "b", "c"]
@@ -77,6 +78,153 @@ def test_model_files(spark, split, tmp_path):
     assert training.importance(model, FEATS).count() == 3
 
 
+# --- boosted trees ----------------------------------------------------------------------------
+
+
+def _plain_boost(x, y, rows, edges, flavour, params, seed, bins, keys, sets=0):
+    """One fit by loops over nodes, features and cuts; returns margins of all rows and the trees' numbers of leaves."""
+    fl = boosting.FLAVOURS[flavour]
+    b = np.stack([[sum(e < v for e in edges[f]) for v in x[:, f]] for f in range(x.shape[1])], axis=1)
+    share = y[rows].mean()
+    m, leaves = np.full(len(y), np.log(share / (1 - share))), []
+    value = lambda g, h: g * g / max(h + fl.l2, 1e-12)
+    for turn in range(params["n_estimators"]):
+        rng = np.random.default_rng((seed, sets, turn))
+        cols = sorted(rng.choice(x.shape[1], max(1, round(params["colsample_bytree"] * x.shape[1])), replace=False))
+        use = rows.copy()
+        if fl.sampled and params["subsample"] < 1:
+            use &= boosting.chosen(keys, seed * 1_000_003 + turn, params["subsample"])
+        p = 1 / (1 + np.exp(-m))
+        g, h = p - y, p * (1 - p)
+
+        def best(at):
+            top = (0.0, None)
+            for f in cols:
+                for c in range(bins - 1):
+                    l = at & (b[:, f] <= c)
+                    r = at & ~l
+                    lu, ru = l & use, r & use
+                    if min(lu.sum(), ru.sum()) < max(fl.least_rows, 1) or min(h[lu].sum(), h[ru].sum()) < fl.least_curvature:
+                        continue
+                    u = lu | ru
+                    gain = value(g[lu].sum(), h[lu].sum()) + value(g[ru].sum(), h[ru].sum()) - value(g[u].sum(), h[u].sum())
+                    if gain > top[0] + 1e-9:
+                        top = (gain, (l, r))
+            return top
+
+        nodes = [(np.ones(len(y), bool), 0)]
+        while True:
+            options = [(best(at), k) for k, (at, d) in enumerate(nodes) if fl.leafwise or d < params["max_depth"]]
+            options = [(o, k) for o, k in options if o[0] > 1e-12]
+            if not options or (fl.leafwise and len(nodes) >= params["num_leaves"]):
+                break
+            (_, (l, r)), k = max(options, key=lambda t: t[0][0]) if fl.leafwise else options[0]
+            d = nodes[k][1]
+            nodes[k:k + 1] = [(l, d + 1), (r, d + 1)]
+        leaves.append(len(nodes))
+        for at, _ in nodes:
+            u = at & use
+            m[at] -= params["learning_rate"] * g[u].sum() / max(h[u].sum() + fl.l2, 1e-12)
+    return m, leaves
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 4))
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(300) < 0.15)).astype(float)
+    rows = [("A", dt.date(2024, 1, 1) + dt.timedelta(k), *map(float, x[k]), float(y[k])) for k in range(300)]
+    df = spark.createDataFrame(rows, "ticker string, date date, a double, b double, c double, d double, label double")
+    return training.assemble(ev.walk_forward(df), ["a", "b", "c", "d"]).cache()
+
+
+@pytest.mark.parametrize("flavour,params", [
+    ("xgboost", {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3, "subsample": 0.8, "colsample_bytree": 0.75}),
+    ("lightgbm", {"n_estimators": 3, "num_leaves": 7, "learning_rate": 0.3, "subsample": 0.8, "colsample_bytree": 1.0}),
+])
+def test_boosting_equals_loops_over_nodes_and_cuts(noisy, monkeypatch, flavour, params):
+    from tickerweave.operators import blocks
+
+    monkeypatch.setattr(boosting, "CUT", 2)
+    monkeypatch.setattr(blocks, "LEAST_WORK", 200)
+    sets = [ev.is_train(f) for f in range(2)]
+    fits = [boosting.Fit(f, flavour, params) for f in range(2)]
+    data = to_blocks(noisy, sets, 2)
+    edges = boosting.quantile_edges(noisy, 8)
+    models, state = boosting.boost(data, fits, edges, 8)
+    parts = state.collect()
+    assert len(parts) > 1
+    cat = lambda k: np.concatenate([p[0][k] for p in parts])
+    margin = np.concatenate([p[1] for p in parts])
+    raw = {int(b["key"][i]): b["x"][i] for b in data.collect() for i in range(len(b["y"]))}
+    x = np.array([raw[int(k)] for k in cat("key")])
+    for f in range(2):
+        want, leaves = _plain_boost(x, cat("y"), cat("sets")[:, f], edges, flavour, params, 42, 8, cat("key"), f)
+        assert margin[:, f] == pytest.approx(want, abs=1e-9)
+        assert [int((t["feature"] < 0).sum()) for t in models[f].trees] == leaves
+        assert models[f].margin(x) == pytest.approx(want, abs=1e-9)
+
+
+def test_boosting_finds_an_interaction_and_bounds_its_leaves(noisy, tmp_path):
+    p = {"n_estimators": 20, "learning_rate": 0.2, "num_leaves": 6, "max_depth": 3}
+    for name in ("xgboost", "lightgbm"):
+        m = ev.metrics(training.walk_forward_scores(noisy, name, p, folds=3), ["fold"]).collect()
+        assert len(m) == 3 and np.mean([r.roc_auc for r in m]) > 0.7
+        model = training.fit(noisy, name, p)
+        assert max(int((t["feature"] < 0).sum()) for t in model.trees) <= (6 if name == "lightgbm" else 8)
+        top = training.importance(model, ["a", "b", "c", "d"]).orderBy(F.desc("importance")).limit(2).collect()
+        assert {r.feature for r in top} == {"a", "b"}
+        model.save(str(tmp_path / name))
+        again = boosting.Boosted.load(str(tmp_path / name))
+        x = np.random.default_rng(1).normal(size=(50, 4))
+        assert (again.margin(x) == model.margin(x)).all()
+
+
+def test_search_over_the_models_equals_single_fits(noisy):
+    best, done = training.search(noisy, "logistic_regression", trials=6, folds=2)
+    assert len(done) == 6 and best in [d[0] for d in done]
+    for params, found in done[:3]:
+        alone = ev.metrics(training.walk_forward_scores(noisy, "logistic_regression", params, 2), ["fold"]).agg(F.avg("roc_auc")).first()[0]
+        assert found == pytest.approx(alone, abs=1e-9)
+    small = {"n_estimators": 4, "max_depth": 2, "num_leaves": 4}
+    for name in ("xgboost", "lightgbm"):
+        best, done = training.search(noisy, name, trials=4, folds=2, fixed=small, rungs=(2,))
+        assert len(done) == 4
+        alone = ev.metrics(training.walk_forward_scores(noisy, name, best, 2), ["fold"]).agg(F.avg("roc_auc")).first()[0]
+        assert [a for p, a in done if p == best] == [pytest.approx(alone, abs=1e-9)]
+
+
+def test_linear_fits_stand_at_their_optimum(split):
+    sets = [F.lit(True), ev.is_train(1), F.col("label") == 1]
+    data = to_blocks(split, sets, 4)
+    models = linear.fit_many(data, [(0, 1.0), (0, 0.01), (1, 5.0), (2, 1.0)], 3)
+    rows = data.collect()
+    x, y, s = (np.concatenate([b[k] for b in rows]) for k in ("x", "y", "sets"))
+    for m, (k, c) in zip(models, [(0, 1.0), (0, 0.01), (1, 5.0)]):
+        u = s[:, k]
+        z = (x[u] - x[u].mean(0)) / x[u].std(0)
+        w = c * np.where(y[u] == 1, u.sum() / (2 * y[u].sum()), u.sum() / (2 * (1 - y[u]).sum()))
+        r = w * (1 / (1 + np.exp(-(z @ m.coefficients + m.intercept))) - y[u])
+        assert np.abs(z.T @ r + m.coefficients).max() < 1e-6 and abs(r.sum()) < 1e-6
+    assert models[3].probability(x[:3]) == pytest.approx([1 - 1e-6] * 3)
+
+
+def test_links_equal_a_plain_newton_fit(spark):
+    rng = np.random.default_rng(4)
+    rows = [(m, float(f), float(rng.random() < 1 / (1 + np.exp(-(3 * f - 1 - m))))) for m in range(3) for f in rng.random(80)]
+    rows += [(7, 0.2, 0.0), (7, 0.9, 1.0)]  # separable: only the smoothed targets keep the link finite
+    got = training.platt(spark.createDataFrame(rows, "member int, f double, y double"))
+    for m in (0, 1, 2, 7):
+        f, y = np.array([r[1] for r in rows if r[0] == m]), np.array([r[2] for r in rows if r[0] == m])
+        t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        a = np.stack([f, np.ones_like(f)], axis=1)
+        theta = np.zeros(2)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-a @ theta))
+            theta -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]), a.T @ (p - t))
+        assert got[m] == pytest.approx(tuple(theta), abs=1e-8)
+
+
 def test_registered_queries_run_the_whole_job(spark, monkeypatch):
     class Called(Exception):
         pass
@@ -96,13 +244,16 @@ def test_registered_queries_run_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(learning, "_matrix", lambda spark, sf: small)
     monkeypatch.setattr(training, "fit", stop)
     names = {
-        "m07_m11_logistic_walk_forward": "logistic_regression", "m08_random_forest_walk_forward": "random_forest",
-        "m09_boosted_walk_forward": "xgboost", "m10_lightgbm_walk_forward": "lightgbm", "m12_platt_scaling": "random_forest",
+        "m08_random_forest_walk_forward": "random_forest", "m12_platt_scaling": "random_forest",
         "m15_batch_scoring": "logistic_regression", "m16_shapley_attribution": "random_forest", "m17_local_surrogate": "random_forest",
     }
     for query, name in names.items():
         args, kwargs = call(query)
         assert args[0] == name and not any(args[1:]) and not kwargs, query
+    monkeypatch.setattr(training, "walk_forward_trials", stop)
+    for query, name in {"m07_m11_logistic_walk_forward": "logistic_regression", "m09_boosted_walk_forward": "xgboost",
+                        "m10_lightgbm_walk_forward": "lightgbm"}.items():
+        assert call(query) == ((name, [{}], 5), {})
     monkeypatch.setattr(training, "search", stop)
     assert call("m13_parameter_search") == (("logistic_regression",), {})
     monkeypatch.setattr(selection, "basic_select", stop)
