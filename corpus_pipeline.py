@@ -47,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the bytes that they decode to."""
-    out = byte_bpe.encode_texts(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    out = byte_bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), keep_text=False)
     joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                       F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),

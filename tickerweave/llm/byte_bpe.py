@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -23,10 +24,12 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 FREQUENT = 1_000_000
 #: Tasks that encode them.
 WAYS = 96
-#: Characters of text in a batch.
-BATCH = 32 << 20
+#: Bytes of text in a batch.
+BATCH = 2 << 20
 #: Distinct words a counting task holds before it passes them on.
-FLUSH = 400_000
+FLUSH = 250_000
+#: Seeds of the two hashes that a word is known by.
+_SEEDS = (42, xxhash.xxh64_intdigest(b"word", seed=42))
 
 
 def as_bytes(text: Column) -> Column:
@@ -74,8 +77,8 @@ class Codec:
         return _let(self.ranks[0], lambda maps: F.transform(words, lambda w: self._encode(as_bytes(w), maps)))
 
     def _encode(self, word: Column, maps: Column) -> Column:
-        """Starts from the bytes of a word and merges, one step of the fold at a time, the neighbours whose joint
-        piece has the lowest rank, the first of them at a tie."""
+        """A word of the vocabulary is its own piece. Any other starts from its bytes and merges, one step of the fold at a
+        time, the neighbours whose joint piece has the lowest rank, the first of them at a tie."""
         rank_of = lambda piece: _look((maps, self.ranks[1]), piece)
 
         def start(b):
@@ -105,7 +108,7 @@ class Codec:
             return F.when(low.isNull(), s).otherwise(_let(F.array_position(rank, low).cast("int"), at))
 
         folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.char_length(word), F.lit(2))), start(F.split(word, "")), merge)
-        return F.transform(folded["piece"], rank_of)
+        return _let(rank_of(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded["piece"], rank_of)))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of a sequence of ids: the binary pieces one after the other."""
@@ -156,109 +159,144 @@ def count_words(texts: DataFrame, text_col: str, pattern: str) -> DataFrame:
             runs.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = split.runs(text or "")
-                if found is None:
-                    words.update(split.find(text))
-                else:
-                    runs.update(found)
-                if len(runs) + len(words) >= FLUSH:
-                    settle()
-                    yield pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())})
-                    words.clear()
+            for a in range(0, batch.num_rows, 256):
+                for text in batch.column(0).slice(a, 256).to_pylist():
+                    found = split.runs(text or "")
+                    if found is None:
+                        words.update(split.find(text))
+                    else:
+                        runs.update(found)
+                    if len(runs) + len(words) >= FLUSH:
+                        settle()
+                        yield pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())})
+                        words.clear()
         settle()
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
     return texts.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def word_hashes(word) -> list[Column]:
+    """The two hashes of a word that Python's xxhash repeats."""
+    return [F.xxhash64(word), F.xxhash64(F.lit("word"), word)]
+
+
+class Ready:
+    """Ids of the frequent words, by their two hashes; what has to find words and what has to copy ids travel apart."""
+
+    def __init__(self, spark, table: pa.Table):
+        key, check = (table.column(k).to_numpy() for k in (0, 1))
+        order = np.argsort(key)
+        lists = pa.concat_arrays(table.column(2).chunks).take(pa.array(order)) if table.num_rows else pa.array([], pa.list_(pa.int32()))
+        lengths = pyarrow.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
+        self.keys = spark.sparkContext.broadcast((key[order], check[order]))
+        self.ids = spark.sparkContext.broadcast((lengths, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
+
+
+def _find(words: list[str], keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The place of each word among the frequent ones, -1 where it is none of them."""
+    if not len(keys):
+        return np.full(len(words), -1, np.int64)
+    raw = [w.encode() for w in words]
+    h1, h2 = (np.array([xxhash.xxh64_intdigest(w, seed=s) for w in raw], np.uint64).view(np.int64) for s in _SEEDS)
+    at = np.minimum(np.searchsorted(keys, h1), len(keys) - 1)
+    return np.where((keys[at] == h1) & (checks[at] == h2), at, -1)
+
+
 def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks_path: str = BYTE_BPE, pattern: str = PATTERN,
-                 frequent: int = FREQUENT) -> DataFrame:
+                 frequent: int = FREQUENT, keep_text: bool = True) -> DataFrame:
     """Rows of docs with ids_col, the ids of the whole text: every match of the pattern encoded by itself.
 
     Words are merged by Codec.encode_words, a fold of column expressions over a literal rank map, once for each distinct
     word: once for all for the `frequent` most frequent words, whose ids are broadcast, and once per batch of texts for
-    the others. A task cuts its texts into batches of bounded size, lists each batch's distinct words, has the expressions
-    encode them and puts the texts together again from word numbers. No row moves but for the word counts.
+    the others, which occur a few times at most. A task cuts its texts into batches of bounded size, lists each batch's
+    distinct words, has the expressions encode those that are not ready and puts the texts together again from word
+    numbers. No row moves but for the word counts.
 
     NULL and empty texts: no ids. Any other text decodes to itself. Repeated rows are encoded alike, an empty table stays
-    empty, and a column of docs named ids_col is replaced; all others pass through.
+    empty, and a column of docs named ids_col is replaced; all others pass through, the text only with keep_text.
     """
-    spark = docs.sparkSession
     codec = Codec(read_ranks(ranks_path))
     counts = write_once(count_words(docs, text_col, pattern), "bpe-words")
     some = frequent_rows(counts, "n", frequent).repartition(WAYS, "word")
-    ready = some.select("word", F.element_at(codec.encode_words(F.array("word")), 1).alias("ids")).toArrow()
-    lists = pa.concat_arrays(ready["ids"].chunks) if ready.num_rows else pa.array([], pa.list_(pa.int32()))
-    lengths = pyarrow.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = pa.concat_arrays(ready["word"].chunks).cast(pa.string()) if ready.num_rows else pa.array([], pa.string())
-    sent = spark.sparkContext.broadcast((words, lengths, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
-    del ready, lists
-    kept = [c for c in docs.columns if c != ids_col]
-    base = docs.select(*kept)
-    at = kept.index(text_col)
+    encoded = F.element_at(codec.encode_words(F.array("word")), 1)
+    ready = Ready(docs.sparkSession, some.select(*[h.alias(f"h{k}") for k, h in enumerate(word_hashes(F.col("word")))], encoded.alias("ids")).toArrow())
+    kept = [c for c in docs.columns if c != ids_col and (keep_text or c != text_col)]
+    base = docs.select(*kept, F.col(text_col).alias("_words_of"))
+    find, ids = ready.keys, ready.ids
 
     def cut_up(batches):
-        split, known = Splitter(pattern), {w: k for k, w in enumerate(sent.value[0].to_pylist())}
+        split = Splitter(pattern)
         for batch in batches:
-            sizes = np.cumsum([len(t or "") for t in batch.column(at).to_pylist()])
+            sizes = pyarrow.compute.binary_length(batch.column(len(kept))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends_at = np.cumsum(sizes)
             start = 0
             while start < len(sizes):
-                done = sizes[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(sizes, done + BATCH, side="right")))
+                done = ends_at[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends_at, done + BATCH, side="right")))
                 part = batch.slice(start, stop - start)
                 start = stop
-                # A word's number: its place among the frequent ones, or after them by first appearance in this batch.
-                rare: dict[str, int] = {}
+                local: dict[str, int] = {}
                 seen: dict[str, list[int]] = {}
-                number = lambda w: known[w] if w in known else rare.setdefault(w, len(known) + len(rare))
-                numbers, ends = [], []
-                for text in part.column(at).to_pylist():
+                number = lambda w: local.setdefault(w, len(local))
+                numbers, ends = array("i"), []
+                for text in part.column(len(kept)).to_pylist():
+                    before = len(numbers)
                     runs = split.runs(text or "")
-                    line: list[int] = []
                     if runs is None:
-                        line = [number(w) for w in split.find(text)]
+                        numbers.extend([number(w) for w in split.find(text)])
                     else:
                         for run in runs:
                             found = seen.get(run)
                             if found is None:
                                 found = seen[run] = [number(w) for w in split.find(run)]
-                            line += found
-                    numbers.append(np.array(line, np.int32))
-                    ends.append(len(line))
+                            numbers.extend(found)
+                    ends.append(len(numbers) - before)
+                words = list(local)
+                place = _find(words, *find.value)
+                rare = np.flatnonzero(place < 0)
+                place[rare] = -1 - np.arange(len(rare))
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as stream:
-                    stream.write_batch(part)
+                rows = part.select(list(range(len(kept))))
+                with pa.ipc.new_stream(sink, rows.schema) as stream:
+                    stream.write_batch(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([np.concatenate(numbers).tobytes()], pa.binary()),
-                     pa.array([np.array(ends, np.int64).tobytes()], pa.binary()), pa.array([list(rare)], pa.list_(pa.string()))],
-                    names=["rows", "numbers", "ends", "rare"])
+                    [pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([numbers.tobytes()], pa.binary()),
+                     pa.array([np.array(ends, np.int64).tobytes()], pa.binary()), pa.array([place.tobytes()], pa.binary()),
+                     pa.array([[words[k] for k in rare.tolist()]], pa.list_(pa.string()))],
+                    names=["rows", "numbers", "ends", "place", "rare"])
 
     def put_together(batches):
-        _, lengths, flat = sent.value
+        lengths, flat = ids.value
+        first = np.cumsum(lengths, dtype=np.int64) - lengths
         for batch in batches:
             for k in range(batch.num_rows):
-                more = batch.column(3)[k].values
-                more_lengths = np.diff(more.offsets.to_numpy()) if len(more) else np.empty(0, np.int64)
-                more_flat = more.flatten().to_numpy() if len(more) else np.empty(0, np.int32)
-                size = np.concatenate([lengths, more_lengths])
-                pieces = np.concatenate([flat, more_flat.astype(np.int32)])
-                first = np.cumsum(size) - size
+                place = np.frombuffer(batch.column(3)[k].as_py(), np.int64)
+                more = batch.column(4)[k].values
+                known, new = place >= 0, -1 - place
+                size, begin = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+                size[known], begin[known] = lengths[place[known]], first[place[known]]
+                pieces = flat
+                if len(more):
+                    offsets = more.offsets.to_numpy()
+                    size[~known], begin[~known] = np.diff(offsets)[new[~known]], offsets[:-1][new[~known]] - offsets[0] + len(flat)
+                    pieces = np.concatenate([flat, more.flatten().to_numpy().astype(np.int32)])
                 numbers = np.frombuffer(batch.column(1)[k].as_py(), np.int32)
                 texts = np.frombuffer(batch.column(2)[k].as_py(), np.int64)
                 each = size[numbers]
-                begin = np.cumsum(each) - each
-                out = pieces[np.repeat(first[numbers] - begin, each) + np.arange(int(each.sum()))]
-                total = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(texts)])]
+                total = np.concatenate([[0], np.cumsum(each)])
+                out = pieces[np.repeat(begin[numbers] - total[:-1], each) + np.arange(total[-1])]
+                total = total[np.concatenate([[0], np.cumsum(texts)])]
+                a = 0
                 for part in pa.ipc.open_stream(pa.py_buffer(batch.column(0)[k].as_py())):
-                    for a in range(0, part.num_rows, 2000):
-                        b = min(a + 2000, part.num_rows)
-                        lists = pa.ListArray.from_arrays(pa.array((total[a : b + 1] - total[a]).astype(np.int32)), pa.array(out[total[a] : total[b]]))
-                        yield pa.RecordBatch.from_arrays([*part.slice(a, b - a).columns, lists], names=[*kept, ids_col])
-
-    cut_ = base.mapInArrow(cut_up, "rows binary, numbers binary, ends binary, rare array<string>")
-    cut_ = cut_.select("rows", "numbers", "ends", codec.encode_words(F.col("rare")).alias("rare"))
-    return cut_.mapInArrow(put_together, StructType(base.schema.fields + StructType.fromDDL(f"{ids_col} array<int>").fields))
+                    b = a + part.num_rows
+                    lists = pa.ListArray.from_arrays(pa.array((total[a : b + 1] - total[a]).astype(np.int32)), pa.array(out[total[a] : total[b]]))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*kept, ids_col])
+                    a = b
+
+    cut_ = base.mapInArrow(cut_up, "rows binary, numbers binary, ends binary, place binary, rare array<string>")
+    cut_ = cut_.select("rows", "numbers", "ends", "place", codec.encode_words(F.col("rare")).alias("rare"))
+    return cut_.mapInArrow(put_together, StructType(docs.select(*kept).schema.fields + StructType.fromDDL(f"{ids_col} array<int>").fields))
 
 
 def decode_ids(ids: Column, ranks_path: str = BYTE_BPE) -> Column:
