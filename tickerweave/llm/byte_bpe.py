@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ FREQUENT = 1_000_000
 #: Tasks that encode them.
 WAYS = 96
 #: Bytes of text in a batch.
-BATCH = 2 << 20
+BATCH = 6 << 20
 #: Distinct words a counting task holds before it passes them on.
 FLUSH = 250_000
 #: Seeds of the two hashes that a word is known by.
@@ -37,24 +37,25 @@ def as_bytes(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def _buckets(entries: dict[str, object], kind: str) -> tuple[Column, int]:
-    """A literal array of maps from string keys, cut by hash because looking a key up in a map reads it through."""
-    n = max(1, len(entries) // 2)
-    maps: list[dict] = [{} for _ in range(n)]
-    for key, value in entries.items():
-        maps[_bucket(key, n)][key] = value
-    return F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{kind}>>"), n
+#: Bits that a rank takes beside its key.
+_RANK_BITS = 17
 
 
-def _bucket(key: str, n: int) -> int:
-    """The bucket that _look computes: the signed 64-bit hash, non-negative modulo n."""
-    h = xxhash.xxh64_intdigest(key.encode(), seed=42)
-    return (h - (1 << 64) if h >= 1 << 63 else h) % n
-
-
-def _look(table: tuple[Column, int], key: Column) -> Column:
-    maps, n = table
-    return F.try_element_at(F.try_element_at(maps, (F.pmod(F.xxhash64(key), F.lit(n)) + 1).cast("int")), key)
+def _levels(entries: dict[int, int]) -> list[tuple[Column, int]]:
+    """A map from long keys as literal arrays and their sizes. A key stands, with its value in the lower bits, at the place
+    of its remainder in the first array, or, where another key stands there, in the next; 0 is an empty place."""
+    out, left = [], entries
+    while left:
+        n = 4 * len(left) + 13
+        held, rest = [0] * n, {}
+        for key, value in left.items():
+            if held[key % n]:
+                rest[key] = value
+            else:
+                held[key % n] = key << _RANK_BITS | value
+        out.append((F.from_json(F.lit(json.dumps(held)), "array<bigint>"), n))
+        left = rest
+    return out
 
 
 def _let(value: Column, use) -> Column:
@@ -62,11 +63,31 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _let_all(values: list[Column], use, bound: tuple = ()) -> Column:
+    """use(list of the values) with each of them computed once."""
+    return use(list(bound)) if not values else _let(values[0], lambda v: _let_all(values[1:], use, (*bound, v)))
+
+
 class Codec:
-    """Encoding and decoding with the ranks of one vocabulary, as expressions of literal maps."""
+    """Encoding and decoding with the ranks of one vocabulary, as expressions of literal maps.
+
+    A piece is known by its id, which is its rank. The rank map is kept by pairs: for two pieces whose joint bytes are in
+    the vocabulary, left id plus one times SHIFT plus right id leads to the rank of both together.
+    """
+
+    SHIFT = 1 << _RANK_BITS
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = _buckets({piece.decode("latin-1"): rank for piece, rank in ranks.items()}, "int")
+        if max(ranks.values()) >= 1 << _RANK_BITS:
+            raise ValueError(f"ranks of {_RANK_BITS} bits at most")
+        pairs = {}
+        for piece, rank in ranks.items():
+            for k in range(1, len(piece)):
+                left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+                if left is not None and right is not None:
+                    pairs[(left + 1) * self.SHIFT + right] = rank
+        self.pairs = _levels(pairs)
+        self.bytes = F.array(*[F.lit(ranks.get(bytes([b]))).cast("bigint") for b in range(256)])
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.decode("latin-1")
@@ -74,41 +95,54 @@ class Codec:
 
     def encode_words(self, words: Column) -> Column:
         """Ids of each of an array of matches of the pattern. The rank map stands in the plan once, bound to a variable."""
-        return _let(self.ranks[0], lambda maps: F.transform(words, lambda w: self._encode(as_bytes(w), maps)))
+        values = [self.bytes, *[held for held, _ in self.pairs]]
+        return _let_all(values, lambda bound: F.transform(words, lambda w: self._encode(as_bytes(w), bound[1:], bound[0])))
+
+    def _encode(self, word: Column, levels: list[Column], byte_ids: Column) -> Column:
+        """Starts from the bytes of a word and merges, one step of the fold at a time, the neighbours whose joint piece has
+        the lowest rank, the first of them at a tie."""
+        def rank_of(left, right):
+            key = (left + 1) * F.lit(self.SHIFT) + right
 
-    def _encode(self, word: Column, maps: Column) -> Column:
-        """A word of the vocabulary is its own piece. Any other starts from its bytes and merges, one step of the fold at a
-        time, the neighbours whose joint piece has the lowest rank, the first of them at a tie."""
-        rank_of = lambda piece: _look((maps, self.ranks[1]), piece)
+            def look(k):
+                if k == len(levels):
+                    return F.lit(None).cast("bigint")
+                held = F.element_at(levels[k], (key % F.lit(self.pairs[k][1]) + 1).cast("int"))
+                there = F.shiftright(held, _RANK_BITS) == key
+                return F.when(held == 0, F.lit(None).cast("bigint")).when(there, held.bitwiseAND(F.lit((1 << _RANK_BITS) - 1))).otherwise(look(k + 1))
 
-        def start(b):
-            neighbours = F.zip_with(F.slice(b, 1, F.size(b) - 1), F.slice(b, 2, F.size(b) - 1), lambda x, y: rank_of(F.concat(x, y)))
-            return F.struct(b.alias("piece"), neighbours.alias("rank"))
+            return look(0)
+
+        def start(ids):
+            neighbours = F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids) - 1), rank_of)
+            return F.struct(ids.alias("piece"), neighbours.alias("rank"))
 
         def merge(s, _):
             piece, rank = s["piece"], s["rank"]
-            low = F.array_min(rank)
 
-            def at(place):
+            def at(place, low):
                 n = F.size(piece)
-                joint = F.concat(F.element_at(piece, place), F.element_at(piece, place + 1))
-                before = F.concat(F.try_element_at(piece, place - 1), joint)
-                after = F.concat(joint, F.try_element_at(piece, place + 2))
-                none = F.array().cast("array<int>")
+                none = F.array().cast("array<bigint>")
                 return F.struct(
-                    F.concat(F.slice(piece, 1, place - 1), F.array(joint), F.slice(piece, place + 2, n)).alias("piece"),
+                    F.concat(F.slice(piece, 1, place - 1), F.array(low), F.slice(piece, place + 2, n)).alias("piece"),
                     F.concat(
                         F.when(place > 2, F.slice(rank, 1, place - 2)).otherwise(none),
-                        F.when(place > 1, F.array(rank_of(before))).otherwise(none),
-                        F.when(place < n - 1, F.array(rank_of(after))).otherwise(none),
+                        F.when(place > 1, F.array(rank_of(F.element_at(piece, place - 1), low))).otherwise(none),
+                        F.when(place < n - 1, F.array(rank_of(low, F.element_at(piece, place + 2)))).otherwise(none),
                         F.slice(rank, place + 2, n),
                     ).alias("rank"),
                 )
 
-            return F.when(low.isNull(), s).otherwise(_let(F.array_position(rank, low).cast("int"), at))
+            def step(low):
+                return F.when(low.isNull(), s).otherwise(_let(F.array_position(rank, low).cast("int"), lambda place: at(place, low)))
+
+            return _let(F.array_min(rank), step)
 
-        folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.char_length(word), F.lit(2))), start(F.split(word, "")), merge)
-        return _let(rank_of(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded["piece"], rank_of)))
+        def fold(ids):
+            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(ids), F.lit(2))), start(ids), merge)["piece"].cast("array<int>")
+
+        # What is used more than once is bound to a variable, because functions of arrays compute each mention anew.
+        return _let(F.transform(F.split(word, ""), lambda c: F.element_at(byte_ids, F.ascii(c) + 1)), fold)
 
     def decode(self, ids: Column) -> Column:
         """Bytes of a sequence of ids: the binary pieces one after the other."""
@@ -120,10 +154,10 @@ class Codec:
 
 
 class Splitter:
-    """Matches of the pattern in a text, each distinct run between blanks matched once.
+    """Matches of the pattern in a text, each distinct part between blanks matched once.
 
-    In a text whose white space is single blanks and line feeds, a match never crosses from one run to the next:
-    a blank belongs to the run after it, and a line feed is a match of its own. Other texts are matched whole.
+    In a text whose white space is single blanks and line feeds, no match crosses a blank but as its first character, and a
+    line feed is a match of its own. Other texts are matched whole.
     """
 
     def __init__(self, pattern: str):
@@ -131,47 +165,40 @@ class Splitter:
         self.find = regex.compile(spelled).findall
         self.odd = regex.compile(f"[{_SPACE.replace('-', chr(45))}](?<![ \n])|[ \n][ \n]").search
 
-    def runs(self, text: str) -> list[str] | None:
-        """Runs whose matches, one after the other, are those of the text; None where it has to be matched whole."""
-        if self.odd(text):
-            return None
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            if first:
-                out.append(first)
-            out += [" " + r for r in rest]
-        return out
+    def cut(self, text: str) -> list[str] | None:
+        """The text cut at its blanks, where each part but the first has one before it and the matches of the parts, one
+        after the other, are those of the text; None where it has to be matched whole."""
+        return None if self.odd(text) else text.split(" ")
 
 
 def count_words(texts: DataFrame, text_col: str, pattern: str) -> DataFrame:
     """(word, n) over all texts; tasks add up before the shuffle."""
 
     def count(batches):
-        split, words, runs = Splitter(pattern), Counter(), Counter()
+        split, words, first, rest = Splitter(pattern), Counter(), Counter(), Counter()
 
         def settle():
-            for run, n in runs.items():
-                for word in split.find(run):
-                    words[word] += n
-            runs.clear()
+            for parts, blank in ((first, ""), (rest, " ")):
+                for part, n in parts.items():
+                    for word in split.find(blank + part):
+                        words[word] += n
+                parts.clear()
+            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            words.clear()
+            return out
 
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 for text in batch.column(0).slice(a, 256).to_pylist():
-                    found = split.runs(text or "")
-                    if found is None:
+                    parts = split.cut(text or "")
+                    if parts is None:
                         words.update(split.find(text))
                     else:
-                        runs.update(found)
-                    if len(runs) + len(words) >= FLUSH:
-                        settle()
-                        yield pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())})
-                        words.clear()
-        settle()
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+                        first[parts[0]] += 1
+                        rest.update(parts[1:])
+                    if len(first) + len(rest) + len(words) >= FLUSH:
+                        yield settle()
+        yield settle()
 
     return texts.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -181,6 +208,29 @@ def word_hashes(word) -> list[Column]:
     return [F.xxhash64(word), F.xxhash64(F.lit("word"), word)]
 
 
+class Numbered(dict):
+    """Numbers of strings by their first appearance; `into` lists them, each after `lead`."""
+
+    def __init__(self, into: list, lead: str):
+        self.into, self.lead = into, lead
+
+    def __missing__(self, key):
+        self[key] = number = len(self.into)
+        self.into.append(self.lead + key)
+        return number
+
+
+def _spread(parts: np.ndarray, per_text: np.ndarray, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the words, one text after the other; how many each text has) from numbers of parts and the parts' words."""
+    size = np.array([len(x) for x in lists], np.int64)
+    begin = np.cumsum(size) - size
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+    each = size[parts]
+    total = np.concatenate([[0], np.cumsum(each)])
+    words = flat[np.repeat(begin[parts] - total[:-1], each) + np.arange(total[-1])]
+    return words, np.diff(total[np.concatenate([[0], np.cumsum(per_text)])])
+
+
 class Ready:
     """Ids of the frequent words, by their two hashes; what has to find words and what has to copy ids travel apart."""
 
@@ -236,23 +286,17 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
                 stop = max(start + 1, int(np.searchsorted(ends_at, done + BATCH, side="right")))
                 part = batch.slice(start, stop - start)
                 start = stop
-                local: dict[str, int] = {}
-                seen: dict[str, list[int]] = {}
-                number = lambda w: local.setdefault(w, len(local))
-                numbers, ends = array("i"), []
+                # A text is a list of parts, a part a list of words; both are numbered by their first appearance.
+                parts, ends, parts_of = [], [], []
+                rest, first = Numbered(parts_of, " "), Numbered(parts_of, "")
                 for text in part.column(len(kept)).to_pylist():
-                    before = len(numbers)
-                    runs = split.runs(text or "")
-                    if runs is None:
-                        numbers.extend([number(w) for w in split.find(text)])
-                    else:
-                        for run in runs:
-                            found = seen.get(run)
-                            if found is None:
-                                found = seen[run] = [number(w) for w in split.find(run)]
-                            numbers.extend(found)
-                    ends.append(len(numbers) - before)
-                words = list(local)
+                    cut = split.cut(text or "") or [text]
+                    line = [first[cut[0]], *map(rest.__getitem__, cut[1:])]
+                    parts.append(np.array(line, np.int32))
+                    ends.append(len(line))
+                local = Numbered(words := [], "")
+                lists = [list(map(local.__getitem__, split.find(p))) for p in parts_of]
+                numbers, ends = _spread(np.concatenate(parts), np.array(ends), lists)
                 place = _find(words, *find.value)
                 rare = np.flatnonzero(place < 0)
                 place[rare] = -1 - np.arange(len(rare))
@@ -262,7 +306,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
                     stream.write_batch(rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([numbers.tobytes()], pa.binary()),
-                     pa.array([np.array(ends, np.int64).tobytes()], pa.binary()), pa.array([place.tobytes()], pa.binary()),
+                     pa.array([ends.tobytes()], pa.binary()), pa.array([place.tobytes()], pa.binary()),
                      pa.array([[words[k] for k in rare.tolist()]], pa.list_(pa.string()))],
                     names=["rows", "numbers", "ends", "place", "rare"])
 
@@ -299,6 +343,12 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
     return cut_.mapInArrow(put_together, StructType(docs.select(*kept).schema.fields + StructType.fromDDL(f"{ids_col} array<int>").fields))
 
 
+def ids_text(ids: Column) -> Column:
+    """Decimal ids joined by one blank."""
+    shown = F.replace(ids.cast("string"), F.lit(", "), F.lit(" "))  # [1, 2, 3] before
+    return F.substring(shown, F.lit(2), F.char_length(shown) - 2)
+
+
 def decode_ids(ids: Column, ranks_path: str = BYTE_BPE) -> Column:
     """Binary text of a column of ids; NULL for NULL, an unknown id is an error."""
     return Codec(read_ranks(ranks_path)).decode(ids)

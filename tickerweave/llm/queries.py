@@ -100,8 +100,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = byte_bpe.encode_texts(docs, keep_text=False)
-    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_sha256(ids).alias("ids_sha256"),
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_sha256(byte_bpe.ids_text(F.col("ids"))).alias("ids_sha256"),
                       F.sha2(byte_bpe.decode_ids(F.col("ids")), 256).alias("decoded_sha256"))
 
 
