@@ -78,6 +78,49 @@ def test_model_files(spark, split, tmp_path):
     assert training.importance(model, FEATS).count() == 3
 
 
+def _subset_value(tree, x, known, node=0):
+    """Mean value of the leaves that a row reaches when only the known features are looked at."""
+    f = tree["feature"][node]
+    if f < 0:
+        return tree["value"][node]
+    left, right = int(tree["left"][node]), int(tree["right"][node])
+    if f in known:
+        return _subset_value(tree, x, known, left if x[f] <= tree["threshold"][node] else right)
+    c = tree["cover"]
+    return (c[left] * _subset_value(tree, x, known, left) + c[right] * _subset_value(tree, x, known, right)) / c[node]
+
+
+def test_tree_attributions_equal_all_subsets(spark):
+    import itertools
+    import math
+
+    rng = np.random.default_rng(3)
+    names = list("abcdefgh")
+    x = rng.normal(size=(250, 8))
+    y = ((x[:, 0] * x[:, 1] + x[:, 2] > 0) ^ (rng.random(250) < 0.1)).astype(float)
+    rows = [("A", dt.date(2024, 1, 1) + dt.timedelta(k), *map(float, x[k]), float(y[k])) for k in range(250)]
+    df = training.assemble(spark.createDataFrame(rows, ["ticker", "date", *names, "label"]), names).cache()
+    some = df.filter("date >= '2024-09-03'").select("ticker", "date", *names)
+    forest = training.fit(df, "random_forest", {"n_estimators": 12, "max_depth": 6})
+    boosted = training.fit(df, "lightgbm", {"n_estimators": 11, "num_leaves": 9})
+    for model in (forest, boosted):
+        trees, start = explain.ensemble(model)
+        got = {}
+        for r in explain.tree_attribution(model, some, names, 5).collect():
+            got.setdefault(r.date, {})[r.feature] = (r.attribution, r.base_value)
+        scores = {r.date: r.p for r in training.score(model, training.assemble(some, names)).collect()}
+        assert len(got) == some.count() > 3
+        for date, a in got.items():
+            row = x[(date - dt.date(2024, 1, 1)).days]
+            total = sum(v for v, _ in a.values()) + a["a"][1]
+            total = total if model is forest else 1 / (1 + np.exp(-total))
+            assert total == pytest.approx(scores[date], abs=1e-9)
+        worth = {k: start + sum(_subset_value(t, row, k) for t in trees) for n in range(9) for k in map(frozenset, itertools.combinations(range(8), n))}
+        for i, name in enumerate(names):
+            want = sum(math.factorial(len(k)) * math.factorial(7 - len(k)) / math.factorial(8) * (worth[k | {i}] - worth[k]) for k in worth if i not in k)
+            assert a[name][0] == pytest.approx(want, abs=1e-9)
+
+
 # --- boosted trees ----------------------------------------------------------------------------
 
 

@@ -69,6 +69,25 @@ def test_incremental_indicators_equal_batch(spark, tmp_path):
         np.testing.assert_allclose(j[f"g_{c}"].to_numpy(float), j[f"w_{c}"].to_numpy(float), rtol=1e-9, atol=1e-9)
 
 
+def test_incremental_indicators_over_gaps_equal_batch(spark, tmp_path):
+    bars = pd.concat([walk(150), walk(120, 5, "BBB")]).reset_index(drop=True)
+    for k, c in ((0, "close"), (3, "close"), (4, "close"), (40, "volume"), (41, "high"), (77, "close"), (90, "low"), (91, "close"), (155, "close"), (269, "close")):
+        bars.loc[k, c] = None
+    rows = [tuple(None if isinstance(v, float) and v != v else v for v in r) for r in bars.itertuples(index=False)]
+    df = spark.createDataFrame(rows, bsrc.BAR_SCHEMA)
+    cuts = ["date < '2020-01-06'", "date >= '2020-01-06' AND date < '2020-04-01'", "date >= '2020-04-01'"]
+    s = stream(spark, [df.filter(c) for c in cuts], tmp_path, df.schema)
+    got = run(jobs.incremental_indicators(s), tmp_path)
+    want = technical.technical_features(df, ["macd", "macd_signal", "rsi_14", "obv", "vwap_deviation"])
+    names = ("macd", "macd_signal", "rsi_14", "obv")
+    j = got.alias("g").join(want.alias("w"), ["ticker", "date"]).select(
+        *[F.col(f"g.{c}").alias(f"g_{c}") for c in names], *[F.col(f"w.{c}").alias(f"w_{c}") for c in names],
+        ((F.col("close") - F.col("g.vwap")) / F.col("g.vwap")).alias("g_v"), F.col("vwap_deviation").alias("w_v")).toPandas()
+    assert len(j) == 270
+    for c in (*names, "v"):
+        np.testing.assert_allclose(j[f"g_{c}"].to_numpy(float), j[f"w_{c}"].to_numpy(float), rtol=1e-9, atol=1e-9)
+
+
 def test_first_news_stream(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     rows = [("A", "Big News!", t), ("A", "big news", t), ("B", "Big news", t), ("A", "Other", t)]

@@ -22,8 +22,8 @@ from tickerweave.session import shared_checkpoint_dir
 LEAST_WORK, MOST_ROWS = 32_768, 400_000
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; a temporary one is made for a local master only."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a temporary one is made for a local master only."""
     folder = shared_checkpoint_dir(spark)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -31,7 +31,11 @@ def use_checkpoints(spark: SparkSession) -> None:
         folder = getattr(spark, "_fit_folder", None)
         if folder is None:
             folder = spark._fit_folder = tempfile.mkdtemp(prefix="fits-")
-    spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
 
 
 def to_blocks(df: DataFrame, sets: list[Column], fits: int, vector: str = "features", label: str = "label") -> RDD:

@@ -1,17 +1,19 @@
-"""Attributions: exact for linear models, sampled Shapley values for any model, local linear surrogates."""
+"""Attributions: exact for linear models and trees, sampled Shapley values for any model, local linear surrogates."""
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickerweave.operators import training
+from tickerweave.operators import boosting, training
+from tickerweave.operators.blocks import checkpoint_folder
 from tickerweave.operators.portfolio import _pairs
 
 
@@ -63,6 +65,114 @@ def shapley_attribution(model, rows: DataFrame, features: list[str], means: Data
     return s.groupBy("ticker", "date", name.alias("feature")).agg(F.avg("change").alias("attribution"), F.avg("base").alias("base_value"))
 
 
+# --- trees ------------------------------------------------------------------------------------
+
+
+def ensemble(model) -> tuple[list[dict], float]:
+    """(trees as arrays, start) of a fitted forest or boosted ensemble: feature (-1: leaf), threshold (at most: left), left,
+    right, value and cover (training rows). The score is the start plus the values of the leaves reached: a probability
+    for a forest, log odds for boosted trees."""
+    if isinstance(model, boosting.Boosted):
+        out = []
+        for t in model.trees:
+            cuts = np.array([model.edges[f][c] if f >= 0 and c < len(model.edges[f]) else np.inf for f, c in zip(t["feature"], t["cut"])])
+            out.append({"feature": t["feature"], "threshold": cuts, "left": t["left"], "right": t["left"] + 1, "value": t["value"], "cover": t["cover"]})
+        return out, model.start
+    forest = model.stages[-1]
+    spark = SparkSession.getActiveSession()
+    path = f"{checkpoint_folder(spark)}/forest-{uuid.uuid4().hex}"
+    forest.save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").toPandas()
+    out = []
+    for _, t in nodes.groupby("treeID"):
+        stats = np.stack(t["impurityStats"].to_numpy())
+        inner = t["leftChild"].to_numpy() >= 0
+        out.append({
+            "feature": np.where(inner, [s["featureIndex"] for s in t["split"]], -1),
+            "threshold": np.array([s["leftCategoriesOrThreshold"][0] if i else 0.0 for s, i in zip(t["split"], inner)]),
+            "left": t["leftChild"].to_numpy(), "right": t["rightChild"].to_numpy(),
+            "value": stats[:, 1] / stats.sum(axis=1) / forest.getNumTrees, "cover": stats.sum(axis=1)})
+    return out, 0.0
+
+
+def leaf_paths(tree: dict) -> tuple[np.ndarray, ...]:
+    """(value, feature, low, high, share) of the leaves: per leaf the different features on its path, padded with -1, the
+    interval that each has to lie in, and the share of the training rows that its conditions let through."""
+    leaves, todo = [], [(0, {})]
+    while todo:
+        node, path = todo.pop()
+        f = int(tree["feature"][node])
+        if f < 0:
+            leaves.append((tree["value"][node], path))
+            continue
+        cut = tree["threshold"][node]
+        for child, side in ((int(tree["left"][node]), 0), (int(tree["right"][node]), 1)):
+            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+            share *= tree["cover"][child] / tree["cover"][node]
+            todo.append((child, {**path, f: (low, min(high, cut), share) if side == 0 else (max(low, cut), high, share)}))
+    depth = max(1, max(len(p) for _, p in leaves))
+    feature = np.full((len(leaves), depth), -1)
+    low, high, share = np.full((len(leaves), depth), -np.inf), np.full((len(leaves), depth), np.inf), np.ones((len(leaves), depth))
+    for k, (_, path) in enumerate(leaves):
+        for j, (f, (a, b, z)) in enumerate(path.items()):
+            feature[k, j], low[k, j], high[k, j], share[k, j] = f, a, b, z
+    return np.array([v for v, _ in leaves]), feature, low, high, share
+
+
+def path_attribution(paths: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """Shapley values of one row under one tree, where a feature left out lets through its share of the training rows.
+
+    Of a leaf, the weights of all coalitions by size are the coefficients of the product of (share + inside t) over the
+    features of its path; leaving a feature out is dividing by its factor. Padded features have factor 1 + t and value 0.
+    """
+    value, feature, low, high, share = paths
+    depth = feature.shape[1]
+    at = np.where(feature >= 0, x[feature], 0.0)
+    inside = (feature < 0) | ((at > low) & (at <= high))
+    poly = np.zeros((len(value), depth + 1))
+    poly[:, 0] = 1.0
+    for j in range(depth):
+        poly[:, 1:] = poly[:, 1:] * share[:, j, None] + poly[:, :-1] * inside[:, j, None]
+        poly[:, 0] *= share[:, j]
+    weights = [math.factorial(k) * math.factorial(depth - 1 - k) / math.factorial(depth) for k in range(depth)]
+    total = np.zeros((len(value), depth))
+    rest = np.zeros((len(value), depth))
+    safe = np.maximum(share, 1e-300)
+    for k in range(depth - 1, -1, -1):
+        rest = np.where(inside, poly[:, k + 1, None] - share * rest if k < depth - 1 else poly[:, k + 1, None], poly[:, k, None] / safe)
+        total += weights[k] * rest
+    out = np.zeros(len(x))
+    np.add.at(out, np.maximum(feature, 0), np.where(feature >= 0, value[:, None] * (inside - share) * total, 0.0))
+    return out
+
+
+def tree_attribution(model, rows: DataFrame, features: list[str], chunk: int = 10) -> DataFrame:
+    """Exact attributions of a forest or of boosted trees: (ticker, date, feature, attribution, base_value), which add up to
+    the score (see ensemble) less the base value, the mean score of the training rows.
+
+    Every row meets the ensemble in chunks of trees; chunks are spread over the tasks and their vectors added up by row.
+    """
+    trees, start = ensemble(model)
+    paths = [leaf_paths(t) for t in trees]
+    base = start + float(sum((p[0] * p[4].prod(axis=1)).sum() for p in paths))
+    sent = rows.sparkSession.sparkContext.broadcast(paths)
+    chunks = max(1, -(-len(paths) // chunk))
+    df = rows.select("ticker", "date", F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    df = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition("ticker", "date", "chunk")
+
+    def attribute(frames):
+        for f in frames:
+            out = []
+            for x, c in zip(f["x"], f["chunk"]):
+                out.append(sum((path_attribution(p, np.asarray(x, float)) for p in sent.value[c * chunk : (c + 1) * chunk]), np.zeros(len(features))))
+            yield pd.DataFrame({"ticker": f["ticker"], "date": f["date"], "a": out})
+
+    parts = df.mapInPandas(attribute, "ticker string, date date, a array<double>")
+    sums = parts.groupBy("ticker", "date").agg(vector_to_array(Summarizer.sum(array_to_vector("a"))).alias("a"))
+    named = F.arrays_zip(F.array(*[F.lit(c) for c in features]).alias("feature"), F.col("a").alias("attribution"))
+    return sums.select("ticker", "date", F.inline(named), F.lit(base).alias("base_value"))
+
+
 def global_importance(attributions: DataFrame) -> DataFrame:
     return attributions.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("importance"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerweave.functions.cumulative import running_totals
 from tickerweave.functions.core import div, ffill, flag, ordered, pct_change, trailing, wide_frame
 from tickerweave.operators.asof import align_symbol, align_symbols, asof_backward, asof_forward
 from tickerweave.operators.sector import MACRO_SECTOR_ETF, MARKET_SYMBOL, lookup
@@ -125,24 +126,32 @@ def fundamental_block(bars, fundamentals, earnings, series, assets, earnings_mod
     return df.select(*keys, *[ffill(c).alias(c) for c in df.columns if c not in keys])
 
 
+def _middle_values(snap: DataFrame, columns: list[str]) -> DataFrame:
+    """(sector, v_<column>: struct q0, q1, q2): the middle value of each sorted column, counted from n / 2, and its neighbours."""
+    values = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("x")) for k, c in enumerate(columns)])
+    long = snap.filter("sector IS NOT NULL").select("sector", F.inline(values)).filter("x IS NOT NULL")
+    counts = long.groupBy("sector", "k", "x").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy("sector", "k").agg(F.sum("n").alias("rows"))
+    placed = running_totals(counts, ["sector", "k"], "x", {"below": F.col("n")}).join(total, ["sector", "k"])
+    place = lambda d: F.floor(F.col("rows") / 2) + d
+    at = lambda d: (F.col("below") <= place(d)) & (place(d) < F.col("below") + F.col("n"))
+    near = placed.filter(at(-1) | at(0) | at(1))
+    pick = lambda k, d: F.max(F.when((F.col("k") == k) & at(d), F.col("x"))).alias(f"q{d + 1}")
+    return near.groupBy("sector").agg(*[F.struct(*[pick(k, d) for d in (-1, 0, 1)]).alias(f"v_{c}") for k, c in enumerate(columns)])
+
+
 def peer_zscores(snap: DataFrame, columns: list[str] = PEER_COLUMNS) -> DataFrame:
     """Distance of each company from the median of the other companies of its sector, in peer deviations.
 
-    No pairs are formed. One aggregation per sector keeps count, mean, squared
-    deviations and the three middle order statistics; taking one company out of
-    these gives the exact median and deviation of its peers.
+    No pairs are formed. One aggregation per sector keeps count, mean and squared deviations; the three middle order
+    statistics come from running totals over the sector's distinct values, so that no row or task holds a sector. Taking
+    one company out of these gives the exact median and deviation of its peers.
     """
     stats = snap.groupBy("sector").agg(
         *[F.count(c).alias(f"n_{c}") for c in columns],
         *[F.avg(c).alias(f"mean_{c}") for c in columns],
         *[(F.var_pop(c) * F.count(c)).alias(f"ss_{c}") for c in columns],
-        *[F.sort_array(F.collect_list(c)).alias(f"v_{c}") for c in columns],
-    )
-    # Keep only the middle of each sorted list before it is joined back.
-    for c in columns:
-        m = F.floor(F.col(f"n_{c}") / 2).cast("int")
-        mid = [F.get(f"v_{c}", m + k).alias(f"q{k + 1}") for k in (-1, 0, 1)]
-        stats = stats.withColumn(f"v_{c}", F.struct(*mid))
+    ).join(_middle_values(snap, columns), "sector", "left")
     df = snap.join(stats, "sector", "left")
     out = []
     for c in columns:

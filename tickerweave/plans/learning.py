@@ -271,6 +271,14 @@ def _shapley(spark, sf):
     return a.select("ticker", "feature", rnd("attribution").alias("attribution"), rnd("base_value").alias("base_value"))
 
 
+def _tree_attribution(spark, sf):
+    split = _split(spark, sf)
+    model = training.fit(split, "random_forest")
+    a = explain.tree_attribution(model, technical.latest_row(split.select("ticker", "date", *FEATURES)), FEATURES)
+    return explain.top_drivers(a, 10).select("ticker", "date", "feature", rnd("attribution").alias("attribution"), "direction", "rank",
+                                             rnd("base_value").alias("base_value"))
+
+
 def _surrogate(spark, sf):
     split = _split(spark, sf)
     model = training.fit(split, "random_forest")
@@ -298,6 +306,7 @@ QUERIES = {
     "m15_batch_scoring": _batch,
     "m16_k04_linear_attribution": _linear,
     "m16_shapley_attribution": _shapley,
+    "m16_tree_attribution": _tree_attribution,
     "m17_local_surrogate": _surrogate,
     "a29_global_importance": _importance,
 }

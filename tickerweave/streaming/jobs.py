@@ -69,41 +69,67 @@ def admit_stream(requests: DataFrame, limit: int = 60, window: int = 60, delay:
 INCREMENTAL_COLUMNS = "ticker string, date date, ema_12 double, ema_26 double, macd double, macd_signal double, rsi_14 double, obv double, vwap double"
 
 
-def incremental_indicators(bars: DataFrame) -> DataFrame:
-    """EMA, MACD, RSI, OBV and VWAP bar by bar, with a dozen numbers of state per ticker.
+def incremental_indicators(bars: DataFrame, idle: str | None = None) -> DataFrame:
+    """EMA, MACD, RSI, OBV and VWAP bar by bar, with two dozen numbers of state per ticker.
 
-    Bars of a ticker must arrive in date order across batches; inside a batch they are sorted.
+    Bars of a ticker must arrive in date order across batches; inside a batch they are sorted. A missing value is a gap:
+    a smoothed series keeps its value, and what came before the gap has aged by the rows in between when the next value
+    comes; a change needs both of its closes; missing parts of OBV and VWAP add nothing. `idle`, a duration, drops the
+    state of a ticker that has had no bar for that long; its next bar starts anew.
     """
+    fields = ["prev", "fast", "slow", "age", "n", "signal", "gain", "loss", "d_age", "d_n", "obv", "pv", "vol"]
+    idle_ms = None if idle is None else int(pd.Timedelta(idle) / pd.Timedelta(milliseconds=1))
+
+    def smooth(old, new, alpha, age):
+        """The smoothed value after `age` rows since the last one."""
+        if old is None:
+            return new
+        left = (1 - alpha) ** age
+        return (left * old + alpha * new) / (left + alpha)
 
     def step(key, frames, state: GroupState):
-        s = list(state.get) if state.exists else [0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
-        n, prev, e12, e26, sig, gain, loss, obv, pv, vol = s
+        if state.hasTimedOut:
+            state.remove()
+            return
+        s = dict(zip(fields, state.get)) if state.exists else {**dict.fromkeys(fields), **dict.fromkeys(["age", "n", "d_age", "d_n"], 0)}
+        s = {k: None if isinstance(v, float) and v != v else v for k, v in s.items()}
         out = []
-        for b in pd.concat(list(frames)).sort_values("date").itertuples(index=False):
-            c = b.close
-            if n == 0:
-                e12 = e26 = c
-                sig = 0.0
-            else:
-                e12 += (2 / 13) * (c - e12)
-                e26 += (2 / 27) * (c - e26)
-                sig += (2 / 10) * ((e12 - e26) - sig)
-                d = c - prev
-                up, down = max(d, 0.0), max(-d, 0.0)
-                gain = up if n == 1 else gain + (up - gain) / 14
-                loss = down if n == 1 else loss + (down - loss) / 14
-                obv += b.volume * ((d > 0) - (d < 0))
-            pv += (b.high + b.low + c) / 3 * b.volume
-            vol += b.volume
-            n, prev = n + 1, c
-            rsi = 100 - 100 / (1 + gain / loss) if n > 14 and loss > 0 else None
-            out.append((b.ticker, b.date, e12, e26, e12 - e26, sig, rsi, obv, pv / vol if vol else None))
-        state.update((n, prev, e12, e26, sig, gain, loss, obv, pv, vol))
+        for bar in pd.concat(list(frames)).sort_values("date").itertuples(index=False):
+            high, low, close, volume = (None if v is None or v != v else float(v) for v in (bar.high, bar.low, bar.close, bar.volume))
+            s["age"] += 1
+            s["d_age"] += 1
+            if close is not None:
+                s["fast"], s["slow"] = smooth(s["fast"], close, 2 / 13, s["age"]), smooth(s["slow"], close, 2 / 27, s["age"])
+                s["age"], s["n"] = 0, s["n"] + 1
+            change = close - s["prev"] if close is not None and s["prev"] is not None else None
+            if change is not None:
+                for k, v in (("gain", max(change, 0.0)), ("loss", max(-change, 0.0))):
+                    s[k] = smooth(s[k], v, 1 / 14, s["d_age"])
+                s["d_age"], s["d_n"] = 0, s["d_n"] + 1
+                if volume is not None:
+                    s["obv"] = (s["obv"] or 0.0) + volume * ((change > 0) - (change < 0))
+            s["obv"] = s["obv"] or 0.0
+            macd = s["fast"] - s["slow"] if s["n"] else None
+            if macd is not None:
+                s["signal"] = smooth(s["signal"], macd, 2 / 10, 1)
+            if volume is not None:
+                s["vol"] = (s["vol"] or 0.0) + volume
+                if None not in (high, low, close):
+                    s["pv"] = (s["pv"] or 0.0) + (high + low + close) / 3 * volume
+            s["prev"] = close
+            rsi = 100 - 100 / (1 + s["gain"] / s["loss"]) if s["d_n"] >= 14 and s["loss"] > 0 else None
+            vwap = s["pv"] / s["vol"] if s["pv"] is not None and s["vol"] else None
+            out.append((bar.ticker, bar.date, s["fast"], s["slow"], macd, s["signal"], rsi, s["obv"], vwap))
+        state.update(tuple(s[f] for f in fields))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         names = [c.split()[0] for c in INCREMENTAL_COLUMNS.split(", ")]
         yield pd.DataFrame(out, columns=names)
 
-    state = "n bigint, prev double, e12 double, e26 double, sig double, gain double, loss double, obv double, pv double, vol double"
-    return bars.groupBy("ticker").applyInPandasWithState(step, INCREMENTAL_COLUMNS, state, "append", GroupStateTimeout.NoTimeout)
+    counts = {"age", "n", "d_age", "d_n"}
+    state = ", ".join(f"{f} {'bigint' if f in counts else 'double'}" for f in fields)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return bars.groupBy("ticker").applyInPandasWithState(step, INCREMENTAL_COLUMNS, state, "append", timeout)
 
 
 def first_news(news: DataFrame, delay: str = "3 days", order: tuple[str, ...] = ("published_at",)) -> DataFrame:
