@@ -366,3 +366,18 @@ def test_headings_in_noise_and_one_scoring_schema(spark):
     latest = spark.createDataFrame([("A", 1, 2.0)], "ticker string, date int, x double")
     scores, bad = training.batch_score(None, latest, ["x", "y"])
     assert scores.columns == ["ticker", "date", "p_bullish"] and scores.count() == 0 and bad.count() == 1
+
+
+def test_snapshots_of_whatever_is_asked(spark):
+    from tickerweave.sources import options as osrc
+
+    day, later, past = dt.date(2024, 3, 1), dt.date(2024, 4, 1), dt.date(2024, 2, 1)
+    quote = "ticker string, snapshot_date date, expiry date, side string, strike double, bid double, ask double, volume double, open_interest double, iv double"
+    rows = [(t, day, e, s, k, 1.0, 1.1, 20.0, 50.0, 0.3) for t, e in (("GOOD", later), ("OLD", past), ("NOSPOT", later)) for s in ("call", "put") for k in (9.0, 11.0)]
+    spot = spark.createDataFrame([("GOOD", day, 10.0), ("OLD", day, 10.0), ("NONE", day, 10.0)], "ticker string, snapshot_date date, spot double")
+    chain = spark.createDataFrame(rows, quote)
+    asked = spark.createDataFrame([(t, day) for t in ("GOOD", "OLD", "NOSPOT", "NONE")], "ticker string, snapshot_date date")
+    got = {r.ticker: r for r in osrc.chain_snapshots(chain, spot, asked=asked).collect()}
+    assert {t: (r.is_optionable, r.n_contracts_used) for t, r in got.items()} == {"GOOD": (True, 4), "OLD": (False, 0), "NOSPOT": (False, 0), "NONE": (False, 0)}
+    assert got["OLD"].near_expiry is None and got["OLD"].atm_iv_cm30 is None and got["GOOD"].put_call_volume_ratio == 1.0
+    assert osrc.chain_snapshots(chain, spot).count() == 3

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickerweave.functions.core import rnd
 from tickerweave.operators import evaluation as ev
 from tickerweave.operators import technical, versions as vs
+from tickerweave.operators.blocks import checkpoint_folder
 from tickerweave.plans import inputs as i
 from tickerweave.plans.inputs import BARS, BARS_BRAND, r, with_ctes
 from tickerweave.plans.technical import SQL, _BASE, _W
@@ -16,13 +19,14 @@ from tickerweave.sources import bars as bsrc
 
 
 def _read_bars(spark, sf):
-    """Bars in source naming (mixed case, NaN for missing) brought to the standard columns."""
+    """Bars in source naming (mixed case, NaN for missing), stored and read as the standard columns."""
     raw = i.bars(spark, sf).select(
         "ticker", F.col("date").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"),
         F.when(F.col("volume") > 1, F.col("close")).otherwise(F.lit(float("nan"))).alias("Close"), F.col("volume").alias("Volume"),
     )
-    by = {c.lower(): c for c in raw.columns}
-    df = raw.select("ticker", F.col("Date").alias("date"), *[bsrc.finite(by[c]).alias(c) for c in bsrc.PRICE_COLUMNS])
+    path = f"{checkpoint_folder(spark)}/bars-{uuid.uuid4().hex}"
+    raw.write.parquet(path)
+    df = bsrc.read_bars(spark, path)
     return df.select("ticker", "date", *[rnd(c).alias(c) for c in bsrc.PRICE_COLUMNS])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickerweave.functions.core import rnd
@@ -10,7 +12,10 @@ from tickerweave.operators.admission import admit
 from tickerweave.plans import inputs as i
 from tickerweave.plans.inputs import r
 from tickerweave.plans.news import _CLEAN, _DEDUP
+from tickerweave.operators.blocks import checkpoint_folder
 from tickerweave.plans.inputs import with_ctes
+from tickerweave.plans.technical import _cols, feature_sql
+from tickerweave.sources.bars import BAR_SCHEMA
 from tickerweave.streaming import jobs
 
 LIMIT, DAY = 3, 86_400
@@ -58,15 +63,31 @@ def _session(spark, sf):
     return m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.max("turn_count").alias("turns"), F.max("turn").alias("last_turn"))
 
 
+_STEPPED = ["macd", "macd_signal", "rsi_14", "obv"]
+
+
+def _incremental(spark, sf):
+    """The bars as a stream, read to its end: every ticker's state steps from bar to bar."""
+    folder = f"{checkpoint_folder(spark)}/bar-stream-{uuid.uuid4().hex}"
+    i.bars(spark, sf).write.parquet(f"{folder}/bars")
+    bars = spark.readStream.schema(BAR_SCHEMA).parquet(f"{folder}/bars")
+    out = jobs.incremental_indicators(bars)
+    sink = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/progress")
+    sink.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").select(*_cols(_STEPPED))
+
+
 QUERIES = {
     "r01_admission": _admission,
     "r02_tick_bars": _tick_bars,
+    "r03_incremental_indicators": _incremental,
     "r04_first_news": _first_news,
     "r06_session_memory": _session,
 }
 ORACLES = {
     "r01_admission": _ADMISSION_SQL,
     "r02_tick_bars": _TICK_SQL,
+    "r03_incremental_indicators": feature_sql(_STEPPED),
     "r04_first_news": with_ctes(i.NEWS, _CLEAN, _DEDUP, select="SELECT ticker, fingerprint, doc_id FROM uniq"),
     "r06_session_memory": """WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
       SELECT conv_id, count(*) AS messages, count(*) // 2 AS turns, max(turn) AS last_turn FROM k WHERE rn <= 20 GROUP BY conv_id""",

@@ -61,9 +61,14 @@ def constant_maturity(iv_near, d_near, iv_next, d_next, target: int = TARGET_DAY
     )
 
 
-def chain_snapshots(chain: DataFrame, spot: DataFrame, fetched_at=None) -> DataFrame:
-    """One snapshot row per ticker and day: near and next expiry, ATM and 30-day volatility, put/call ratios."""
+def chain_snapshots(chain: DataFrame, spot: DataFrame, fetched_at=None, asked: DataFrame | None = None) -> DataFrame:
+    """One snapshot row per ticker and day: near and next expiry, ATM and 30-day volatility, put/call ratios.
+
+    `asked` has the (ticker, snapshot_date) that get a row, by default those of the chain. One without quotes, without a
+    price or without an expiry to come is not optionable, used no contract and is NULL otherwise.
+    """
     day = ["ticker", "snapshot_date"]
+    asked = (chain if asked is None else asked).select(*day).distinct()
     live = chain.filter(F.col("expiry") > F.col("snapshot_date")).join(spot.select(*day), day, "left_semi")
     vol, oi = F.coalesce("volume", F.lit(0.0)), F.coalesce("open_interest", F.lit(0.0))
     call, put = F.col("side") == "call", F.col("side") == "put"
@@ -89,6 +94,7 @@ def chain_snapshots(chain: DataFrame, spot: DataFrame, fetched_at=None) -> DataF
         first(1, "co").alias("__co"),
         first(1, "po").alias("__po"),
     )
+    s = asked.join(s, day, "left").withColumn("n_contracts_used", F.coalesce("n_contracts_used", F.lit(0)))
     d1 = F.datediff("near_expiry", "snapshot_date").cast("double")
     d2 = F.datediff("next_expiry", "snapshot_date").cast("double")
     return s.select(
