@@ -46,7 +46,7 @@ def _levels(entries: dict[int, int]) -> list[tuple[Column, int]]:
     of its remainder in the first array, or, where another key stands there, in the next; 0 is an empty place."""
     out, left = [], entries
     while left:
-        n = 4 * len(left) + 13
+        n = 2 * len(left) + 13
         held, rest = [0] * n, {}
         for key, value in left.items():
             if held[key % n]:
@@ -69,7 +69,7 @@ def _let_all(values: list[Column], use, bound: tuple = ()) -> Column:
 
 
 class Codec:
-    """Encoding and decoding with the ranks of one vocabulary, as expressions of literal maps.
+    """Encoding with the ranks of one vocabulary, as expressions of a literal map.
 
     A piece is known by its id, which is its rank. The rank map is kept by pairs: for two pieces whose joint bytes are in
     the vocabulary, left id plus one times SHIFT plus right id leads to the rank of both together.
@@ -88,10 +88,6 @@ class Codec:
                     pairs[(left + 1) * self.SHIFT + right] = rank
         self.pairs = _levels(pairs)
         self.bytes = F.array(*[F.lit(ranks.get(bytes([b]))).cast("bigint") for b in range(256)])
-        pieces = [""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
-            pieces[rank] = piece.decode("latin-1")
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
     def encode_words(self, words: Column) -> Column:
         """Ids of each of an array of matches of the pattern. The rank map stands in the plan once, bound to a variable."""
@@ -144,11 +140,6 @@ class Codec:
         # What is used more than once is bound to a variable, because functions of arrays compute each mention anew.
         return _let(F.transform(F.split(word, ""), lambda c: F.element_at(byte_ids, F.ascii(c) + 1)), fold)
 
-    def decode(self, ids: Column) -> Column:
-        """Bytes of a sequence of ids: the binary pieces one after the other."""
-        text = _let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
-        return F.encode(text, "ISO-8859-1")
-
 
 # --- texts to words --------------------------------------------------------------------------
 
@@ -350,5 +341,10 @@ def ids_text(ids: Column) -> Column:
 
 
 def decode_ids(ids: Column, ranks_path: str = BYTE_BPE) -> Column:
-    """Binary text of a column of ids; NULL for NULL, an unknown id is an error."""
-    return Codec(read_ranks(ranks_path)).decode(ids)
+    """Binary text of a column of ids, their binary pieces one after the other; NULL for NULL, an unknown id is an error."""
+    ranks = read_ranks(ranks_path)
+    pieces = [""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.decode("latin-1")
+    held = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+    return F.encode(_let(held, lambda p: F.array_join(F.transform(ids, lambda i: F.element_at(p, i + 1)), "")), "ISO-8859-1")
