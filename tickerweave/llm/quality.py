@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from operator import eq
 
 import numpy as np
@@ -17,10 +18,12 @@ from tickerweave.llm.labelled import bounded
 MARKS = b"!?|%#$*&,.;:\"'()<>{}[]/\\=_-@\n"
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _ASCII = bytes(range(128))
+#: Words are hashed to this many places.
+CONTENT = 128
 
 
 def features(text: str | None) -> list[float]:
-    """Shares and lengths that say how a text is written, not what about."""
+    """Shares and lengths that say how a text is written, and the shares of its words by hashed place."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     size = len(raw) + 1
@@ -40,7 +43,9 @@ def features(text: str | None) -> list[float]:
         len(raw.translate(None, _ASCII)) / size,
         math.log(len(words) / (len(set(words)) + 1) + 1),
     ]
-    return out + [math.sqrt(raw.count(m) / size) for m in MARKS]
+    out += [math.sqrt(raw.count(m) / size) for m in MARKS]
+    places = np.fromiter(map(zlib.crc32, raw.lower().split()), np.int64, len(words)) % CONTENT
+    return out + np.sqrt(np.bincount(places, minlength=CONTENT) / n).tolist()
 
 
 WIDTH = len(features(""))
@@ -67,7 +72,53 @@ class Net:
         return [x.T @ d, d.sum(0), h.T @ g, np.array([g.sum()])]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(self.scaled(x))[1], -40, 40)))
+        return _sigmoid(self.forward(self.scaled(x))[1])
+
+
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk_step(net: Net, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, list[np.ndarray]]:
+    """Risk of positives, unbiased risk of negatives, and the gradient to step down by, for scaled rows."""
+    (hp, zp), (hu, zu) = net.forward(xp), net.forward(xu)
+    right = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    up, uu = -prior * _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
+    if negative >= 0:
+        gp, gu = -prior * _sigmoid(-zp) / len(zp) + up, uu
+    else:
+        gp, gu = -up, -uu
+    return right, negative, [a + b for a, b in zip(net.back(xp, hp, gp), net.back(xu, hu, gu), strict=True)]
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Share of positives among unlabelled rows from the scores of held-out rows of both, higher for likelier positives.
+
+    Above any cut, the share of unlabelled rows over that of positives is at least the prior, and equal to it where
+    no negatives are left. The cut taken has the smallest upper confidence bound of that ratio, so that cuts with few rows
+    don't win by chance. Without rows on either side the answer is a half.
+    """
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    p, u = np.sort(positive), np.sort(unlabelled)
+    cuts = np.unique(p)
+    above_p = 1 - np.searchsorted(p, cuts, "left") / len(p)
+    above_u = 1 - np.searchsorted(u, cuts, "left") / len(u)
+    slack = math.sqrt(math.log(4 / delta) / (2 * len(p))) + math.sqrt(math.log(4 / delta) / (2 * len(u)))
+    k = int(np.argmin((above_u + (1 + gamma) * slack) / above_p))
+    return float(np.clip(above_u[k] / above_p[k], 0.01, 0.99))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 3, steps: int = 1500) -> float:
+    """The class prior from positives and unlabelled rows alone. Half of both teach a network, the other half give
+    the score distributions; each round teaches with the estimate of the round before, which parts the classes better."""
+    teach = [np.arange(len(x)) % 2 == 0 for x in (positive, unlabelled)]
+    prior = 0.5
+    for _ in range(rounds):
+        net = fit(positive[teach[0]], unlabelled[teach[1]], prior, steps=steps)
+        prior = class_prior(net.score(positive[~teach[0]]), net.score(unlabelled[~teach[1]]))
+    return prior
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 4000, batch: int = 512, rate: float = 3e-3,
@@ -77,7 +128,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     Where a batch's estimate of the negative risk falls below 0, the step goes up that risk instead.
     Without positives or unlabelled rows the answer is the prior everywhere.
     """
-    rows = unlabelled if len(unlabelled) else np.zeros((1, WIDTH))
+    rows = unlabelled if len(unlabelled) else np.zeros((1, unlabelled.shape[1]))
     net = Net(rows.mean(0), rows.std(0) + 1e-3)
     if not len(positive) or not len(unlabelled):
         net.p[2][:] = 0
@@ -86,18 +137,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     p, u = net.scaled(positive), net.scaled(unlabelled)
     draw = np.random.default_rng(seed)
     first, second = [np.zeros_like(a) for a in net.p], [np.zeros_like(a) for a in net.p]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    soft = lambda z: np.logaddexp(0, z)
     for t in range(1, steps + 1):
         xp, xu = p[draw.integers(0, len(p), batch)], u[draw.integers(0, len(u), 2 * batch)]
-        (hp, zp), (hu, zu) = net.forward(xp), net.forward(xu)
-        negative = soft(zu).mean() - prior * soft(zp).mean()
-        up, uu = -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
-        if negative >= 0:
-            gp, gu = -prior * sigmoid(-zp) / len(zp) + up, uu
-        else:
-            gp, gu = -up, -uu
-        grads = [a + b for a, b in zip(net.back(xp, hp, gp), net.back(xu, hu, gu), strict=True)]
+        grads = risk_step(net, xp, xu, prior)[2]
         for k, g in enumerate(grads):
             g = g + decay * net.p[k] if k in (0, 2) else g
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -122,15 +164,15 @@ def _feature_rows(texts: DataFrame) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", most_positive: int = 20_000, most_unlabelled: int = 30_000) -> Net:
     """The network from rows that may be learned from: at most about most_positive texts labelled 1 and
-    most_unlabelled texts of any kind, drawn evenly by a hash of the id. The class prior is the share of 1 among all
-    labelled rows that may be learned from, (n1 + 1) / (n + 2). The drawn ids, bounded so, are broadcast."""
-    mine = labels.filter(may_learn & F.col(label_col).isNotNull())
-    n, good = mine.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(label_col).cast("long")), F.lit(0))).first()
-    prior = (good + 1) / (n + 2)
+    most_unlabelled texts of any kind, drawn evenly by a hash of the id. The class prior is estimated from these two sets;
+    labels of 0 are never read. The drawn ids, bounded so, are broadcast."""
+    mine = labels.filter(may_learn & (F.col(label_col) == 1))
     texts = docs.select(F.col(id_col), F.col(text_col)).filter(may_learn)
-    trusted = bounded(mine.filter(F.col(label_col) == 1).select(id_col), id_col, most_positive)
+    trusted = bounded(mine.select(id_col), id_col, most_positive)
     positive = _feature_rows(texts.join(F.broadcast(trusted.distinct()), id_col).select(text_col))
-    return fit(positive, _feature_rows(bounded(texts, id_col, most_unlabelled).select(text_col)), prior)
+    unlabelled = _feature_rows(bounded(texts, id_col, most_unlabelled).select(text_col))
+    prior = estimated_prior(positive, unlabelled)
+    return fit(positive, unlabelled, prior)
 
 
 def score_quality(docs: DataFrame, net: Net, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -87,9 +87,17 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def choose(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most: int) -> np.ndarray:
-    """Places that say most about the label: the largest likelihood ratios of term and label, at least 3 rows each."""
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+def choose(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most: int, screened: int = 1_024) -> np.ndarray:
+    """Places the machine knows: those that say most about the label alone, and those that say something beside another.
+
+    Alone: the largest likelihood ratios of term and label, at least 3 rows each. Beside another: `screened` places, half
+    of them the best alone and the rest those whose presence varies most, are tried pair by pair, and both places of
+    a pair stay when the label moves with the product of their centred presences. A group mention that is as common in
+    clean text as in toxic text gets its vector this way.
+    """
+    if not len(y):
+        return np.empty(0, np.int64)
+    flat = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=PLACES)
     a = np.bincount(flat, (weight * y)[row], PLACES)
@@ -100,7 +108,49 @@ def choose(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most: int)
     gain = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share)))
     gain[seen < 3] = 0
     best = np.argsort(-gain, kind="stable")[:most]
-    return np.sort(best[gain[best] > 10.8])  # one chance in a thousand
+    alone = best[gain[best] > 10.8]  # one chance in a thousand
+    varied = seen * (len(rows) - seen)
+    varied[alone[: screened // 2]] = 0
+    varied = np.argsort(-varied, kind="stable")[: screened - min(len(alone), screened // 2)]
+    tried = np.sort(np.concatenate([alone[: screened // 2], varied[seen[varied] >= 3]]))
+    return np.union1d(alone, tried[moves_together(rows, y, weight, tried)])
+
+
+def moves_together(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, places: np.ndarray, least: float = 36.0,
+                   chunk: int = 1_000) -> np.ndarray:
+    """Which of the places (ascending) stand in a pair whose centred product goes with the label: squared normal
+    deviate above `least`, with the label's residual after the two places' own slopes."""
+    n, m = len(rows), len(places)
+    if m < 2:
+        return np.zeros(m, bool)
+    terms = [as_terms(r, places) for r in rows]
+    mean = np.bincount(np.concatenate(terms), weight[np.repeat(np.arange(n), [len(t) for t in terms])], m) / weight.sum()
+    rest = y - (weight * y).sum() / weight.sum()
+
+    def present(lo):
+        x = np.zeros((min(chunk, n - lo), m), np.float32)
+        for k, t in enumerate(terms[lo : lo + chunk]):
+            x[k, t] = 1
+        return x - mean.astype(np.float32)
+
+    slope, size = np.zeros(m), np.zeros(m)
+    for lo in range(0, n, chunk):
+        x, w = present(lo), weight[lo : lo + chunk]
+        slope += x.T @ (w * rest[lo : lo + chunk])
+        size += (x * x).T @ w
+    slope /= np.maximum(size, 1e-9)
+    both, spread, cubed, square = (np.zeros((m, m)) for _ in range(4))
+    for lo in range(0, n, chunk):
+        x, w, e = present(lo), weight[lo : lo + chunk], rest[lo : lo + chunk]
+        both += x.T @ (x * (w * e)[:, None].astype(np.float32))
+        spread += (x * x).T @ (x * x * ((w * e) ** 2)[:, None].astype(np.float32))
+        cubed += (x * x).T @ (x * w[:, None].astype(np.float32))
+        square += (x * x).T @ (x * x * (w * w)[:, None].astype(np.float32))
+    # The product of two places also goes with the label through each place's own slope; that part is taken off.
+    both -= slope[:, None] * cubed + slope[None, :] * cubed.T
+    deviate = both**2 / np.maximum(spread, 1e-6 * square + 1e-9)
+    np.fill_diagonal(deviate, 0)
+    return (deviate > least).any(axis=1)
 
 
 def as_terms(places: np.ndarray, chosen: np.ndarray) -> np.ndarray:
