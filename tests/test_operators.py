@@ -381,3 +381,17 @@ def test_snapshots_of_whatever_is_asked(spark):
     assert {t: (r.is_optionable, r.n_contracts_used) for t, r in got.items()} == {"GOOD": (True, 4), "OLD": (False, 0), "NOSPOT": (False, 0), "NONE": (False, 0)}
     assert got["OLD"].near_expiry is None and got["OLD"].atm_iv_cm30 is None and got["GOOD"].put_call_volume_ratio == 1.0
     assert osrc.chain_snapshots(chain, spot).count() == 3
+
+
+def test_levels_of_many_symbols_in_one_sweep(spark):
+    series = spark.createDataFrame(
+        [("A", 2, 1.0), ("A", 4, None), ("A", 7, 3.0), ("B", 5, 9.0), ("C", 1, 5.0), (None, 1, 6.0)], "symbol string, date int, close double")
+    bars = spark.createDataFrame([("x", d, "A" if d % 2 else "Z") for d in (1, 2, 3, 5, 8)] + [("y", 6, None)], "ticker string, date int, symbol string")
+    got = asof.align_levels(bars, series, {"A": "a", "B": "b", "Q": "q"})
+    rows = {r.date: (r.a, r.b, r.q) for r in got.collect()}
+    none = (None, None, None)
+    assert rows == {1: none, 2: (1.0, None, None), 3: (1.0, None, None), 5: (None, 9.0, None), 6: (None, 9.0, None), 8: (3.0, 9.0, None)}
+    picked = got.select("date", asof.pick_level(F.col("symbol"), {"A": "a", "B": "b"}).alias("p")).collect()
+    assert {r.date: r.p for r in picked} == {1: None, 2: None, 3: 1.0, 5: None, 6: None, 8: None}
+    assert asof.align_levels(bars, series.limit(0), {"A": "a"}).filter("a IS NULL").count() == 6
+    assert asof.align_levels(bars.limit(0), series, {"A": "a"}).count() == 0

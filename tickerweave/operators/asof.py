@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,9 +95,30 @@ def align_symbols(bars: DataFrame, links: DataFrame, series: DataFrame, out: str
     return linked.join(level, ["__sym", "date"], "left").drop("__sym")
 
 
+def align_levels(bars: DataFrame, series: DataFrame, symbols: dict[str, str]) -> DataFrame:
+    """Bars plus one column per symbol ({symbol: column}): its close as of each bar date, for symbols that serve every ticker.
+
+    The series is read once and folded to one row per date with all symbols side by side; the days of the bars are laid
+    in, everything is swept once, and one join by date brings the levels back. A matched NULL stays NULL.
+    """
+    level = lambda s: F.max(F.when(F.col("symbol") == s, F.struct("close")))
+    wanted = series.filter(F.col("symbol").isin(*symbols)).groupBy("date").agg(*[level(s).alias(c) for s, c in symbols.items()])
+    marked = wanted.withColumn("__day", F.lit(0))
+    days = bars.select("date").distinct().withColumn("__day", F.lit(1))
+    # A struct of NULLs is not NULL, so ignoring NULLs skips dates without a row of the symbol only.
+    sweep = Window.partitionBy(F.lit(0)).orderBy("date", "__day").rowsBetween(Window.unboundedPreceding, 0)
+    swept = marked.unionByName(days, allowMissingColumns=True).select(
+        "date", "__day", *[F.last(c, ignorenulls=True).over(sweep).alias(c) for c in symbols.values()]
+    )
+    levels = swept.filter("__day = 1").select("date", *[F.col(f"{c}.close").alias(c) for c in symbols.values()])
+    return bars.join(levels, "date", "left")
+
+
+def pick_level(symbol: Column, symbols: dict[str, str]) -> Column:
+    """Of the columns that align_levels added, the one of the row's symbol; NULL for any other symbol."""
+    return F.coalesce(*[F.when(symbol == s, F.col(c)) for s, c in symbols.items()])
+
+
 def align_symbol(bars: DataFrame, series: DataFrame, symbol: str, out: str) -> DataFrame:
-    """As above for one symbol that serves every ticker; the aligned series has one row per date."""
-    cal = bars.select("date").distinct().withColumn("symbol", F.lit(symbol))
-    one = series.filter(F.col("symbol") == symbol).select("symbol", "date", "close")
-    level = asof_backward(cal, one, ["symbol"]).select("date", F.col("close").alias(out))
-    return bars.join(level, "date", "left")
+    """As above for one symbol."""
+    return align_levels(bars, series, {symbol: out})

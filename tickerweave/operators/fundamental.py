@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerweave.functions.cumulative import running_totals
 from tickerweave.functions.core import div, ffill, flag, ordered, pct_change, trailing, wide_frame
-from tickerweave.operators.asof import align_symbol, align_symbols, asof_backward, asof_forward
+from tickerweave.operators.asof import align_levels, asof_backward, asof_forward, pick_level
 from tickerweave.operators.sector import MACRO_SECTOR_ETF, MARKET_SYMBOL, lookup
 from tickerweave.operators.technical import by_ticker
 
@@ -90,12 +90,13 @@ def macro_features(
     Without a short yield the slope columns give way to the long yield alone.
     """
     links = assets.select("ticker", lookup(MACRO_SECTOR_ETF, "sector").alias("symbol"))
-    df = align_symbol(bars.select("ticker", "date"), series, vix, "macro_vix")
-    df = align_symbol(df, series, long_yield, "__long")
-    if short_yield:
-        df = align_symbol(df, series, short_yield, "__short")
-    df = align_symbol(df, series, MARKET_SYMBOL, "__market")
-    df = by_ticker(align_symbols(df, links, series, "__sector"))
+    funds = {etf: f"__fund_{k}" for k, etf in enumerate(sorted(set(MACRO_SECTOR_ETF.values())))}
+    market = funds.setdefault(MARKET_SYMBOL, "__market")
+    levels = {vix: "macro_vix", long_yield: "__long"} | ({short_yield: "__short"} if short_yield else {})
+    df = align_levels(bars.select("ticker", "date").join(links, "ticker", "left"), series, levels | funds)
+    df = df.withColumns({"__sector": pick_level(F.col("symbol"), funds), "__market": F.col(market),
+                         "__linked": F.col("symbol").isNotNull()})
+    df = by_ticker(df.drop("symbol", *[c for c in funds.values() if c != "__market"]))
     v, w = F.col("macro_vix"), trailing(20)
     n = F.count(v).over(w)
     z = F.when(n >= 5, div(v - F.avg(v).over(w), F.stddev_samp(v).over(w)))
@@ -111,7 +112,6 @@ def macro_features(
         out |= {"macro_yield_curve_slope": slope, "macro_yield_curve_inverted": flag(slope < 0)}
     else:
         out |= {"macro_10yr_yield": F.col("__long")}
-    df = df.join(links.select("ticker", F.col("symbol").isNotNull().alias("__linked")), "ticker", "left")
     return wide_frame(df, out).drop("__long", "__short", "__market", "__sector", "__linked")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerweave.functions.core import flag, full, ordered
 from tickerweave.functions.moments import rolling_rank_pct
-from tickerweave.operators.asof import align_symbol, asof_backward
+from tickerweave.operators.asof import align_levels, asof_backward
 
 IV_RANK_ROWS = 252
 MIN_OPTION_ROWS = 20
@@ -53,9 +53,8 @@ def snapshot_features(days: DataFrame, snapshots: DataFrame, realized_vol: str |
 
 
 def vix_features(days: DataFrame, series: DataFrame, vix="^VIX", vix9d="^VIX9D", vix3m="^VIX3M") -> DataFrame:
-    df = align_symbol(days.select("ticker", "date"), series, vix, "vix_level")
-    df = align_symbol(df, series, vix9d, "vix9d_level")
-    df = align_symbol(df, series, vix3m, "vix3m_level")
+    levels = {vix: "vix_level", vix9d: "vix9d_level", vix3m: "vix3m_level"}
+    df = align_levels(days.select("ticker", "date"), series, levels)
     slope = F.col("vix9d_level") - F.col("vix3m_level")
     return df.select(
         "ticker", "date", "vix_level",

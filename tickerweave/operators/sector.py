@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickerweave.functions.core import div, flag, log_return, ordered, pct_change, sma, wide_frame
 from tickerweave.functions.ewm import Ewm, add_ewm
 from tickerweave.functions.moments import rolling_beta, rolling_corr
-from tickerweave.operators.asof import align_symbol, align_symbols
+from tickerweave.operators.asof import align_levels, pick_level
 from tickerweave.operators.technical import by_ticker, trend_regime
 
 # Sector name to exchange-traded fund, two tables with different coverage.
@@ -70,8 +70,11 @@ def sector_links(assets: DataFrame) -> DataFrame:
 
 def with_context_closes(bars: DataFrame, assets: DataFrame, series: DataFrame) -> DataFrame:
     """ticker, date, close plus the aligned sector and market closes."""
-    df = align_symbols(bars.select("ticker", "date", "close"), sector_links(assets), series, "sector_close")
-    return align_symbol(df, series, MARKET_SYMBOL, "market_close")
+    funds = {etf: f"__fund_{k}" for k, etf in enumerate(sorted({*SECTOR_ETF.values(), MARKET_SYMBOL}))}
+    df = bars.select("ticker", "date", "close").join(sector_links(assets), "ticker", "left")
+    df = align_levels(df, series, funds)
+    return df.select("ticker", "date", "close", pick_level(F.col("symbol"), funds).alias("sector_close"),
+                     F.col(funds[MARKET_SYMBOL]).alias("market_close"))
 
 
 def relative_returns(prefix: str, other: str) -> dict[str, Column]:
