@@ -181,13 +181,15 @@ def noisy(spark):
     return training.assemble(ev.walk_forward(df), ["a", "b", "c", "d"]).cache()
 
 
+@pytest.mark.parametrize("in_task", [0, boosting.IN_TASK])
 @pytest.mark.parametrize("flavour,params", [
     ("xgboost", {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3, "subsample": 0.8, "colsample_bytree": 0.75}),
     ("lightgbm", {"n_estimators": 3, "num_leaves": 7, "learning_rate": 0.3, "subsample": 0.8, "colsample_bytree": 1.0}),
 ])
-def test_boosting_equals_loops_over_nodes_and_cuts(noisy, monkeypatch, flavour, params):
+def test_boosting_equals_loops_over_nodes_and_cuts(noisy, monkeypatch, flavour, params, in_task):
     from tickerweave.operators import blocks
 
+    monkeypatch.setattr(boosting, "IN_TASK", in_task)
     monkeypatch.setattr(boosting, "CUT", 2)
     monkeypatch.setattr(blocks, "LEAST_WORK", 200)
     sets = [ev.is_train(f) for f in range(2)]

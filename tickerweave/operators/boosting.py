@@ -3,7 +3,8 @@
 Features are bin numbers. A job walks the rows down the trees grown so far and adds up gradient, curvature and row count per
 (fit, node, feature, bin); of two children only the one with less curvature is summed, the other is its parent less that.
 Leaves get second-order values. Two flavours: level by level to a depth, or best leaf first up to a number of leaves. Sums and
-trees are bounded by fits, leaves, features and bins; rows never leave their tasks.
+trees are bounded by fits, leaves, features and bins; rows never leave their tasks. A fit of at most IN_TASK rows would spend its
+time on starting jobs; such fits are grown by the same steps in one task each.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from tickerweave.operators.blocks import add_up, to_blocks, use_checkpoints
 
 BINS = 32
+#: Rows of a fit that is grown in one task: 4 MB of bins at 83 features.
+IN_TASK = 50_000
 #: Rounds after which the rows' scores are cut off from what they were computed from.
 CUT = 20
 
@@ -147,14 +150,14 @@ def chosen(key: np.ndarray, seed: int, share: float) -> np.ndarray:
 
 def best_split(hist: np.ndarray, sums: np.ndarray, flavour: Flavour):
     """(gain, feature, cut, sums of the left side) of the best split of a node from its sums (3, features, bins); gain 0
-    where no split helps. Of equal gains the first feature and cut wins."""
+    where no split helps. Of gains that are equal but for the order of summing the first feature and cut wins."""
     left = np.cumsum(hist, axis=2)[:, :, :-1]
     right = sums[:, None, None] - left
     value = lambda s: s[0] ** 2 / np.maximum(s[1] + flavour.l2, 1e-12)
     gain = value(left) + value(right) - value(sums)
     ok = (np.minimum(left[1], right[1]) >= flavour.least_curvature) & (np.minimum(left[2], right[2]) >= max(flavour.least_rows, 1))
     gain = np.where(ok, gain, 0.0)
-    f, c = divmod(int(gain.argmax()), gain.shape[1]) if gain.size else (0, 0)
+    f, c = divmod(int((gain >= gain.max() * (1 - 1e-9)).argmax()), gain.shape[1]) if gain.size else (0, 0)
     return (float(gain[f, c]), f, c, left[:, f, c].copy()) if gain.size else (0.0, 0, 0, sums)
 
 
@@ -299,6 +302,21 @@ def boost(blocks: RDD, fits: list[Fit], edges: list[np.ndarray], bins: int = BIN
     def binned(b):
         return {**{k: v for k, v in b.items() if k != "x"}, "bins": bin_numbers(b["x"], edges)}, np.tile(starts, (len(b["y"]), 1))
 
+    if not rungs and max((n[f.rows] for f in fits), default=0) <= IN_TASK:
+        for k, trees in _grown_in_tasks(blocks.map(binned), fits, bins).collect():
+            models[k].trees = trees
+
+        def scored(s):
+            block, margin = s
+            for k, m in enumerate(models):
+                for t in m.trees:
+                    margin[:, k] += t["value"][_walk(t, block["bins"])]
+            return block, margin
+
+        state = blocks.map(binned).map(scored).persist(StorageLevel.MEMORY_AND_DISK)
+        state.count()
+        return models, state
+
     state, old = blocks.map(binned).persist(StorageLevel.MEMORY_AND_DISK), None
     alive = set(range(len(fits)))
     for turn in range(max((f.rounds for f in fits), default=0)):
@@ -334,6 +352,33 @@ def boost(blocks: RDD, fits: list[Fit], edges: list[np.ndarray], bins: int = BIN
     return models, state
 
 
+def _grown_in_tasks(state: RDD, fits: list[Fit], bins: int) -> RDD:
+    """(number of the fit, its trees): every fit's training rows, IN_TASK at most, come together in a task of their own."""
+
+    def training_rows(s):
+        block, margin = s
+        for k, fit in enumerate(fits):
+            at = np.flatnonzero(block["sets"][:, fit.rows])
+            yield k, (block["key"][at], block["bins"][at], block["y"][at], margin[at, k])
+
+    def grow(item):
+        k, parts = item
+        fit = fits[k]
+        key, x, y, margin = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((y, key))  # the same sums however the rows came in
+        block = {"key": key[order], "bins": x[order], "y": y[order], "sets": np.ones((len(y), fit.rows + 1), bool)}
+        margin, trees = margin[order][:, None], []
+        for turn in range(fit.rounds):
+            g = Growth(fit, turn, x.shape[1])
+            while g.wanted:
+                g.receive(_histograms({0: g}, [fit], turn, bins)((block, margin))[0])
+            trees.append(g.finished(float(fit.params["learning_rate"])))
+            margin[:, 0] += trees[-1]["value"][_walk(trees[-1], block["bins"])]
+        return k, trees
+
+    return state.flatMap(training_rows).groupByKey(len(fits), partitionFunc=int).map(grow)
+
+
 def probabilities(state: RDD) -> RDD:
     """Blocks with the probability of every fit as p."""
     return state.map(lambda s: {**s[0], "p": _sigmoid(s[1])})
