@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickerweave.operators import boosting, explain, linear, selection, technical, training
+from tickerweave.operators import boosting, explain, forest, linear, selection, technical, training
 from tickerweave.operators import evaluation as ev
 from tickerweave.operators.blocks import add_up, to_blocks
 from tickerweave.plans import learning
@@ -78,6 +78,44 @@ def test_model_files(spark, split, tmp_path):
     assert training.importance(model, FEATS).count() == 3
 
 
+def test_forests_of_few_rows_grow_in_tasks(spark, split, monkeypatch):
+    params = {"n_estimators": 6, "max_depth": 7}
+    model = training.fit(split, "random_forest", params)
+    again = training.fit(split.repartition(9), "random_forest", params)
+    assert isinstance(model, forest.Forest) and len(model.trees) == 6
+    for a, b in zip(model.trees, again.trees):  # wherever the rows lie
+        assert all(np.array_equal(a[k], b[k]) for k in a)
+    for t in model.trees:
+        leaf = t["feature"] < 0
+        assert t["cover"].min() >= 5 and t["cover"][leaf].sum() == t["cover"][0]
+        inner = np.flatnonzero(~leaf)
+        assert (t["cover"][t["left"][inner]] + t["cover"][t["left"][inner] + 1] == t["cover"][inner]).all()
+        assert (t["cover"] * t["value"])[leaf].sum() == pytest.approx(t["cover"][0] * t["value"][0])
+    p, q = (training.score(m, split).orderBy("ticker", "date").select("p").toPandas()["p"].to_numpy() for m in (model, model.to_mllib()))
+    assert np.abs(p - q).max() < 1e-12
+    monkeypatch.setattr(forest, "IN_TASK", 100)
+    assert not isinstance(training.fit(split, "random_forest", params), forest.Forest)
+
+
+def test_a_tree_takes_the_best_gini_split():
+    class Once:
+        def poisson(self, rate, n):
+            return np.ones(n, int)
+
+        def random(self, size):
+            return np.zeros(size)
+
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(60, 3)).round(2), (rng.random(60) < 0.5).astype(float)
+    edges = [forest.cuts(x[:, f], 100) for f in range(3)]
+    bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+    tree = forest.grow_tree(bins, y, edges, Once(), 1, 5, 3)
+    gini = lambda v: 2 * len(v) * v.mean() * (1 - v.mean())
+    best = min((gini(y[x[:, f] <= c]) + gini(y[x[:, f] > c]), f, c) for f in range(3) for c in edges[f] if 5 <= (x[:, f] <= c).sum() <= 55)
+    assert (tree["feature"][0], tree["threshold"][0]) == best[1:] and list(tree["left"]) == [1, -1, -1]
+    assert len(forest.cuts(np.repeat([1.0, 2.0, 5.0], 40))) == 2 and len(forest.cuts(x[:, 0])) == 31
+
+
 def _subset_value(tree, x, known, node=0):
     """Mean value of the leaves that a row reaches when only the known features are looked at."""
     f = tree["feature"][node]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerweave.operators import boosting, training
+from tickerweave.operators.forest import Forest
 from tickerweave.operators.blocks import checkpoint_folder
 from tickerweave.operators.portfolio import _pairs
 
@@ -78,6 +79,9 @@ def ensemble(model) -> tuple[list[dict], float]:
             cuts = np.array([model.edges[f][c] if f >= 0 and c < len(model.edges[f]) else np.inf for f, c in zip(t["feature"], t["cut"])])
             out.append({"feature": t["feature"], "threshold": cuts, "left": t["left"], "right": t["left"] + 1, "value": t["value"], "cover": t["cover"]})
         return out, model.start
+    if isinstance(model, Forest):
+        n = len(model.trees)
+        return [{**{k: t[k] for k in ("feature", "threshold", "left", "cover")}, "right": t["left"] + 1, "value": t["value"] / n} for t in model.trees], 0.0
     forest = model.stages[-1]
     spark = SparkSession.getActiveSession()
     path = f"{checkpoint_folder(spark)}/forest-{uuid.uuid4().hex}"
@@ -153,19 +157,22 @@ def tree_attribution(model, rows: DataFrame, features: list[str], chunk: int = 1
     Every row meets the ensemble in chunks of trees; chunks are spread over the tasks and their vectors added up by row.
     """
     trees, start = ensemble(model)
-    paths = [leaf_paths(t) for t in trees]
-    base = start + float(sum((p[0] * p[4].prod(axis=1)).sum() for p in paths))
-    sent = rows.sparkSession.sparkContext.broadcast(paths)
-    chunks = max(1, -(-len(paths) // chunk))
+    # The shares on the way to a leaf multiply to its part of the tree's rows.
+    base = start + float(sum((t["value"] * t["cover"])[t["feature"] < 0].sum() / t["cover"][0] for t in trees))
+    sent = rows.sparkSession.sparkContext.broadcast(trees)
+    chunks = max(1, -(-len(trees) // chunk))
     df = rows.select("ticker", "date", F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    df = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition("ticker", "date", "chunk")
+    df = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition("chunk")
 
     def attribute(frames):
         for f in frames:
-            out = []
-            for x, c in zip(f["x"], f["chunk"]):
-                out.append(sum((path_attribution(p, np.asarray(x, float)) for p in sent.value[c * chunk : (c + 1) * chunk]), np.zeros(len(features))))
-            yield pd.DataFrame({"ticker": f["ticker"], "date": f["date"], "a": out})
+            out = np.zeros((len(f), len(features)))
+            for c, at in f.groupby("chunk").indices.items():
+                for t in sent.value[c * chunk : (c + 1) * chunk]:
+                    paths = leaf_paths(t)
+                    for k in at:
+                        out[k] += path_attribution(paths, np.asarray(f["x"].iloc[k], float))
+            yield pd.DataFrame({"ticker": f["ticker"], "date": f["date"], "a": list(out)})
 
     parts = df.mapInPandas(attribute, "ticker string, date date, a array<double>")
     sums = parts.groupBy("ticker", "date").agg(vector_to_array(Summarizer.sum(array_to_vector("a"))).alias("a"))

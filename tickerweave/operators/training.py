@@ -1,9 +1,10 @@
 """Direction models: builders, walk-forward evaluation, calibration, search, scoring, storage.
 
 One model is fitted for all tickers together; folds are cut per ticker, so
-every fold trains on the past of each ticker only. Forests are MLlib's; boosted
-trees (boosting) and the evaluation of linear models (linear) fit all folds,
-members and trials at once, a few sums per pass.
+every fold trains on the past of each ticker only. Forests grow a tree per task
+(forest), or by MLlib where rows are many; boosted trees (boosting) and the
+evaluation of linear models (linear) fit all folds, members and trials at once,
+a few sums per pass.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerweave.operators import boosting, linear
+from tickerweave.operators import boosting, forest, linear
 from tickerweave.operators import evaluation as ev
 from tickerweave.operators.blocks import out_of_fold, to_blocks
 from tickerweave.session import reuse
@@ -67,13 +68,15 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
 
 
-def fit(train: DataFrame, name: str, params: dict | None = None) -> PipelineModel | boosting.Boosted:
+def fit(train: DataFrame, name: str, params: dict | None = None) -> PipelineModel | boosting.Boosted | forest.Forest:
     """Fits on `features` and `label`. The linear model is standardised and weighted to balanced classes."""
     if name in boosting.FLAVOURS:
         return boosting.fit_sets(train, [F.lit(True)], _fits(name, params, 1))[0][0]
     learner = estimator(name, params)
     if name != "logistic_regression":
-        return Pipeline(stages=[learner]).fit(train)
+        grown = forest.fit(train, learner.getNumTrees(), learner.getMaxDepth(), learner.getMinInstancesPerNode(), SEED)
+        # MLlib passes over the rows once per level and group of nodes, so they are spread over all cores first.
+        return grown or Pipeline(stages=[learner]).fit(train.repartition("ticker", "date"))
     c = train.groupBy("label").count().collect()
     n, k = sum(r["count"] for r in c), len(c)
     weight = F.lit(1.0)
@@ -91,7 +94,7 @@ def _fits(name: str, params: dict | None, sets: int) -> list[boosting.Fit]:
 
 def score(model, df: DataFrame, out: str = "p") -> DataFrame:
     """Adds the probability of a rise."""
-    if isinstance(model, boosting.Boosted):
+    if isinstance(model, (boosting.Boosted, forest.Forest)):
         return model.transform(df, out)
     if "weight" not in df.columns:
         df = df.withColumn("weight", F.lit(1.0))
@@ -283,7 +286,7 @@ def search(split: DataFrame, name: str, trials: int = 30, folds: int = 3, parall
 
 def importance(model: PipelineModel, features: list[str]) -> DataFrame:
     """Importance of trees or the size of linear coefficients, one row per feature."""
-    if isinstance(model, boosting.Boosted):
+    if isinstance(model, (boosting.Boosted, forest.Forest)):
         values = model.importance()
         return SparkSession.getActiveSession().createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
     last = model.stages[-1]
@@ -297,6 +300,7 @@ def save_version(model: PipelineModel, base: str, ticker: str, name: str, horizo
     if isinstance(model, boosting.Boosted):
         model.save(f"{path}/model")
     else:
+        model = model.to_mllib() if isinstance(model, forest.Forest) else model
         model.write().overwrite().save(f"{path}/model")
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
     return path
