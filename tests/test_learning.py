@@ -345,3 +345,40 @@ def test_registered_queries_run_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(explain, "shapley_attribution", stop)
     args, kwargs = call("m16_shapley_attribution")
     assert len(args) == 3 and not kwargs
+
+
+def test_long_histories_are_numbered_without_sorting_a_ticker_in_one_task(spark):
+    from tickerweave.functions.cumulative import row_numbers
+
+    rng = np.random.default_rng(6)
+    rows = [(t, int(d), k) for t, n in (("A", 3000), ("B", 7), (None, 400)) for k, d in enumerate(rng.permutation(n) * 3)]
+    df = spark.createDataFrame(rows, "ticker string, date long, k int")
+    names = ["rn", "n_rows", "min_train", "fold_size", "test_fold", "embargo"]
+    got, want = ({(r.ticker, r.date, r.k): [r[c] for c in names] for r in ev.walk_forward(df, long=x).collect()} for x in (True, False))
+    assert got == want and len(got) == len(rows)
+    assert ev.walk_forward(df, long=True).columns == ev.walk_forward(df).columns
+    tied = [("A", d) for d in [None, 5, 5, 1, None, 5, 9]] + [("B", None)] * 3
+    out = row_numbers(spark.createDataFrame(tied, "ticker string, date int"), ["ticker"], "date", "rn", "n").collect()
+    place = {t: [r.date for r in sorted(out, key=lambda r: r.rn) if r.ticker == t] for t in "AB"}
+    assert place == {"A": [None, None, 1, 5, 5, 5, 9], "B": [None] * 3}
+    assert sorted((r.ticker, r.rn, r.n) for r in out) == [("A", k, 7) for k in range(7)] + [("B", k, 3) for k in range(3)]
+    # The window runs inside the pieces of a ticker.
+    import re
+
+    plan = ev.walk_forward(df, long=True)._jdf.queryExecution().optimizedPlan().toString()
+    ranks = [line for line in plan.splitlines() if "row_number()" in line and "Window [" in line]
+    assert len(ranks) == 1 and re.search(r"\[ticker#\d+, __b#\d+\]", ranks[0])
+
+
+def test_fold_statistics_equal_numpy(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 3)) + [0.0, 50.0, -3.0]
+    x[:, 2] += x[:, 0]
+    y, f = (x[:, 0] > 0).astype(float), rng.integers(0, 3, 300)
+    df = spark.createDataFrame([(int(k), *map(float, v), float(w)) for k, v, w in zip(f, x, y)], "f int, a double, b double, c double, label double")
+    stats = selection.fold_statistics(df.repartition(5), FEATS, "label", F.col("f"), 3)
+    for k, s in stats.items():
+        m = np.corrcoef(np.column_stack([x, y])[f <= k].T)
+        assert s.n == (f <= k).sum() and s.var == pytest.approx(x[f <= k].var(axis=0, ddof=1))
+        assert s.corr == pytest.approx(np.abs(m[:3, :3])) and s.target == pytest.approx(np.abs(m[:3, 3]))
+    assert sorted(stats) == [0, 1, 2]

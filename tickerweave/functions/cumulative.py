@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,35 @@ BUCKETS = 128
 SALTS = 32
 
 
+def _bucket(cuts: Column, value: Column) -> Column:
+    """How many of the BUCKETS - 1 sorted cuts lie below the value, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(BUCKETS.bit_length() - 1))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at))
+
+
+def row_numbers(df: DataFrame, part: list[str], order: str, number: str, count: str) -> DataFrame:
+    """Adds the 0-based place of a row in the order of its group, rows with equal `order` in any order, and the group's size.
+
+    As in running_totals no task sorts a whole group: groups are cut at approximate quantiles of `order`, a number or date.
+    Keys and `order` may be NULL.
+    """
+    shares = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
+    same = lambda name: reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"__{name}{k}")) for k, p in enumerate(part)])
+    keys = lambda name: [F.col(p).alias(f"__{name}{k}") for k, p in enumerate(part)]
+    groups = df.groupBy(*keys("g")).agg(F.percentile_approx(order, shares, F.lit(10 * BUCKETS)).alias("__cuts"), F.count(F.lit(1)).alias(count))
+    groups = groups.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = df.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int"))
+    d = d.join(groups, same("g") & (F.col("__salt") == F.col("__of")))
+    d = d.select(*df.columns, count, _bucket(F.col("__cuts"), F.col(order)).alias("__b"))
+    sums = d.groupBy(*keys("s"), F.col("__b").alias("__in")).agg(F.count(F.lit(1)).alias("__n"))
+    names = [f"__s{k}" for k in range(len(part))]
+    before = Window.partitionBy(*names).orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*names, "__in", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    d = d.join(sums, same("s") & (F.col("__b") == F.col("__in")))
+    inside = Window.partitionBy(*part, "__b").orderBy(order)
+    return d.select(*df.columns, (F.col("__before") + F.row_number().over(inside) - 1).alias(number), count)
+
+
 def running_totals(df: DataFrame, part: list[str], order: str, totals: dict[str, Column]) -> DataFrame:
     """Adds, per output name, the sum of the column over all rows with a smaller `order` value.
 
@@ -23,7 +54,7 @@ def running_totals(df: DataFrame, part: list[str], order: str, totals: dict[str,
     value = F.col(order)
     bounds = bounds.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     d = df.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int"))
-    d = d.join(bounds, [*part, "__salt"]).drop("__salt").withColumn("__b", F.size(F.filter("__cuts", lambda c: c < value))).drop("__cuts")
+    d = d.join(bounds, [*part, "__salt"]).drop("__salt").withColumn("__b", _bucket(F.col("__cuts"), value)).drop("__cuts")
     d = d.withColumns({f"__v_{k}": c for k, c in totals.items()})
     sums = d.groupBy(*part, "__b").agg(*[F.sum(f"__v_{k}").alias(k) for k in totals])
     before = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

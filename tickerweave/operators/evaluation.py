@@ -6,23 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerweave.functions.core import div
-from tickerweave.functions.cumulative import running_totals
+from tickerweave.functions.cumulative import row_numbers, running_totals
 
 EPS = 2.220446049250313e-16
 
 
-def walk_forward(df: DataFrame, folds: int = 5, min_train: float = 0.4, embargo: int = 0) -> DataFrame:
+def walk_forward(df: DataFrame, folds: int = 5, min_train: float = 0.4, embargo: int = 0, long: bool = False) -> DataFrame:
     """Adds `rn`, `test_fold` and the row count of the ticker.
 
     Row r (0-based) is tested in fold f when min_train + f*size <= r < min_train
     + (f+1)*size and belongs to the training rows of every later fold; the
     remainder behind the last fold is never tested (test_fold NULL). `embargo`
-    rows before a test block are kept out of its training rows.
+    rows before a test block are kept out of its training rows. `long`: a
+    ticker may have more rows than a task should sort; `date` is then a number
+    or date, and df is read three times.
     """
-    w = Window.partitionBy("ticker")
-    rn = F.row_number().over(w.orderBy("date")) - 1
-    n = F.count(F.lit(1)).over(w)
-    df = df.withColumns({"rn": rn, "n_rows": n})
+    if long:
+        df = row_numbers(df, ["ticker"], "date", "rn", "n_rows")
+    else:
+        w = Window.partitionBy("ticker")
+        df = df.withColumns({"rn": F.row_number().over(w.orderBy("date")) - 1, "n_rows": F.count(F.lit(1)).over(w)})
     first = F.floor(F.col("n_rows") * min_train).cast("int")
     size = F.greatest(F.lit(1), F.floor((F.col("n_rows") - first) / folds).cast("int"))
     fold = F.floor((F.col("rn") - first) / size).cast("int")

@@ -10,13 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerweave.functions.cumulative import running_totals
-from tickerweave.operators.portfolio import _pairs
 from tickerweave.session import reuse
 
 MAX_CORRELATION = 0.95
@@ -56,12 +56,23 @@ def fold_statistics(df: DataFrame, features: list[str], label: str = "label", fo
     if mean is None or mean["m"] is None:
         return {}
     centred = F.array(*[F.col(c) - F.lit(float(m)) for c, m in zip(names, mean["m"])])
-    v = x.select("f", centred.alias("c"))
-    rows = v.groupBy("f").agg(
-        F.count(F.lit(1)).alias("n"),
-        vector_to_array(Summarizer.sum(array_to_vector("c"))).alias("s"),
-        vector_to_array(Summarizer.sum(array_to_vector(_pairs(F.col("c"), lambda a, b: a * b)))).alias("g"),
-    ).collect()
+    k = len(names)
+    upper = np.triu_indices(k)
+
+    def add_up(batches):
+        sums = {}
+        for b in batches:
+            of, c = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            for f in np.unique(of).tolist():
+                z = c[of == f]
+                n, s, g = sums.get(f, (0, 0.0, 0.0))
+                sums[f] = n + len(z), s + z.sum(axis=0), g + z.T @ z
+        out = [(f, n, s.tolist(), g[upper].tolist()) for f, (n, s, g) in sums.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(("f", "n", "s", "g"), r)) for r in out], pa.schema(
+            {"f": pa.int32(), "n": pa.int64(), "s": pa.list_(pa.float64()), "g": pa.list_(pa.float64())}.items()))
+
+    v = x.select("f", centred.alias("c")).mapInArrow(add_up, "f int, n long, s array<double>, g array<double>")
+    rows = v.groupBy("f").agg(F.sum("n").alias("n"), *[vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c) for c in ("s", "g")]).collect()
     part = {r["f"]: r for r in rows}
     out, n, s, g = {}, 0.0, 0.0, 0.0
     for f in range(folds):

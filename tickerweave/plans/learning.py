@@ -95,7 +95,7 @@ def _lines(spark, sf):
 
 
 def _stable_lines(spark, sf):
-    stable, audit = selection.stability_select(ev.walk_forward(_lines(spark, sf)), list(_LINES))
+    stable, audit = selection.stability_select(ev.walk_forward(_lines(spark, sf), long=True), list(_LINES))
     return _positions(selection.selection_audit(audit), stable)
 
 
