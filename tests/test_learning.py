@@ -382,3 +382,15 @@ def test_fold_statistics_equal_numpy(spark):
         assert s.n == (f <= k).sum() and s.var == pytest.approx(x[f <= k].var(axis=0, ddof=1))
         assert s.corr == pytest.approx(np.abs(m[:3, :3])) and s.target == pytest.approx(np.abs(m[:3, 3]))
     assert sorted(stats) == [0, 1, 2]
+
+
+def test_partitions_of_bars_do_not_grow_with_the_session(spark):
+    df = spark.range(100).withColumn("ticker", F.col("id").cast("string"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for asked, want in ((3, 3), (5000, 4 * spark.sparkContext.defaultParallelism)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(asked))
+            parted = technical.by_ticker(df)
+            assert parted.rdd.getNumPartitions() == want and parted.count() == 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)

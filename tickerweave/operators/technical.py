@@ -323,12 +323,14 @@ def add_hurst(df: DataFrame, lags: int = 15, out: str = "hurst_30") -> DataFrame
 def by_ticker(df: DataFrame) -> DataFrame:
     """One explicit exchange on ticker that every later frame reuses.
 
-    The number of partitions is pinned to the session's: bars are few bytes per
-    row but each row feeds dozens of frames, so size-based coalescing would
-    leave cores idle.
+    The number of partitions is pinned: bars are few bytes per row but each row
+    feeds dozens of frames, so size-based coalescing would leave cores idle. It
+    is the session's, but at most four per core: a session set for large inputs
+    asks for many, and each costs seconds of setting up the frames, even empty.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "ticker")
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(n, 4 * spark.sparkContext.defaultParallelism), "ticker")
 
 
 # Block -> (builder, blocks whose columns it reads).
