@@ -96,6 +96,23 @@ def test_byte_bpe(spark, many):
     assert byte_bpe.encode_texts(frame(spark, [])).count() == 0
 
 
+def test_byte_bpe_spells_ids_and_what_they_decode_to(spark):
+    rows = [*enumerate(TEXTS), (0, "twice"), (None, "no id")]
+    got = byte_bpe.encode_texts(frame(spark, rows, ["ids_text"]), keep_text=False, back=True).collect()
+    own = tokens.encoder(tokens.read_ranks())
+    want = [own.encode_ordinary(t or "") for _, t in rows]
+    assert bag((r.doc_id, tuple(r.ids), r.ids_text, bytes(r.ids_bytes)) for r in got) == bag(
+        (k, tuple(ids), " ".join(map(str, ids)), (t or "").encode()) for (k, t), ids in zip(rows, want, strict=True))
+
+
+def test_byte_bpe_table_gives_each_pair_a_place():
+    entries = {(a + 1) << 17 | b: (a * 31 + b) % 50_000 for a in range(0, 9_000, 7) for b in range(0, 50_000, 997)}
+    shifts, cells, n = byte_bpe._table(entries)
+    for key, value in entries.items():
+        assert cells[key % n + shifts[key % len(shifts)]] == key << 17 | value
+    assert len(cells) <= 1.6 * len(entries) and len(cells) - cells.count(0) == len(entries)
+
+
 def test_near_duplicates(spark, many):
     merged = []  # rows that share an id are one node: the plain version wants them to be alike
     for i, t in many:

@@ -21,7 +21,7 @@ from tickerweave.llm.tokens import BYTE_BPE, PATTERN, read_ranks
 #: White space of the published pattern, spelled out because engines differ in what \\s covers.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most words whose ids are kept ready and broadcast; other words are encoded once for each batch of texts.
-FREQUENT = 1_000_000
+FREQUENT = 500_000
 #: Tasks that encode them.
 WAYS = 96
 #: Bytes of text in a batch.
@@ -37,25 +37,32 @@ def as_bytes(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-#: Bits that a rank takes beside its key.
-_RANK_BITS = 17
-
-
-def _levels(entries: dict[int, int]) -> list[tuple[Column, int]]:
-    """A map from long keys as literal arrays and their sizes. A key stands, with its value in the lower bits, at the place
-    of its remainder in the first array, or, where another key stands there, in the next; 0 is an empty place."""
-    out, left = [], entries
-    while left:
-        n = 2 * len(left) + 13
-        held, rest = [0] * n, {}
-        for key, value in left.items():
-            if held[key % n]:
-                rest[key] = value
-            else:
-                held[key % n] = key << _RANK_BITS | value
-        out.append((F.from_json(F.lit(json.dumps(held)), "array<bigint>"), n))
-        left = rest
-    return out
+#: Bits of a rank, which is also the id of a piece, and of the place where a piece begins in its word.
+_RANK_BITS, _PLACE_BITS = 17, 23
+_RANK, _LOW = (1 << _RANK_BITS) - 1, (1 << _RANK_BITS + _PLACE_BITS) - 1
+
+
+def _table(entries: dict[int, int]) -> tuple[list[int], list[int], int]:
+    """(shifts, cells, n): a map in which every key has a place of its own, so that one look finds it. A key stands, with its
+    value in the lower bits, in cell key % n + shifts[key % len(shifts)]; 0 is an empty cell."""
+    n = len(entries) + 13
+    while True:
+        buckets = {}
+        for key in entries:
+            buckets.setdefault(key % (len(entries) // 3 + 1), []).append(key)
+        if all(len({k % n for k in keys}) == len(keys) for keys in buckets.values()):
+            break
+        n += 1  # two keys of a bucket would always meet
+    most = n // 2 + 13
+    shifts, cells, shift = [0] * (len(entries) // 3 + 1), [0] * (n + most), 0
+    for bucket in sorted(buckets, key=lambda b: -len(buckets[b])):
+        at = [k % n for k in buckets[bucket]]
+        while any(cells[x + shift] for x in at):
+            shift = (shift + 7919) % most
+        shifts[bucket] = shift
+        for x, key in zip(at, buckets[bucket], strict=True):
+            cells[x + shift] = key << _RANK_BITS | entries[key]
+    return shifts, cells, n
 
 
 def _let(value: Column, use) -> Column:
@@ -71,14 +78,14 @@ def _let_all(values: list[Column], use, bound: tuple = ()) -> Column:
 class Codec:
     """Encoding with the ranks of one vocabulary, as expressions of a literal map.
 
-    A piece is known by its id, which is its rank. The rank map is kept by pairs: for two pieces whose joint bytes are in
-    the vocabulary, left id plus one times SHIFT plus right id leads to the rank of both together.
+    A piece is known by its id, which is its rank. The rank map is kept by pairs: two pieces whose joint bytes are in
+    the vocabulary, left id plus one times SHIFT plus right id lead to the rank of both together.
     """
 
     SHIFT = 1 << _RANK_BITS
 
     def __init__(self, ranks: dict[bytes, int]):
-        if max(ranks.values()) >= 1 << _RANK_BITS:
+        if max(ranks.values()) >= _RANK - 1:
             raise ValueError(f"ranks of {_RANK_BITS} bits at most")
         pairs = {}
         for piece, rank in ranks.items():
@@ -86,59 +93,76 @@ class Codec:
                 left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
                 if left is not None and right is not None:
                     pairs[(left + 1) * self.SHIFT + right] = rank
-        self.pairs = _levels(pairs)
+        self.end = max(ranks.values()) + 1  # stands before and after a word; makes no pair
+        shifts, cells, self.n = _table(pairs)
+        self.buckets = len(shifts)
+        # Indices of arrays begin with 1.
+        self.shifts = F.from_json(F.lit(json.dumps([x + 1 for x in shifts])), "array<bigint>")
+        self.cells = F.from_json(F.lit(json.dumps(cells)), "array<bigint>")
         self.bytes = F.array(*[F.lit(ranks.get(bytes([b]))).cast("bigint") for b in range(256)])
 
     def encode_words(self, words: Column) -> Column:
-        """Ids of each of an array of matches of the pattern. The rank map stands in the plan once, bound to a variable."""
-        values = [self.bytes, *[held for held, _ in self.pairs]]
-        return _let_all(values, lambda bound: F.transform(words, lambda w: self._encode(as_bytes(w), bound[1:], bound[0])))
+        """Ids of each of an array of matches of the pattern, given as texts. The rank map stands in the plan once, bound to
+        a variable."""
+        return self.encode_codes(F.transform(words, lambda w: F.transform(F.split(as_bytes(w), ""), F.ascii)))
 
-    def _encode(self, word: Column, levels: list[Column], byte_ids: Column) -> Column:
+    def encode_codes(self, words: Column) -> Column:
+        """encode_words for matches given by their UTF-8 bytes, arrays of 0 to 255 or, as in signed bytes, -128 to 127."""
+        return _let_all([self.bytes, self.shifts, self.cells], lambda bound: F.transform(words, lambda w: self._encode(w, *bound)))
+
+    def _encode(self, codes: Column, byte_ids: Column, shifts: Column, cells: Column) -> Column:
         """Starts from the bytes of a word and merges, one step of the fold at a time, the neighbours whose joint piece has
-        the lowest rank, the first of them at a tie."""
-        def rank_of(left, right):
-            key = (left + 1) * F.lit(self.SHIFT) + right
+        the lowest rank, the first of them at a tie.
+
+        A piece is one number: the rank that it makes with the piece after it (_RANK: none), the place where it begins, its
+        id. So the least number is the next pair to merge.
+        """
+        rank_bits, place_bits = F.lit(_RANK).cast("bigint"), F.lit(_LOW - _RANK)
 
-            def look(k):
-                if k == len(levels):
-                    return F.lit(None).cast("bigint")
-                held = F.element_at(levels[k], (key % F.lit(self.pairs[k][1]) + 1).cast("int"))
-                there = F.shiftright(held, _RANK_BITS) == key
-                return F.when(held == 0, F.lit(None).cast("bigint")).when(there, held.bitwiseAND(F.lit((1 << _RANK_BITS) - 1))).otherwise(look(k + 1))
+        def above(left, right, rest):
+            """rest, with the rank of left and right above it."""
+            def from_key(key):
+                def from_cell(cell):
+                    rank = F.when(F.shiftright(cell, _RANK_BITS) == key, cell.bitwiseAND(rank_bits)).otherwise(rank_bits)
+                    return F.shiftleft(rank.cast("bigint"), _RANK_BITS + _PLACE_BITS).bitwiseOR(rest)
 
-            return look(0)
+                shift = F.element_at(shifts, (key % F.lit(self.buckets) + 1).cast("int"))
+                return _let(F.element_at(cells, (key % F.lit(self.n) + shift).cast("int")), from_cell)
+
+            return _let((left + 1) * F.lit(self.SHIFT) + right, from_key)
+
+        def piece(x):
+            return x.bitwiseAND(rank_bits)
 
         def start(ids):
-            neighbours = F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids) - 1), rank_of)
-            return F.struct(ids.alias("piece"), neighbours.alias("rank"))
-
-        def merge(s, _):
-            piece, rank = s["piece"], s["rank"]
-
-            def at(place, low):
-                n = F.size(piece)
-                none = F.array().cast("array<bigint>")
-                return F.struct(
-                    F.concat(F.slice(piece, 1, place - 1), F.array(low), F.slice(piece, place + 2, n)).alias("piece"),
-                    F.concat(
-                        F.when(place > 2, F.slice(rank, 1, place - 2)).otherwise(none),
-                        F.when(place > 1, F.array(rank_of(F.element_at(piece, place - 1), low))).otherwise(none),
-                        F.when(place < n - 1, F.array(rank_of(low, F.element_at(piece, place + 2)))).otherwise(none),
-                        F.slice(rank, place + 2, n),
-                    ).alias("rank"),
+            return F.transform(ids, lambda x, k: above(x, F.get(ids, k + 1), F.shiftleft(k.cast("bigint"), _RANK_BITS).bitwiseOR(x)))
+
+        def merge(pieces, _):
+            def at(low, both, place):
+                before, after = F.element_at(pieces, place - 1), F.element_at(pieces, place + 2)
+                pair = F.array(
+                    above(piece(before), both, before.bitwiseAND(F.lit(_LOW))),
+                    above(both, piece(after), low.bitwiseAND(place_bits).bitwiseOR(both)),
                 )
+                return F.concat(F.slice(pieces, 1, place - 2), pair, F.slice(pieces, place + 2, F.lit(1 << 30)))
 
             def step(low):
-                return F.when(low.isNull(), s).otherwise(_let(F.array_position(rank, low).cast("int"), lambda place: at(place, low)))
+                # Not array_position, which leaves its loop by an exception.
+                begin = low.bitwiseAND(place_bits)
+                place = _let(begin, lambda b: F.size(F.filter(pieces, lambda x: x.bitwiseAND(place_bits) < b)) + 1)
+                found = _let_all([F.shiftright(low, _RANK_BITS + _PLACE_BITS), place], lambda b: at(low, *b))
+                return F.when(low > F.lit(_RANK << _RANK_BITS + _PLACE_BITS), pieces).otherwise(found)
 
-            return _let(F.array_min(rank), step)
+            return _let(F.array_min(pieces), step)
 
         def fold(ids):
-            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(ids), F.lit(2))), start(ids), merge)["piece"].cast("array<int>")
+            pieces = F.aggregate(F.sequence(F.lit(4), F.greatest(F.size(ids), F.lit(4))), start(ids), merge)
+            return _let(pieces, lambda p: F.transform(F.slice(p, 2, F.size(p) - 2), lambda x: piece(x).cast("int")))
 
         # What is used more than once is bound to a variable, because functions of arrays compute each mention anew.
-        return _let(F.transform(F.split(word, ""), lambda c: F.element_at(byte_ids, F.ascii(c) + 1)), fold)
+        ends = F.array(F.lit(self.end).cast("bigint"))
+        ids = F.transform(codes, lambda c: F.element_at(byte_ids, F.pmod(c.cast("int"), F.lit(256)) + 1))
+        return _let(F.concat(ends, ids, ends), fold)
 
 
 # --- texts to words --------------------------------------------------------------------------
@@ -163,35 +187,26 @@ class Splitter:
 
 
 def count_words(texts: DataFrame, text_col: str, pattern: str) -> DataFrame:
-    """(word, n) over all texts; tasks add up before the shuffle."""
+    """(word, n) of the words found twice or more, which are worth keeping ready: Spark counts the parts between blanks, and
+    the words of each distinct part are then found once, as if a blank stood before it."""
+    parts = texts.select(F.explode(F.split(text_col, " ")).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
-    def count(batches):
-        split, words, first, rest = Splitter(pattern), Counter(), Counter(), Counter()
+    def find(batches):
+        split, words = Splitter(pattern), Counter()
+        for batch in batches:
+            for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for word in split.find(" " + part):
+                    words[word] += n
+                if len(words) >= FLUSH:
+                    yield _counted(words)
+                    words.clear()
+        yield _counted(words)
 
-        def settle():
-            for parts, blank in ((first, ""), (rest, " ")):
-                for part, n in parts.items():
-                    for word in split.find(blank + part):
-                        words[word] += n
-                parts.clear()
-            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-            words.clear()
-            return out
+    return parts.mapInArrow(find, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                for text in batch.column(0).slice(a, 256).to_pylist():
-                    parts = split.cut(text or "")
-                    if parts is None:
-                        words.update(split.find(text))
-                    else:
-                        first[parts[0]] += 1
-                        rest.update(parts[1:])
-                    if len(first) + len(rest) + len(words) >= FLUSH:
-                        yield settle()
-        yield settle()
 
-    return texts.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _counted(words: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
 
 def word_hashes(word) -> list[Column]:
@@ -245,8 +260,9 @@ def _find(words: list[str], keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
 
 
 def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks_path: str = BYTE_BPE, pattern: str = PATTERN,
-                 frequent: int = FREQUENT, keep_text: bool = True) -> DataFrame:
-    """Rows of docs with ids_col, the ids of the whole text: every match of the pattern encoded by itself.
+                 frequent: int = FREQUENT, keep_text: bool = True, back: bool = False) -> DataFrame:
+    """Rows of docs with ids_col, the ids of the whole text: every match of the pattern encoded by itself. With back, also
+    <ids_col>_text, the decimal ids joined by one blank, and <ids_col>_bytes, what the ids decode to.
 
     Words are merged by Codec.encode_words, a fold of column expressions over a literal rank map, once for each distinct
     word: once for all for the `frequent` most frequent words, whose ids are broadcast, and once per batch of texts for
@@ -255,16 +271,21 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
     numbers. No row moves but for the word counts.
 
     NULL and empty texts: no ids. Any other text decodes to itself. Repeated rows are encoded alike, an empty table stays
-    empty, and a column of docs named ids_col is replaced; all others pass through, the text only with keep_text.
+    empty, and columns of docs named like new ones are replaced; all others pass through, the text only with keep_text.
     """
-    codec = Codec(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    codec = Codec(ranks)
     counts = write_once(count_words(docs, text_col, pattern), "bpe-words")
-    some = frequent_rows(counts, "n", frequent).repartition(WAYS, "word")
+    # A table of its own, since the driver keeps a description of each plan, which holds the rank map, and of each new plan
+    # that adaptive execution makes after an exchange.
+    some = write_once(frequent_rows(counts, "n", frequent).repartition(WAYS, "word"), "bpe-frequent")
     encoded = F.element_at(codec.encode_words(F.array("word")), 1)
     ready = Ready(docs.sparkSession, some.select(*[h.alias(f"h{k}") for k, h in enumerate(word_hashes(F.col("word")))], encoded.alias("ids")).toArrow())
-    kept = [c for c in docs.columns if c != ids_col and (keep_text or c != text_col)]
+    new = {ids_col: "array<int>"} | ({f"{ids_col}_text": "string", f"{ids_col}_bytes": "binary"} if back else {})
+    kept = [c for c in docs.columns if c not in new and (keep_text or c != text_col)]
     base = docs.select(*kept, F.col(text_col).alias("_words_of"))
     find, ids = ready.keys, ready.ids
+    spelled = docs.sparkSession.sparkContext.broadcast(_pieces(ranks)) if back else None
 
     def cut_up(batches):
         split = Splitter(pattern)
@@ -291,6 +312,9 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
                 place = _find(words, *find.value)
                 rare = np.flatnonzero(place < 0)
                 place[rare] = -1 - np.arange(len(rare))
+                raw = [words[k].encode() for k in rare.tolist()]
+                begins = np.concatenate([[0], np.cumsum([len(w) for w in raw])]).astype(np.int32)
+                codes = pa.ListArray.from_arrays(pa.array(begins), pa.array(np.frombuffer(b"".join(raw), np.int8)))
                 sink = pa.BufferOutputStream()
                 rows = part.select(list(range(len(kept))))
                 with pa.ipc.new_stream(sink, rows.schema) as stream:
@@ -298,9 +322,19 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([numbers.tobytes()], pa.binary()),
                      pa.array([ends.tobytes()], pa.binary()), pa.array([place.tobytes()], pa.binary()),
-                     pa.array([[words[k] for k in rare.tolist()]], pa.list_(pa.string()))],
+                     pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), codes)],
                     names=["rows", "numbers", "ends", "place", "rare"])
 
+    def spell(out, bounds):
+        if spelled is None:
+            return ()
+        pieces, texts, back_ = spelled.value, [], []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = out[a:b].tolist()
+            texts.append(" ".join(map(str, own)))
+            back_.append(b"".join(map(pieces.__getitem__, own)))
+        return texts, back_
+
     def put_together(batches):
         lengths, flat = ids.value
         first = np.cumsum(lengths, dtype=np.int64) - lengths
@@ -308,13 +342,13 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
             for k in range(batch.num_rows):
                 place = np.frombuffer(batch.column(3)[k].as_py(), np.int64)
                 more = batch.column(4)[k].values
-                known, new = place >= 0, -1 - place
+                known, late = place >= 0, -1 - place
                 size, begin = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
                 size[known], begin[known] = lengths[place[known]], first[place[known]]
                 pieces = flat
                 if len(more):
                     offsets = more.offsets.to_numpy()
-                    size[~known], begin[~known] = np.diff(offsets)[new[~known]], offsets[:-1][new[~known]] - offsets[0] + len(flat)
+                    size[~known], begin[~known] = np.diff(offsets)[late[~known]], offsets[:-1][late[~known]] - offsets[0] + len(flat)
                     pieces = np.concatenate([flat, more.flatten().to_numpy().astype(np.int32)])
                 numbers = np.frombuffer(batch.column(1)[k].as_py(), np.int32)
                 texts = np.frombuffer(batch.column(2)[k].as_py(), np.int64)
@@ -326,25 +360,25 @@ def encode_texts(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
                 for part in pa.ipc.open_stream(pa.py_buffer(batch.column(0)[k].as_py())):
                     b = a + part.num_rows
                     lists = pa.ListArray.from_arrays(pa.array((total[a : b + 1] - total[a]).astype(np.int32)), pa.array(out[total[a] : total[b]]))
-                    yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*kept, ids_col])
+                    more_of = [pa.array(x, t) for x, t in zip(spell(out, total[a : b + 1]), (pa.string(), pa.binary()), strict=False)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists, *more_of], names=[*kept, *new])
                     a = b
 
-    cut_ = base.mapInArrow(cut_up, "rows binary, numbers binary, ends binary, place binary, rare array<string>")
-    cut_ = cut_.select("rows", "numbers", "ends", "place", codec.encode_words(F.col("rare")).alias("rare"))
-    return cut_.mapInArrow(put_together, StructType(docs.select(*kept).schema.fields + StructType.fromDDL(f"{ids_col} array<int>").fields))
+    cut_ = base.mapInArrow(cut_up, "rows binary, numbers binary, ends binary, place binary, rare array<array<tinyint>>")
+    cut_ = cut_.select("rows", "numbers", "ends", "place", codec.encode_codes(F.col("rare")).alias("rare"))
+    return cut_.mapInArrow(put_together, StructType(docs.select(*kept).schema.fields + StructType.fromDDL(", ".join(f"{c} {t}" for c, t in new.items())).fields))
 
 
-def ids_text(ids: Column) -> Column:
-    """Decimal ids joined by one blank."""
-    shown = F.replace(ids.cast("string"), F.lit(", "), F.lit(" "))  # [1, 2, 3] before
-    return F.substring(shown, F.lit(2), F.char_length(shown) - 2)
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    """Pieces by id."""
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
 
 
 def decode_ids(ids: Column, ranks_path: str = BYTE_BPE) -> Column:
     """Binary text of a column of ids, their binary pieces one after the other; NULL for NULL, an unknown id is an error."""
-    ranks = read_ranks(ranks_path)
-    pieces = [""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")
+    pieces = [piece.decode("latin-1") for piece in _pieces(read_ranks(ranks_path))]
     held = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
     return F.encode(_let(held, lambda p: F.array_join(F.transform(ids, lambda i: F.element_at(p, i + 1)), "")), "ISO-8859-1")

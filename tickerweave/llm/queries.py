@@ -99,9 +99,9 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = byte_bpe.encode_texts(docs, keep_text=False)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_sha256(byte_bpe.ids_text(F.col("ids"))).alias("ids_sha256"),
-                      F.sha2(byte_bpe.decode_ids(F.col("ids")), 256).alias("decoded_sha256"))
+    out = byte_bpe.encode_texts(docs, keep_text=False, back=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_sha256(F.col("ids_text")).alias("ids_sha256"),
+                      F.sha2("ids_bytes", 256).alias("decoded_sha256"))
 
 
 _OP5_SQL = """
