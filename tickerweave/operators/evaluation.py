@@ -17,21 +17,26 @@ def walk_forward(df: DataFrame, folds: int = 5, min_train: float = 0.4, embargo:
     Row r (0-based) is tested in fold f when min_train + f*size <= r < min_train
     + (f+1)*size and belongs to the training rows of every later fold; the
     remainder behind the last fold is never tested (test_fold NULL). `embargo`
-    rows before a test block are kept out of its training rows. `long`: a
-    ticker may have more rows than a task should sort; `date` is then a number
-    or date, and df is read three times.
+    rows before a test block are kept out of its training rows. `train_fold` is
+    the first fold whose training rows hold the row, embargo aside (NULL: none).
+    `long`: a ticker may have more rows than a task should sort; `date` is then
+    a number, date or time, which is read some five times, and one row per
+    ticker goes through the driver. Rows move only for jobs that read `rn`.
     """
+    first = F.floor(F.col("n_rows") * min_train).cast("int")
+    size = F.greatest(F.lit(1), F.floor((F.col("n_rows") - first) / folds).cast("int"))
     if long:
-        df = row_numbers(df, ["ticker"], "date", "rn", "n_rows")
+        marks = F.array(*[first + f * size for f in range(folds + 1)])
+        df = row_numbers(df, ["ticker"], "date", "rn", "n_rows", marks, "__passed")
     else:
         w = Window.partitionBy("ticker")
         df = df.withColumns({"rn": F.row_number().over(w.orderBy("date")) - 1, "n_rows": F.count(F.lit(1)).over(w)})
-    first = F.floor(F.col("n_rows") * min_train).cast("int")
-    size = F.greatest(F.lit(1), F.floor((F.col("n_rows") - first) / folds).cast("int"))
-    fold = F.floor((F.col("rn") - first) / size).cast("int")
+        fold = F.floor((F.col("rn") - first) / size).cast("int")
+        df = df.withColumn("__passed", F.when(F.col("rn") < first, 0).otherwise(F.least(fold, F.lit(folds)) + 1))
     df = df.withColumns({"min_train": first, "fold_size": size})
-    inside = (F.col("rn") >= first) & (fold < folds)
-    return df.withColumn("test_fold", F.when(inside, fold)).withColumn("embargo", F.lit(embargo))
+    passed = F.col("__passed")
+    df = df.withColumn("test_fold", F.when(passed.between(1, folds), passed - 1)).withColumn("embargo", F.lit(embargo))
+    return df.withColumn("train_fold", F.when(passed < folds, passed)).drop("__passed")
 
 
 def is_train(fold: int) -> Column:

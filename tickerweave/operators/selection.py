@@ -1,8 +1,9 @@
 """Feature selection on aggregates: variance, correlation pruning, binned mutual information, fold stability.
 
 The data is only ever aggregated: one pass for means, one for the Gram vectors
-of every fold and one ordering of the values for the contingency counts of all
-folds. What reaches the driver is a feature-by-feature matrix per fold.
+of every fold and a few counts that close in on the deciles of all folds. No
+row is moved or stored; what reaches the driver are a feature-by-feature matrix
+per fold and counts of bounded number.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerweave.functions.cumulative import running_totals
+from tickerweave.functions.ranks import at_ranks
 from tickerweave.session import reuse
 
 MAX_CORRELATION = 0.95
@@ -89,32 +90,37 @@ def mutual_information(df: DataFrame, features: list[str], label: str, first: Co
     `first` is the first fold whose training rows hold the row (training sets grow, so later folds hold it too); rows
     without one, or without a label, take no part. Missing values count as 0.
 
-    The plan does not grow with the features: rows become (feature number, value), equal values merge before the shuffle
-    and carry one count per fold, and one pass of running totals orders the values for all folds together. The decile
-    of a value is ten times the rows below it over all rows, so that no cut has to be looked up.
+    The plan does not grow with the features and moves no rows: the deciles of all features and folds are closed in on
+    together by counts, which also tell how many rows of each label lie up to each of them. df is read some four times; keep it (session.reuse)
+    where its rows are dear to make.
     """
     first = F.lit(0) if first is None else first
     x = df.select(first.cast("int").alias("s"), F.col(label).cast("int").alias("y"),
-                  F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("v"))
-    x = x.filter(F.col("s").between(0, folds - 1) & F.col("y").isNotNull())
-    sizes = {r["s"]: r for r in x.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("p")).collect()}
-    upto = lambda f, c: sum(r[c] for s, r in sizes.items() if s <= f)
-    held = lambda f, more=F.lit(True): F.count_if((F.col("s") <= f) & more)
-    values = x.select("s", "y", F.posexplode("v").alias("f", "x")).groupBy("f", "x").agg(
-        *[held(f).alias(f"n{f}") for f in range(folds)], *[held(f, F.col("y") == 1).alias(f"p{f}") for f in range(folds)])
-    values = running_totals(values, ["f"], "x", {f"b{f}": F.col(f"n{f}") for f in range(folds)})
-    parts = F.array(*[
-        F.struct(F.lit(f).alias("fold"), F.col(f"n{f}").alias("n"), F.col(f"p{f}").alias("p"),
-                 F.least(F.lit(bins - 1), F.floor(F.col(f"b{f}") * bins / F.lit(max(upto(f, "n"), 1)))).cast("int").alias("bin"),
-                 F.lit(upto(f, "n")).cast("double").alias("rows"), F.lit(upto(f, "p")).cast("double").alias("ones"))
-        for f in range(folds)
-    ])
-    cells = values.select("f", F.inline(parts)).filter("n > 0").groupBy("fold", "f", "bin", "rows", "ones").agg(
-        F.sum("n").alias("n"), F.sum("p").alias("p"))
-    term = lambda k, all_k: F.when(k > 0, k / F.col("rows") * F.ln(k * F.col("rows") / (F.col("n") * all_k))).otherwise(0.0)
-    both = term(F.col("p"), F.col("ones")) + term(F.col("n") - F.col("p"), F.col("rows") - F.col("ones"))
-    name = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("f") + 1)
-    return cells.groupBy("fold", name.alias("feature")).agg(F.greatest(F.sum(both), F.lit(0.0)).alias("mi"))
+                  *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{k}") for k, c in enumerate(features)])
+    # No filter: pushed down it would repeat the expression of `first` many times over.
+    kind = F.when(F.col("s").between(0, folds - 1), 2 * F.col("s") + (F.col("y") == 1).cast("int"))
+    x = x.select(F.lit(0).alias("g"), F.coalesce(kind, F.lit(-1)).alias("c"), *[f"x{k}" for k in range(len(features))])
+
+    def wanted(sizes):
+        n = {(k, f): int(sizes[k][:2 * f + 2].sum()) for k in sizes for f in range(folds)}
+        return [(k, 2 * f + 2, -(-b * n[k, f] // bins)) for k, f in n if n[k, f] for b in range(1, bins)]
+
+    sizes, cuts = at_ranks(x, len(features), wanted, 2 * folds)
+    # Rows of a fold up to each decile: all of them and those with label 1.
+    upto = lambda counts, f: (counts[:2 * f + 2].sum(), counts[1:2 * f + 2:2].sum())
+    cuts, rows = iter(cuts), []
+    for k in sizes:
+        for f in range(folds):
+            total = upto(sizes[k], f)
+            if total[0]:
+                ends = [(0, 0), *[upto(next(cuts)[2], f) for _ in range(1, bins)], total]
+                cells = np.diff(np.array(ends, float), axis=0)
+                cells = np.column_stack([cells[:, 1], cells[:, 0] - cells[:, 1]])
+                part = np.outer(cells.sum(axis=1), cells.sum(axis=0))
+                held = cells > 0
+                mi = (cells[held] / total[0] * np.log(cells[held] * total[0] / part[held])).sum()
+                rows.append((f, features[k], max(float(mi), 0.0)))
+    return df.sparkSession.createDataFrame(rows, "fold int, feature string, mi double")
 
 
 def prune_correlated(features: list[str], corr: np.ndarray, target: np.ndarray, limit: float = MAX_CORRELATION) -> list[str]:
@@ -172,12 +178,10 @@ def basic_select(df: DataFrame, features: list[str], label: str = "label", top_n
 def stability_select(split: DataFrame, features: list[str], label: str = "label", folds: int = 5, min_folds: int = 3) -> tuple[list[str], DataFrame]:
     """Features chosen in at least `min_folds` training sets, by mean information; plus one audit row per fold and feature.
 
-    `split` carries the columns of walk_forward.
+    `split` carries the columns of walk_forward with at least `folds` folds. It is read some six times; keep it
+    (session.reuse) where its rows are dear to make.
     """
-    split = reuse(split.select("rn", "min_train", "fold_size", label, *features))
-    first = F.when(F.col("rn") < F.col("min_train"), 0)
-    for f in range(1, folds):
-        first = first.when(F.col("rn") < F.col("min_train") + f * F.col("fold_size"), f)
+    first = F.col("train_fold")
     stats = fold_statistics(split, features, label, first, folds)
     mi: dict[int, dict[str, float]] = {}
     for r in mutual_information(split, features, label, first, folds).collect():

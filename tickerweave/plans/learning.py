@@ -64,7 +64,7 @@ def _corr_sql():
 
 
 def _stable(spark, sf):
-    stable, audit = selection.stability_select(ev.walk_forward(_matrix(spark, sf)), FEATURES)
+    stable, audit = selection.stability_select(reuse(ev.walk_forward(_matrix(spark, sf)).select("train_fold", "label", *FEATURES)), FEATURES)
     return _positions(selection.selection_audit(audit), stable)
 
 
